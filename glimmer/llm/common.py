@@ -14,12 +14,23 @@ from glimmer.session import ship_package
 #: A side of a join is broadcast only when it was counted and has at most this many narrow rows.
 BROADCAST_ROWS = 500_000
 
+#: Rows in an Arrow batch between the JVM and Python: texts are wide, so batches stay at a few MB.
+ARROW_ROWS = 1000
+
 _own_dirs: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable on executors and keep Arrow batches of whole texts small (a smaller setting stays)."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
-    ship_package(spark)
+    prepare(spark)
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")

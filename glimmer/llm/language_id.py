@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.session import ship_package
+from glimmer.llm.common import prepare
 
 #: Bound of the labelled sample, for each language.
 SAMPLE_PER_LANG = 400
@@ -131,7 +131,7 @@ def in_training(doc_id: Column | str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, train: Column | None = None) -> Model:
     """A model from labelled rows (text, lang) where ``train`` holds."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if train is None else train))
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     langs = sorted(n)

@@ -47,12 +47,8 @@ def document_counts(docs: DataFrame, size: int) -> np.ndarray:
         cells = np.zeros(SKETCH_CELLS, np.uint32)
         for rb in batches:
             texts = rb.column(0).to_pylist()
-            for i in range(0, len(texts), 512):
-                sets = shingle_sets(texts[i : i + 512], size)
-                at = (np.concatenate(sets) & np.uint64(SKETCH_CELLS - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
-                cells += np.bincount(at, minlength=SKETCH_CELLS).astype(np.uint32) if len(at) > SKETCH_CELLS // 8 else 0
-                if len(at) <= SKETCH_CELLS // 8:
-                    np.add.at(cells, at, 1)
+            for i in range(0, len(texts), 256):
+                np.add.at(cells, (np.concatenate(shingle_sets(texts[i : i + 256], size)) & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), np.uint32(1))
         parts = np.split(cells, SKETCH_PIECES)
         live = [k for k, p in enumerate(parts) if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in live], pa.binary())], ["piece", "cells"])
@@ -90,8 +86,8 @@ def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -
         for rb in batches:
             ids, texts = rb.column(0), rb.column(1).to_pylist()
             n, node, keys, pre = [], [], [], ([], [])
-            for i in range(0, len(texts), 512):
-                for s in shingle_sets(texts[i : i + 512], size):
+            for i in range(0, len(texts), 256):
+                for s in shingle_sets(texts[i : i + 256], size):
                     n.append(len(s))
                     if not len(s):
                         node.append(None)
@@ -126,8 +122,8 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, size: int, perce
             a, b = rb.column(0).to_pylist(), rb.column(1).to_pylist()
             ta, tb = rb.column(2).to_pylist(), rb.column(3).to_pylist()
             good = []
-            for i in range(0, len(a), 256):
-                right = shingle_sets(tb[i : i + 256], size)
+            for i in range(0, len(a), 64):
+                right = shingle_sets(tb[i : i + 64], size)
                 for k, y in enumerate(right, i):
                     if held[0] != a[k] or held[2] != ta[k]:
                         held = (a[k], shingle_sets([ta[k]], size)[0], ta[k])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glimmer.session import ship_package
+from glimmer.llm.common import prepare
 
 #: White space as the tokenizer's own pattern sees it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -202,7 +202,7 @@ def token_count(text: Column, tokenizer_path: str) -> Column:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: str = "text") -> DataFrame:
     """``docs`` plus n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); columns of those names are replaced."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     return (
         docs.withColumn("n_bytes", F.octet_length(body).cast("long"))

@@ -6,10 +6,10 @@ orders, both rare tokens first (a count sketch of fixed size over all documents
 then by two unrelated hashes. Candidates must share a prefix token under both orders; the two filters are
 intersected on pairs of ids, and only what is left is verified, on whole texts.
 
-Large groups of near copies would make all their pairs candidates. So nodes that share one of a few minimum
-hashes are first linked to one leader of each such group (verified like any pair); nodes that verified
-links already join need no further pair between them, and lists within one group are left out before
-pairs are formed. Every pair across groups is still formed, so no link between groups is lost.
+Large groups of near copies would make all their pairs rows. So nodes that share a minimum hash with many others
+form clusters; inside a cluster every pair of blocks of nodes is one task that compares all its sets through an
+inverted list and returns a spanning forest of the links it finds. Candidate pairs are formed across
+clusters only, so no link is lost and no task gathers a whole cluster.
 
 Null or blank text has an empty set, is linked with nothing and is its own component. Null doc_ids take part as
 rows but cannot name a component unless all its ids are null. Repeated rows and copies fall into one node.
@@ -29,9 +29,9 @@ from glimmer.llm.common import small, stage
 from glimmer.llm.shingles import mix64, shingle_sets
 
 #: Cells of the count sketch (its size does not grow with the corpus) and pieces in which it is added up.
-SKETCH_CELLS, SKETCH_PIECES = 1 << 22, 64
-#: Minimum hashes by which near copies find a leader.
-LEADER_KEYS = 4
+SKETCH_CELLS, SKETCH_PIECES = 1 << 24, 128
+#: Minimum hashes per node; a value that at least CLUSTER nodes share makes them a cluster, compared in blocks of BLOCK nodes.
+KEYS, CLUSTER, BLOCK = 8, 32, 512
 ORDER_SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -96,7 +96,7 @@ def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -
                             p.append(None)
                         continue
                     node.append(node_of(s))
-                    keys.append(np.array([int(mix64(s + np.uint64(k + 1)).min()) >> 4 << 2 | k for k in range(LEADER_KEYS)], np.int64))
+                    keys.append(np.array([int(mix64(s + np.uint64(k + 1)).min()) >> 4 << 3 | k for k in range(KEYS)], np.int64))
                     common, p = rank[(s & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58), prefix_size(len(s), percent)
                     for k, seed in enumerate(ORDER_SEEDS):
                         order = common | (mix64(s ^ seed) >> np.uint64(6))
@@ -139,24 +139,85 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, size: int, perce
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long"), "near-links")
 
 
-def leaders(nodes: DataFrame, names: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, groups: node, label): nodes with a common minimum hash, linked to the smallest node of each such group."""
+def clusters(nodes: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that share a minimum hash with at least CLUSTER nodes; staged.
+
+    A node goes by its most common hash; two hashes that mostly occur together are one label.
+    """
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") < F.col("z")).drop("z")
-    stars = keyed.join(first, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    links = verify(stage(stars, "near-stars"), names, docs, size, percent)
-    label = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-    label = stage(label, "near-labels")
-    for _ in range(2):  # a leader may follow a leader of its own
-        up = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        label = stage(label.join(small(up), "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "near-labels")
-    return links, label
+    big = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= CLUSTER), "near-keys")
+    own = stage(keyed.join(small(big), "key"), "near-keyed")
+    top = own.groupBy("node").agg(F.max(F.struct("count", "key")).alias("t")).select("node", F.col("t.key").alias("a"), F.col("t.count").alias("count_a"))
+    top = stage(top, "near-top")
+    ties = own.join(top, "node").where(F.col("key") != F.col("a")).groupBy("a", F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.first("count_a").alias("count_a"), F.first("count").alias("count_b"))
+    ties = stage(ties.where(2 * F.col("both") >= F.least("count_a", "count_b")).select("a", "b"), "near-ties")
+    if ties.isEmpty():
+        return top.select("node", F.col("a").alias("label"))
+    roots = connected(ties).select(F.col("node").alias("a"), "root")
+    return stage(top.join(small(roots), "a", "left").select("node", F.coalesce("root", "a").alias("label")), "near-labels")
+
+
+def forest(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the similar pairs between two lists of sets, or within one; positions run on into ``others``."""
+    right = sets if others is None else others
+    shift = 0 if others is None else len(sets)
+    sizes = np.array([len(x) for x in right])
+    tokens = np.concatenate(right)
+    by = np.argsort(tokens, kind="stable")
+    owner = np.repeat(np.arange(len(right)), sizes)[by]
+    tokens = tokens[by]
+    parent = list(range(len(sets) + (0 if others is None else len(others))))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, x in enumerate(sets):
+        lo, hi = np.searchsorted(tokens, x), np.searchsorted(tokens, x, side="right")
+        n = hi - lo
+        stop = np.cumsum(n)
+        common = np.bincount(owner[np.repeat(lo - (stop - n), n) + np.arange(int(stop[-1]))], minlength=len(right))
+        for j in np.flatnonzero(100 * common >= percent * (len(x) + sizes - common)).tolist():
+            a, b = top(i), top(j + shift)
+            if a != b:
+                parent[b] = a
+                out.append((i, j + shift))
+    return out
+
+
+def within_clusters(label: DataFrame, names: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is similar inside each cluster; staged."""
+    members = label.join(label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "label").join(names, "node")
+    members = stage(members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-members")
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = body.join(small(members), body["doc_id"].eqNullSafe(members["doc_id"])).select("label", "node", "own", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    texts = texts.select("label", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "node", "text")
+
+    def link(key, rows):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        own, node, texts = (rows.column(c).to_pylist() for c in ("own", "node", "text"))
+        sides: dict[int, dict[int, np.ndarray]] = {lo: {}, hi: {}}
+        for i, s in enumerate(shingle_sets(texts, size)):
+            if len(s) and node_of(s) == node[i]:  # a repeated doc_id may bring another text
+                sides[own[i]][node[i]] = s
+        left, right = sides[lo], sides[hi]
+        found = []
+        if left and right:
+            found = forest(list(left.values()), None if lo == hi else list(right.values()), percent)
+        at = list(left) + ([] if lo == hi else list(right))
+        return pa.table({"a": pa.array([at[i] for i, _ in found], pa.int64()), "b": pa.array([at[j] for _, j in found], pa.int64())})
+
+    return stage(texts.groupBy("label", "lo", "hi").applyInArrow(link, "a long, b long"), "near-inside")
 
 
 def candidates(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different groups that share prefix tokens under both orders and whose sizes allow the similarity; staged."""
     named = nodes.join(small(label), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    posts = named.select("node", "n", "label", F.explode(F.concat(F.transform("first", lambda x: F.struct(x.alias("token"), F.lit(1).alias("ord"))), F.transform("second", lambda x: F.struct(x.alias("token"), F.lit(2).alias("ord"))))).alias("p"))
+    # 40 bits of a token travel: two tokens that agree in them only add a candidate
+    posts = named.select("node", "n", "label", F.explode(F.concat(F.transform("first", lambda x: F.struct(F.shiftright(x, 24).alias("token"), F.lit(1).alias("ord"))), F.transform("second", lambda x: F.struct(F.shiftright(x, 24).alias("token"), F.lit(2).alias("ord"))))).alias("p"))
     posts = posts.select("node", "n", "label", "p.token", "p.ord")
     w = Window.partitionBy("token", "ord")
     shared = posts.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where(F.col("lo") != F.col("hi")).drop("lo", "hi")
@@ -197,7 +258,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     copies = names.where(F.col("copies") > 1).select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"))
     one = live.join(small(copies), F.col("node") == F.col("_n"), "left").where(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "n", "keys", "first", "second")
     names = names.select("node", "doc_id")
-    early, label = leaders(one, names, docs, size, percent)
+    label = clusters(one)
+    early = within_clusters(label, names, docs, size, percent)
     late = verify(candidates(one, label, percent), names, docs, size, percent)
     roots = connected(early.unionByName(late))
     out = table.join(small(_components(names, copies, roots)), "node", "left")

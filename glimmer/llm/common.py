@@ -17,6 +17,9 @@ BROADCAST_ROWS = 500_000
 #: Rows in an Arrow batch between the JVM and Python: texts are wide, so batches stay at a few MB.
 ARROW_ROWS = 1000
 
+#: Spark's setting that removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -44,14 +47,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/glimmer/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there, and a lost executor costs a re-read."""
+def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back: lineage ends there, and a lost executor costs a re-read.
+
+    Shuffle files of the write are let go when it has ended, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    if codec:
+        w = w.option("compression", codec)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        w.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,9 @@
 Documents with the same set of shingles are one node. Two nodes of Jaccard similarity t or more share a token among
 the first n - ceil(t n) + 1 of each set, whatever the global order of tokens. Prefixes are taken under two
 orders, both rare tokens first (a count sketch of fixed size over all documents gives each token's class) and
-then by two unrelated hashes. Candidates must share a prefix token under both orders; the two filters are
-intersected on pairs of ids, and only what is left is verified, on whole texts.
+then by two unrelated hashes. Candidates must share a prefix token under both orders: each order's pairs
+are found on their own, the two filters are intersected on pairs of ids, and only what is left is verified, on
+whole texts.
 
 Large groups of near copies would make all their pairs rows. So nodes that share a minimum hash with many others
 form clusters; inside a cluster every pair of blocks of nodes is one task that compares all its sets through an
@@ -32,6 +33,8 @@ from glimmer.llm.shingles import mix64, shingle_sets
 SKETCH_CELLS, SKETCH_PIECES = 1 << 24, 128
 #: Minimum hashes per node; a value that at least CLUSTER nodes share makes them a cluster, compared in blocks of BLOCK nodes.
 KEYS, CLUSTER, BLOCK = 8, 32, 512
+#: Bits of a prefix token that are dropped: 48 travel, and two tokens that agree in them only add a candidate.
+TOKEN_SHIFT = np.uint64(16)
 ORDER_SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -51,12 +54,15 @@ def document_counts(docs: DataFrame, size: int) -> np.ndarray:
                 np.add.at(cells, (np.concatenate(shingle_sets(texts[i : i + 256], size)) & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), np.uint32(1))
         parts = np.split(cells, SKETCH_PIECES)
         live = [k for k, p in enumerate(parts) if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in live], pa.binary())], ["piece", "cells"])
+        # counts are small: byte planes (all low bytes first) pack far better than whole words
+        planes = [zlib.compress(parts[k].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for k in live]
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(planes, pa.binary())], ["piece", "cells"])
 
     def add(key, table):
         total = np.zeros(SKETCH_CELLS // SKETCH_PIECES, np.uint64)
         for x in table.column("cells"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+            planes = np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(4, -1)
+            total += np.ascontiguousarray(planes.T).view(np.uint32)[:, 0]
         classes = np.log2(np.maximum(total, 1).astype(np.float64)).astype(np.uint8)
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
 
@@ -101,7 +107,7 @@ def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -
                     for k, seed in enumerate(ORDER_SEEDS):
                         order = common | (mix64(s ^ seed) >> np.uint64(6))
                         first = np.argpartition(order, p - 1)[:p] if p < len(s) else slice(None)
-                        pre[k].append(s[first].view(np.int64))
+                        pre[k].append((s[first] >> TOKEN_SHIFT).view(np.int64))
             kinds = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, kinds), pa.array(pre[0], kinds), pa.array(pre[1], kinds)], ["doc_id", "n", "node", "keys", "first", "second"])
 
@@ -213,20 +219,23 @@ def within_clusters(label: DataFrame, names: DataFrame, docs: DataFrame, size: i
     return stage(texts.groupBy("label", "lo", "hi").applyInArrow(link, "a long, b long"), "near-inside")
 
 
+def _met(named: DataFrame, prefix: str, percent: int, tag: str) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that share a token of column ``prefix`` and whose sizes allow the similarity; staged."""
+    posts = named.select("node", "n", "label", F.explode(prefix).alias("token"))
+    w, group = Window.partitionBy("token"), F.coalesce("label", "node")
+    shared = posts.withColumn("lo", F.min(group).over(w)).withColumn("hi", F.max(group).over(w)).where(F.col("lo") != F.col("hi"))
+    shared = stage(shared.select("token", "node", "n", group.alias("label")), f"near-{prefix}")
+    a, b = (shared.select("token", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}")) for x in "ab")
+    near = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return stage(a.join(b, "token").where(near).select("a", "b").distinct(), tag)
+
+
 def candidates(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different groups that share prefix tokens under both orders and whose sizes allow the similarity; staged."""
-    named = nodes.join(small(label), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # 40 bits of a token travel: two tokens that agree in them only add a candidate
-    posts = named.select("node", "n", "label", F.explode(F.concat(F.transform("first", lambda x: F.struct(F.shiftright(x, 24).alias("token"), F.lit(1).alias("ord"))), F.transform("second", lambda x: F.struct(F.shiftright(x, 24).alias("token"), F.lit(2).alias("ord"))))).alias("p"))
-    posts = posts.select("node", "n", "label", "p.token", "p.ord")
-    w = Window.partitionBy("token", "ord")
-    shared = posts.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where(F.col("lo") != F.col("hi")).drop("lo", "hi")
-    shared = stage(shared, "near-postings")
-    a = shared.select("token", "ord", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    b = shared.select("token", "ord", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    met = a.join(b, ["token", "ord"]).where(near).groupBy("a", "b").agg(F.bit_or("ord").alias("orders"))
-    return stage(met.where(F.col("orders") == 3).select("a", "b"), "near-pairs")
+    named = nodes.join(small(label), "node", "left")
+    first = _met(named, "first", percent, "near-met")
+    second = _met(named, "second", percent, "near-met")
+    return stage(second.join(small(first), ["a", "b"], "left_semi"), "near-pairs")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -252,7 +261,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links); percent: least Jaccard in hundredths."""
-    table = stage(nodes_table(docs, size, percent, document_counts(docs, size)), "near-nodes")
+    table = stage(nodes_table(docs, size, percent, document_counts(docs, size)), "near-nodes", codec="zstd")
     live = table.where(F.col("node").isNotNull())
     names = stage(live.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "near-names")
     copies = names.where(F.col("copies") > 1).select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"))

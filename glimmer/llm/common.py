@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,7 @@ ARROW_ROWS = 1000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dirs: dict[str, str] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -68,6 +71,13 @@ def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, codec:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hand memory that a Python worker has freed back to the system: workers live on into later stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

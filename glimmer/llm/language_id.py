@@ -24,14 +24,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import prepare
+from glimmer.llm.common import give_back, prepare
 
 #: Bound of the labelled sample, for each language.
 SAMPLE_PER_LANG = 400
 BUCKETS = 1 << 15
 AMBIGUOUS = 0.55
 #: Bytes of text whose grams a worker holds at once.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 16
 #: Steepness of the loss over the mean log odds of a gram.
 SLOPE = 6.0
 LETTER = regex.compile(r"\p{L}")
@@ -183,6 +183,7 @@ def predict_language(text: Column, model: Model) -> Column:
             pred += a
             score += b.tolist()
             doubt += c.tolist()
+        give_back()
         return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": doubt})
 
     return predict(text)

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import small, stage
+from glimmer.llm.common import give_back, small, stage
 from glimmer.llm.shingles import mix64, shingle_sets
 
 #: Cells of the count sketch (its size does not grow with the corpus) and pieces in which it is added up.
 SKETCH_CELLS, SKETCH_PIECES = 1 << 24, 128
+#: A task sends its cells after this many documents, so that their 16 bits suffice (a cell that still ran over would only rank its tokens otherwise).
+SKETCH_DOCS = 1 << 15
 #: Minimum hashes per node; a value that at least CLUSTER nodes share makes them a cluster, compared in blocks of BLOCK nodes.
 KEYS, CLUSTER, BLOCK = 8, 32, 512
 #: Bits of a prefix token that are dropped: 48 travel, and two tokens that agree in them only add a candidate.
@@ -47,22 +49,31 @@ def document_counts(docs: DataFrame, size: int) -> np.ndarray:
     """Class (floor of log2) of each sketch cell: how many documents hold a shingle that falls there."""
 
     def count(batches):
-        cells = np.zeros(SKETCH_CELLS, np.uint32)
+        cells, held = np.zeros(SKETCH_CELLS, np.uint16), 0
+
+        def sent():
+            parts = np.split(cells, SKETCH_PIECES)
+            live = [k for k, p in enumerate(parts) if p.any()]
+            # counts are small: byte planes (all low bytes first) pack far better than whole words
+            planes = [zlib.compress(parts[k].view(np.uint8).reshape(-1, 2).T.tobytes(), 1) for k in live]
+            return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(planes, pa.binary())], ["piece", "cells"])
+
         for rb in batches:
             texts = rb.column(0).to_pylist()
             for i in range(0, len(texts), 256):
-                np.add.at(cells, (np.concatenate(shingle_sets(texts[i : i + 256], size)) & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), np.uint32(1))
-        parts = np.split(cells, SKETCH_PIECES)
-        live = [k for k, p in enumerate(parts) if p.any()]
-        # counts are small: byte planes (all low bytes first) pack far better than whole words
-        planes = [zlib.compress(parts[k].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for k in live]
-        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(planes, pa.binary())], ["piece", "cells"])
+                np.add.at(cells, (np.concatenate(shingle_sets(texts[i : i + 256], size)) & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), np.uint16(1))
+            held += len(texts)
+            give_back()
+            if held >= SKETCH_DOCS:
+                yield sent()
+                cells[:], held = 0, 0
+        yield sent()
 
     def add(key, table):
         total = np.zeros(SKETCH_CELLS // SKETCH_PIECES, np.uint64)
         for x in table.column("cells"):
-            planes = np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(4, -1)
-            total += np.ascontiguousarray(planes.T).view(np.uint32)[:, 0]
+            planes = np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(2, -1)
+            total += np.ascontiguousarray(planes.T).view(np.uint16)[:, 0]
         classes = np.log2(np.maximum(total, 1).astype(np.float64)).astype(np.uint8)
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
 
@@ -110,6 +121,7 @@ def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -
                         pre[k].append((s[first] >> TOKEN_SHIFT).view(np.int64))
             kinds = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, kinds), pa.array(pre[0], kinds), pa.array(pre[1], kinds)], ["doc_id", "n", "node", "keys", "first", "second"])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n long, node long, keys array<long>, first array<long>, second array<long>")
 
@@ -141,6 +153,7 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, size: int, perce
                     if 100 * common >= percent * (len(x) + len(y) - common):
                         good.append(k)
             yield rb.select([0, 1]).take(pa.array(good, pa.int64()))
+            give_back()
 
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long"), "near-links")
 
@@ -214,6 +227,7 @@ def within_clusters(label: DataFrame, names: DataFrame, docs: DataFrame, size: i
         if left and right:
             found = forest(list(left.values()), None if lo == hi else list(right.values()), percent)
         at = list(left) + ([] if lo == hi else list(right))
+        give_back()
         return pa.table({"a": pa.array([at[i] for i, _ in found], pa.int64()), "b": pa.array([at[j] for _, j in found], pa.int64())})
 
     return stage(texts.groupBy("label", "lo", "hi").applyInArrow(link, "a long, b long"), "near-inside")

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import stage, text_or_empty
-from glimmer.llm.word_ids import batches, encoder
+from glimmer.llm.common import give_back, stage, text_or_empty
+from glimmer.llm.word_ids import CACHE_ENTRIES, batches, encoder
 
 #: Documents whose last pieces are packed together, on average.
 GROUP_DOCS = 2048
@@ -32,12 +32,12 @@ PLACED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 PIECES = "doc_id long, bucket long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, bucket, with_ids: bool = False) -> DataFrame:
-    """Pieces of every document; ``bucket``: a long column that names the packing group."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, bucket, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Pieces of every document; ``bucket``: a long column that names the packing group; ``cache_entries``: words a worker remembers."""
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bucket.cast("long").alias("bucket"), text_or_empty().alias("text"))
 
     def cut(rows):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, cache_entries)
         for rb in rows:
             doc_ids, buckets, texts = (rb.column(k).to_pylist() for k in range(3))
             for i, j in batches(texts):
@@ -54,6 +54,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
                     at += n
                 kinds = {k: pa.int64() for k in out} | ({"ids": pa.list_(pa.int64())} if with_ids else {})
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
+            give_back()
 
     return thin.mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
 
@@ -132,10 +133,10 @@ def ordered_buckets(group_docs: int = GROUP_DOCS):
     return F.pmod(F.xxhash64(F.col("_metadata.file_name"), F.floor(F.col("_metadata.row_index") / group_docs)), F.lit(1 << 38))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, bucket=None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, bucket=None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     bucket = hashed_buckets(docs) if bucket is None else bucket
-    return pack_pieces(stage(cut_pieces(docs, tokenizer_path, end_id, capacity, bucket), "pieces"), capacity)
+    return pack_pieces(stage(cut_pieces(docs, tokenizer_path, end_id, capacity, bucket, cache_entries=cache_entries), "pieces"), capacity)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, pad_id: int = 0) -> DataFrame:

@@ -97,8 +97,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> WordEncoder:
+    return WordEncoder(path, cache_entries)
 
 
 def batches(texts: list[str], chars: int = 2_000_000):

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from glimmer.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from glimmer.llm.common import new_path, small, stage, table
 
+#: Words that a worker remembers while it packs; fewer than packing alone would, since workers come from four stages before.
+CACHE_ENTRIES = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -44,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of up to 4096 tokens; consecutive documents of the mixture are packed together."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, bucket=packing.ordered_buckets())
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, bucket=packing.ordered_buckets(), cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [("language_id", identify_languages), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]

@@ -50,13 +50,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/glimmer/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, codec: str | None = None, path: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and a lost executor costs a re-read.
 
     Shuffle files of the write are let go when it has ended, since nothing reads them again.
     """
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = path or new_path(spark, tag)
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -71,6 +71,13 @@ def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, codec:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables; only once all that was derived from them is staged itself."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def give_back() -> None:
     """Hand memory that a Python worker has freed back to the system: workers live on into later stages and would keep it."""
     pa.default_memory_pool().release_unused()

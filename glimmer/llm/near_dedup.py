@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import give_back, small, stage
+from glimmer.llm.common import discard, give_back, new_path, small, stage
 from glimmer.llm.shingles import mix64, shingle_sets
 
 #: Cells of the count sketch (its size does not grow with the corpus) and pieces in which it is added up.
@@ -233,23 +233,29 @@ def within_clusters(label: DataFrame, names: DataFrame, docs: DataFrame, size: i
     return stage(texts.groupBy("label", "lo", "hi").applyInArrow(link, "a long, b long"), "near-inside")
 
 
-def _met(named: DataFrame, prefix: str, percent: int, tag: str) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups that share a token of column ``prefix`` and whose sizes allow the similarity; staged."""
+def _met(named: DataFrame, prefix: str, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that share a token of column ``prefix`` and whose sizes allow the similarity; staged at ``path``."""
     posts = named.select("node", "n", "label", F.explode(prefix).alias("token"))
     w, group = Window.partitionBy("token"), F.coalesce("label", "node")
     shared = posts.withColumn("lo", F.min(group).over(w)).withColumn("hi", F.max(group).over(w)).where(F.col("lo") != F.col("hi"))
-    shared = stage(shared.select("token", "node", "n", group.alias("label")), f"near-{prefix}")
+    posted = new_path(named.sparkSession, f"near-{prefix}")
+    shared = stage(shared.select("token", "node", "n", group.alias("label")), f"near-{prefix}", path=posted)
     a, b = (shared.select("token", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}")) for x in "ab")
     near = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return stage(a.join(b, "token").where(near).select("a", "b").distinct(), tag)
+    met = stage(a.join(b, "token").where(near).select("a", "b").distinct(), "near-met", path=path)
+    discard(named.sparkSession, posted)
+    return met
 
 
 def candidates(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different groups that share prefix tokens under both orders and whose sizes allow the similarity; staged."""
     named = nodes.join(small(label), "node", "left")
-    first = _met(named, "first", percent, "near-met")
-    second = _met(named, "second", percent, "near-met")
-    return stage(second.join(small(first), ["a", "b"], "left_semi"), "near-pairs")
+    spark = nodes.sparkSession
+    paths = [new_path(spark, "near-met") for _ in range(2)]
+    first, second = (_met(named, prefix, percent, path) for prefix, path in zip(("first", "second"), paths, strict=True))
+    pairs = stage(second.join(small(first), ["a", "b"], "left_semi"), "near-pairs")
+    discard(spark, *paths)
+    return pairs
 
 
 def connected(links: DataFrame) -> DataFrame:

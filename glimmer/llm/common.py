@@ -19,6 +19,9 @@ BROADCAST_ROWS = 500_000
 #: Rows in an Arrow batch between the JVM and Python: texts are wide, so batches stay at a few MB.
 ARROW_ROWS = 1000
 
+#: Row indexes in a file are below 2**FILE_BITS.
+FILE_BITS = 40
+
 #: Spark's setting that removes the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -97,6 +100,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def file_row(docs: DataFrame) -> Column:
+    """Place of each row in a plain read of Parquet files: number of the file in name order * 2^FILE_BITS + row index."""
+    names = sorted((f.rsplit("/", 1)[-1] for f in docs.inputFiles()), key=lambda n: (len(n), n))
+    if len(set(names)) < len(names):
+        raise ValueError("files of one name in several folders have no order")
+    known = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k).cast("long"))]) if names else F.create_map(F.lit(""), F.lit(0).cast("long"))
+    at = F.coalesce(known[F.col("_metadata.file_name")], F.raise_error(F.concat(F.lit("not a listed file: "), F.col("_metadata.file_name"))).cast("long"))
+    return at * F.lit(1 << FILE_BITS) + F.col("_metadata.row_index")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

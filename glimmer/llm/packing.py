@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import give_back, stage, text_or_empty
+from glimmer.llm.common import FILE_BITS, file_row, give_back, stage, text_or_empty
 from glimmer.llm.word_ids import CACHE_ENTRIES, batches, encoder
 
 #: Documents whose last pieces are packed together, on average.
@@ -103,8 +103,8 @@ def fill_windows(lengths: list[int], capacity: int) -> list[list[int]]:
     return windows
 
 
-def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` plus sequence_id and offset, packed within each bucket."""
+def pack_pieces(pieces: DataFrame, capacity: int, in_order: bool = False) -> DataFrame:
+    """``pieces`` plus sequence_id and offset, packed within each bucket; ``in_order``: written by sequence_id and offset."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def pack(key, rows):
@@ -117,8 +117,11 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
             for i in window:
                 seq[i], off[i] = base + k, at
                 at += lens[i]
-        return rows.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+        placed = rows.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+        return placed.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]) if in_order else placed
 
+    if in_order:  # ranges of buckets satisfy the grouping, which sorts by bucket inside each
+        pieces = pieces.repartitionByRange("bucket")
     return pieces.groupBy("bucket").applyInArrow(pack, schema)
 
 
@@ -128,15 +131,16 @@ def hashed_buckets(docs: DataFrame, group_docs: int = GROUP_DOCS):
     return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n))
 
 
-def ordered_buckets(group_docs: int = GROUP_DOCS):
-    """Bucket column of consecutive rows of a written Parquet table, so that packing keeps the table's order."""
-    return F.pmod(F.xxhash64(F.col("_metadata.file_name"), F.floor(F.col("_metadata.row_index") / group_docs)), F.lit(1 << 38))
+def ordered_buckets(docs: DataFrame, group_docs: int = GROUP_DOCS):
+    """Bucket column of consecutive rows of a written Parquet table (read plainly): buckets ascend with the table's order."""
+    row = file_row(docs)
+    return F.shiftright(row, FILE_BITS) * F.lit(1 << FILE_BITS - 20) + F.floor(row.bitwiseAND(F.lit((1 << FILE_BITS) - 1)) / group_docs)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, bucket=None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, bucket=None, cache_entries: int = CACHE_ENTRIES, in_order: bool = False) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     bucket = hashed_buckets(docs) if bucket is None else bucket
-    return pack_pieces(stage(cut_pieces(docs, tokenizer_path, end_id, capacity, bucket, cache_entries=cache_entries), "pieces"), capacity)
+    return pack_pieces(stage(cut_pieces(docs, tokenizer_path, end_id, capacity, bucket, cache_entries=cache_entries), "pieces"), capacity, in_order)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, pad_id: int = 0) -> DataFrame:

@@ -288,3 +288,50 @@ def test_pipeline(spark, docs):
         kept = now
     pieces = corpus_pipeline.STAGES[-1][1](spark, at, SF).collect()
     assert {r["doc_id"] for r in pieces} == set(kept) and sum(r["length"] for r in pieces) == sum(len(word_ids(t, 2)) for t in kept.values())
+
+
+def plain_mixture(sizes, parts, block):
+    """The mixture's order as (source, position in it), slot by slot: windows and earliest deadlines, from the definition."""
+    starts = {s: np.cumsum([0, *v[:-1]]).tolist() for s, v in sizes.items()}
+    left = {s: max(1, -(-sum(v) // block)) for s, v in sizes.items()}
+    total, done, out = dict(left), dict.fromkeys(left, 0), []
+    while left:
+        whole, had, slot = sum(parts[s] for s in left), dict.fromkeys(left, 0), 0
+        while all(left.values()):
+            ready = [s for s in left if had[s] * whole // parts[s] <= slot]
+            s = min(ready, key=lambda s: (-(-(had[s] + 1) * whole // parts[s]), s))
+            out += [(s, k) for k, at in enumerate(starts[s]) if min(at // block, total[s] - 1) == done[s]]
+            had[s], done[s], left[s], slot = had[s] + 1, done[s] + 1, left[s] - 1, slot + 1
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_written_order_of_mixing_and_packing(spark, monkeypatch):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from glimmer.llm.common import new_path
+
+    rows = [(i, "abc de " * (1 + i % 5), "en", f"src{i % 7 % 3}", 0) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    parts, path, out = {"src0": 4, "src1": 2, "src2": 1}, new_path(spark, "test"), new_path(spark, "test")
+    monkeypatch.setattr(mixing, "tempered", lambda sizes: parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixing.in_mixed_order(docs, block_bytes=2048).write.parquet(path)
+        corpus_pipeline.pack(spark, spark.read.parquet(path), SF).write.parquet(out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [pq.ParquetFile(f).read().column("doc_id").to_pylist() for f in sorted(Path(path).glob("*.parquet"))]
+    ids = {s: [r[0] for r in rows if r[3] == s] for s in parts}
+    want = [ids[s][k] for s, k in plain_mixture({s: [len(rows[i][1]) for i in v] for s, v in ids.items()}, parts, 2048)]
+    assert len(files) > 1 and [d for f in files for d in f] == want
+    placed = [(r["sequence_id"], r["offset"], r["doc_id"]) for f in sorted(Path(out).glob("*.parquet")) for r in pq.ParquetFile(f).read().to_pylist()]
+    assert placed == sorted(placed)
+    groups = [f[i : i + packing.GROUP_DOCS] for f in files for i in range(0, len(f), packing.GROUP_DOCS)]
+    assert len(groups) > len(files)
+    at = 0
+    for g in groups:
+        assert {d for _, _, d in placed[at : at + len(g)]} == set(g)
+        at += len(g)

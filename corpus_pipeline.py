@@ -19,11 +19,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter (or null) are rejected; null lang is filled with the prediction, a given one stays."""
+    """Texts without a letter (or null) are rejected, and no others, whatever was predicted for them.
+
+    Null lang is filled with the prediction and a given one stays; where no row has a label, lang stays null.
+    """
     docs = docs.select(*COLUMNS)
     model = language_id.fit(docs)
-    told = docs.withColumn("_p", language_id.predict_language(F.col("text"), model)).where(F.col("_p.lang_pred") != "und")
-    return told.withColumn("lang", F.coalesce("lang", "_p.lang_pred")).select(*COLUMNS)
+    told = docs.withColumn("_p", language_id.predict_language(F.col("text"), model)).where("_p.lettered")
+    return told.withColumn("lang", F.coalesce("lang", "_p.lang_pred") if model.langs else F.col("lang")).select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,9 +172,9 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, train: Column |
 
 
 def predict_language(text: Column, model: Model) -> Column:
-    """struct(lang_pred, score, ambiguous) of a text column."""
+    """struct(lang_pred, score, ambiguous, lettered) of a text column; ``lettered``: the text has a letter, whatever the model."""
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean, lettered boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         pred, score, doubt = [], [], []
         values = [None if t is None else t for t in texts.tolist()]
@@ -184,7 +184,7 @@ def predict_language(text: Column, model: Model) -> Column:
             score += b.tolist()
             doubt += c.tolist()
         give_back()
-        return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": doubt})
+        return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": doubt, "lettered": [bool(t and LETTER.search(t)) for t in values]})
 
     return predict(text)
 
@@ -192,4 +192,4 @@ def predict_language(text: Column, model: Model) -> Column:
 def identify_languages(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, ambiguous; the model learns from rows that are not held out."""
     model = fit(docs, sample_per_lang, in_training())
-    return docs.select("doc_id", (~in_training()).alias("held_out"), predict_language(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", (~in_training()).alias("held_out"), predict_language(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score", "p.ambiguous")

@@ -335,3 +335,15 @@ def test_written_order_of_mixing_and_packing(spark, monkeypatch):
     for g in groups:
         assert {d for _, _, d in placed[at : at + len(g)]} == set(g)
         at += len(g)
+
+
+def test_language_stage_rejects_only_texts_without_a_letter(spark, odd):
+    cols = corpus_pipeline.COLUMNS
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    lettered = sorted((r["doc_id"] or 0, r["text"]) for r in odd.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
+    got = corpus_pipeline.identify_languages(spark, bare, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == lettered and {r["lang"] for r in got} == {None}
+    marked = odd.withColumn("lang", F.when(F.col("doc_id") == 1, "und"))  # a label that reads like no prediction
+    got = corpus_pipeline.identify_languages(spark, marked, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == lettered and {r["lang"] for r in got} == {"und"}
+    assert corpus_pipeline.identify_languages(spark, bare.where("false"), SF).columns == cols

@@ -8,7 +8,8 @@ deadline is missed and at any slot each source has had its share to within less
 
 Windows repeat every Q slots, so one period of the schedule, a table of Q slots that does not grow with the
 corpus, places any number of blocks by arithmetic. When a source runs out, the parts of those that remain form
-the next phase's weights. Nothing is dropped or repeated.
+the next phase's weights. Nothing is dropped or repeated. Phases times sources grow with the square of the
+sources, so beyond ``PERIODIC_SOURCES`` of them the same schedule is listed block by block.
 
 Null source is the source ''. Null text counts as empty (0 bytes; it starts where the next one starts). Rows that share
 source and doc_id move together; null doc_ids come first in their source. Weights: sources missing from a given table get one
@@ -19,17 +20,23 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import range_staged, small, stage, text_or_empty
+from glimmer.llm.common import new_path, range_staged, small, stage, text_or_empty
 
 BLOCK_BYTES = 1 << 16
 PARTS = 1000
-#: The schedule's tables have at most this many sources; more are an error, not a truncation.
-MAX_SOURCES = 1024
+#: Up to this many sources a phase's period is repeated by arithmetic; with more, every block's slot is listed.
+PERIODIC_SOURCES = 1024
+#: Listed blocks that the driver holds at once.
+LISTED = 1 << 18
+LISTED_COLUMNS = ["source", "block", "phase", "slot", "release", "deadline"]
 
 
 def schedule(parts: dict[str, int]) -> list[str]:
@@ -75,6 +82,63 @@ def phases(blocks: dict[str, int], parts: dict[str, int]) -> list[dict]:
     return out
 
 
+def listed(blocks: dict, parts: dict) -> Iterator[tuple]:
+    """(source, block, phase, slot, release, deadline) of every block by slot: the schedule of ``phases``, listed.
+
+    Sources of equal parts have equal windows, so among them the blocks of one rank go in name order, before those of the
+    next rank. Only the next source of each such class waits in a heap, and a new phase costs no pass over the sources.
+    """
+    left, done, classes = {s: n for s, n in blocks.items() if n > 0}, defaultdict(int), defaultdict(list)
+    for s in sorted(left, reverse=True):  # the next in name order is at the end, where removal is cheap
+        classes[parts[s]].append(s)
+    total, base, phase = sum(parts[s] for s in left), 0, 0
+    while left:
+        ready, waiting, slot = [(-(-total // q), members[-1], q, 0, 0) for q, members in classes.items()], [], 0
+        heapq.heapify(ready)
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                _, q, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * total // q), classes[q][-1], q, j, 0))
+            deadline, s, q, j, at = heapq.heappop(ready)
+            if deadline <= slot:
+                raise AssertionError("a deadline was missed")
+            yield s, done[s], phase, base + slot, base + j * total // q, base + deadline
+            slot += 1
+            done[s] += 1
+            left[s] -= 1
+            members = classes[q]
+            if not left[s]:
+                break
+            if at + 1 < len(members):
+                heapq.heappush(ready, (deadline, members[-2 - at], q, j, at + 1))
+            else:
+                heapq.heappush(waiting, ((j + 1) * total // q, q, j + 1))
+        del left[s], members[-1 - at]
+        if not members:
+            del classes[q]
+        total, base, phase = total - q, base + slot, phase + 1
+
+
+def listed_table(spark, names: pa.Array, blocks: dict[int, int], parts: dict[int, int]) -> DataFrame:
+    """The listed blocks as a staged table; sources are given by their number in ``names``."""
+    path, schema = new_path(spark, "mix-slots"), "source string, block long, phase int, slot long, release long, deadline long"
+    rows: list[tuple] = []
+
+    def send():
+        cols = np.array(rows, np.int64).reshape(-1, len(LISTED_COLUMNS)).T
+        arrays = [names.take(pa.array(cols[0])), *(pa.array(c) for c in cols[1:])]
+        spark.createDataFrame(pa.table(arrays, names=LISTED_COLUMNS)).withColumn("phase", F.col("phase").cast("int")).write.mode("append").parquet(path)
+        rows.clear()
+
+    for row in listed(blocks, parts):
+        rows.append(row)
+        if len(rows) >= LISTED:
+            send()
+    if rows:
+        send()
+    return spark.read.schema(schema).parquet(path)
+
+
 def tempered(sizes: dict[str, float], power: float = 0.5, parts: int = PARTS) -> dict[str, int]:
     """Whole parts (at least one each) in proportion to size ** power."""
     raw = {s: max(v, 1.0) ** power for s, v in sizes.items()}
@@ -93,22 +157,28 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_by
     units = range_staged(units, ["source", "doc_id"], "mix-units")
     # running bytes: a window inside each part, and what earlier parts of the source hold (at most parts + sources rows)
     held = units.groupBy("part", "source").agg(F.sum("n_bytes").alias("held"))
-    before = held.select("part", "source", (F.sum("held").over(Window.partitionBy("source").orderBy("part")) - F.col("held")).alias("before"), "held")
+    whole = Window.partitionBy("source")
+    before = held.select("part", "source", (F.sum("held").over(whole.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(whole).alias("size"))
     before = stage(before, "mix-parts")
-    sizes = {r["source"]: r["n"] for r in before.groupBy("source").agg(F.sum("held").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    parts = {s: max(1, int((weights or {}).get(s, 1))) for s in sizes} if weights is not None else tempered(sizes)
-    blocks = {s: max(1, -(-n // block_bytes)) for s, n in sizes.items()}
-    rows = [(s, k, p["base"], p["total"], first, q, at) for k, p in enumerate(phases(blocks, parts)) for s, (first, q, at) in p["sources"].items()]
+    w = Window.partitionBy("part", "source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = units.withColumn("inside", F.coalesce(F.sum("n_bytes").over(w), F.lit(0))).join(small(before), ["part", "source"])
+    last = F.greatest(F.floor((F.col("size") + block_bytes - 1) / block_bytes), F.lit(1)) - 1
+    placed = placed.select("source", "doc_id", "n_bytes", (F.col("before") + F.col("inside")).alias("first_byte"), last.alias("last"))
+    placed = placed.withColumn("block", F.least(F.floor(F.col("first_byte") / block_bytes), "last").cast("long")).drop("last")
+    totals = before.select("source", "size").distinct().orderBy("source").toArrow()  # one row per source, in name order
+    names, sizes = totals.column("source").combine_chunks(), totals.column("size").to_pylist()
+    blocks = [max(1, -(-n // block_bytes)) for n in sizes]
+    if len(sizes) > PERIODIC_SOURCES:
+        parts = [max(1, int(weights.get(s, 1))) for s in names.to_pylist()] if weights is not None else list(tempered(dict(enumerate(sizes))).values())
+        slots = listed_table(spark, names, dict(enumerate(blocks)), dict(enumerate(parts)))
+        placed = placed.join(small(slots), ["source", "block"]).select("source", "doc_id", "n_bytes", "first_byte", "block", "phase", "slot", "release", "deadline")
+        return stage(placed, "mixture")
+    names = names.to_pylist()
+    parts = {s: max(1, int(weights.get(s, 1))) for s in names} if weights is not None else tempered(dict(zip(names, sizes, strict=True)))
+    rows = [(s, k, p["base"], p["total"], first, q, at) for k, p in enumerate(phases(dict(zip(names, blocks, strict=True)), parts)) for s, (first, q, at) in p["sources"].items()]
     plan = spark.createDataFrame(rows, "source string, phase int, base long, total long, first_block long, q long, at array<int>")
     ends = F.lead("first_block").over(Window.partitionBy("source").orderBy("phase"))
     plan = plan.withColumn("end_block", F.coalesce(ends, F.lit(2**62)))
-    w = Window.partitionBy("part", "source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = units.withColumn("inside", F.coalesce(F.sum("n_bytes").over(w), F.lit(0))).join(F.broadcast(before.drop("held")), ["part", "source"])
-    last = F.create_map(*[x for s, n in blocks.items() for x in (F.lit(s), F.lit(n - 1))])[F.col("source")] if blocks else F.lit(0)
-    placed = placed.select("source", "doc_id", "n_bytes", (F.col("before") + F.col("inside")).alias("first_byte"))
-    placed = placed.withColumn("block", F.least(F.floor(F.col("first_byte") / block_bytes), last).cast("long"))
     placed = placed.join(F.broadcast(plan), "source").where((F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
     j = F.col("block") - F.col("first_block")
     placed = placed.select(

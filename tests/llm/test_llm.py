@@ -347,3 +347,33 @@ def test_language_stage_rejects_only_texts_without_a_letter(spark, odd):
     got = corpus_pipeline.identify_languages(spark, marked, SF).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == lettered and {r["lang"] for r in got} == {"und"}
     assert corpus_pipeline.identify_languages(spark, bare.where("false"), SF).columns == cols
+
+
+def test_listed_blocks_are_the_periodic_schedule():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        names = [f"s{k:02}" for k in range(n)]
+        parts = {s: int(rng.choice([1, 1, 2, 3, 10])) for s in names}
+        blocks = {s: int(rng.choice([1, 1, 2, 5, 60])) for s in names}
+        want = []
+        for k, p in enumerate(mixing.phases(blocks, parts)):
+            for s, (first, q, at) in p["sources"].items():
+                j = 0
+                while (slot := j // q * p["total"] + at[j % q]) < p["length"]:
+                    want.append((s, first + j, k, p["base"] + slot, p["base"] + j * p["total"] // q, p["base"] - (-(j + 1) * p["total"] // q)))
+                    j += 1
+        got = list(mixing.listed(blocks, parts))
+        assert got == sorted(want, key=lambda r: r[3]) and Counter(r[0] for r in got) == blocks
+    assert list(mixing.listed({}, {})) == []
+
+
+def test_mixing_of_many_sources(spark, docs, monkeypatch):
+    many = spark.range(1500).selectExpr("id AS doc_id", "repeat('x', cast(id % 7 AS int)) AS text", "cast(null AS string) AS lang", "concat('s', id % 1100) AS source", "id AS n_chars")
+    rows = mixing.mix_sources(many, block_bytes=4).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1500)) and mixing.in_mixed_order(many).count() == 1500
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    assert len({(r["slot"], r["source"]) for r in rows}) == len({r["slot"] for r in rows})
+    periodic = sorted(map(tuple, mixing.mix_sources(docs, block_bytes=2048).collect()))
+    monkeypatch.setattr(mixing, "PERIODIC_SOURCES", 1)
+    monkeypatch.setattr(mixing, "LISTED", 100)
+    assert sorted(map(tuple, mixing.mix_sources(docs, block_bytes=2048).collect())) == periodic

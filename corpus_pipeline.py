@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from glimmer.llm.common import new_path, small, stage, table
+from glimmer.llm.common import new_path, numbered, small, stage, table
 
 #: Words that a worker remembers while it packs; fewer than packing alone would, since workers come from four stages before.
 CACHE_ENTRIES = 100_000
@@ -30,16 +30,23 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space runs as one space) the smallest doc_id stays."""
+    """Of equal texts (white space runs as one space) one row stays: the smallest doc_id's, null last, then the first in the files."""
     return exact_dedup.drop_duplicates(docs.select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 over 5-word shingles, the smallest doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    found = near_dedup.near_components(docs, size=5, percent=80)
-    go = stage(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_go")).distinct(), "near-go")
-    return docs.join(small(go), docs["doc_id"] == go["_go"], "left_anti").select(*COLUMNS)
+    """Of rows linked by a Jaccard similarity of 0.8 over 5-word shingles one stays: the smallest doc_id's, null last, then the first in the files.
+
+    Rows go by their number, since a doc_id may be null or stand for several texts.
+    """
+    docs = numbered(docs.select(*COLUMNS), "near-input", "_row")
+    found = near_dedup.near_components(docs.select(F.col("_row").alias("doc_id"), "text"), size=5, percent=80)
+    linked = stage(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_in")), "near-linked-rows")
+    every = stage(linked.unionByName(linked.select(F.col("_in").alias("_row"), "_in").distinct()), "near-linked-rows")
+    named = stage(docs.select("_row", F.col("doc_id").cast("long").alias("_id")).join(small(every), "_row"), "near-named-rows")
+    keeps = named.groupBy("_in").agg(F.min(F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_row")).alias("k")).select("_in", F.col("k._row").alias("_stays"))
+    go = stage(named.join(small(stage(keeps, "near-keeps")), "_in").where(F.col("_row") != F.col("_stays")).select(F.col("_row").alias("_go")), "near-go")
+    return docs.join(small(go), docs["_row"] == go["_go"], "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

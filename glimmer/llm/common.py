@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +111,15 @@ def file_row(docs: DataFrame) -> Column:
     return at * F.lit(1 << FILE_BITS) + F.col("_metadata.row_index")
 
 
+def numbered(docs: DataFrame, tag: str, name: str = "row") -> DataFrame:
+    """``docs`` plus a number of each row that is the same in every read: its place in its files; staged first if it is no plain read of such."""
+    try:
+        return docs.withColumn(name, file_row(docs))
+    except (AnalysisException, ValueError):
+        docs = stage(docs, tag)
+        return docs.withColumn(name, file_row(docs))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

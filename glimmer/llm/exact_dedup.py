@@ -8,9 +8,10 @@
    equality of bytes decides and a text that a third of all rows share travels once per task.
 
 Null text counts as empty; empty texts are equal to each other. Null doc_ids never stay in a group that has
-a row with an id; a group of null ids only has a null keep_id and none of its rows stays unless it is alone.
-Rows that repeat a doc_id with the same text all count in group_size and are all marked kept. Other columns
-are ignored. An empty table gives no rows.
+a row with an id; of a group of null ids only, keep_id is null and the first row in the order of the files stays.
+Rows that repeat a doc_id with the same text all count in group_size. ``exact_dedup`` speaks of doc_ids and marks
+all rows of the kept one (as its SQL does); ``drop_duplicates`` leaves exactly one row of a group, the first in
+the order of the files among those with the smallest doc_id. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import new_path, shuffle_partitions, small, stage, text_or_empty
+from glimmer.llm.common import fresh, new_path, numbered, shuffle_partitions, small, stage, text_or_empty
 
 #: Bits of a fingerprint; two different texts that share one are told apart by their bytes.
 BITS = 48
@@ -65,13 +66,13 @@ def _messages(sender: int, prints: np.ndarray, owners: int) -> list[tuple]:
     return [(sender, int(o[0]), rice_encode(p - np.uint64(int(o[0]) * width))) for p, o in zip(np.split(prints, cuts), np.split(owner, cuts), strict=True) if len(p)]
 
 
-def exchange(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, text_sha256, print) of every document, and the suspect fingerprints (print), both staged."""
+def exchange(docs: DataFrame, text: str = "text", row: str = "row") -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, text_sha256, print, row) of every document, and the suspect fingerprints (print), both staged."""
     spark = docs.sparkSession
     owners = shuffle_partitions(spark)
     width = -(-(1 << BITS) // owners)
-    hashed = docs.select("doc_id", F.sha2(normalised(text), 256).alias("text_sha256"))
-    hashed = hashed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_sha256", F.conv(F.substring("text_sha256", 1, BITS // 4), 16, 10).cast("long").alias("print"))
+    hashed = docs.select("doc_id", F.sha2(normalised(text), 256).alias("text_sha256"), F.col(row).alias("row"))
+    hashed = hashed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_sha256", F.conv(F.substring("text_sha256", 1, BITS // 4), 16, 10).cast("long").alias("print"), "row")
 
     def send(batches):
         sender, prints = TaskContext.get().partitionId(), []
@@ -81,14 +82,14 @@ def exchange(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(["row"] * n)], names)
         if prints and (out := _messages(sender, np.concatenate(prints), owners)):
             n = len(out)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array(["message"] * n)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array(["message"] * n)], names)
 
-    names = ["doc_id", "text_sha256", "print", "sender", "owner", "payload", "kind"]
+    names = ["doc_id", "text_sha256", "print", "row", "sender", "owner", "payload", "kind"]
     path = new_path(spark, "exchange")
-    schema = "doc_id long, text_sha256 string, print long, sender int, owner int, payload binary, kind string"
+    schema = "doc_id long, text_sha256 string, print long, row long, sender int, owner int, payload binary, kind string"
     hashed.mapInArrow(send, schema).write.partitionBy("kind").parquet(path)
     both = spark.read.schema(schema).parquet(path)
-    rows = both.where(F.col("kind") == "row").select("doc_id", "text_sha256", "print")
+    rows = both.where(F.col("kind") == "row").select("doc_id", "text_sha256", "print", "row")
     sent = both.where(F.col("kind") == "message").select("sender", "owner", "payload")
 
     def answer(key, table):
@@ -124,23 +125,33 @@ def duplicate_groups(docs: DataFrame, suspects: DataFrame, text: str = "text") -
     return stage(groups.where(F.col("group_size") > 1).select("text_sha256", "keep_id", "group_size"), "groups")
 
 
+def keepers(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The one row that stays of each group: text_sha256, stays (smallest row of those with the keep_id); staged."""
+    first = rows.join(small(groups), "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return stage(first.groupBy("text_sha256").agg(F.min("row").alias("stays")), "keepers")
+
+
 def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, suspects = exchange(docs, text)
+    docs = numbered(docs.select("doc_id", text), "dedup-input", "_row")
+    rows, suspects = exchange(docs, text, "_row")
     groups = duplicate_groups(docs, suspects, text)
-    out = rows.join(small(groups), "text_sha256", "left")
+    nameless = keepers(rows, groups.where(F.col("keep_id").isNull()))
+    out = rows.join(small(groups), "text_sha256", "left").join(small(nameless), "text_sha256", "left")
     return out.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))).alias("kept"),
+        F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("row") == F.col("stays"), F.lit(False))).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that do not stay; its columns are unchanged."""
-    _, suspects = exchange(docs, text)
-    groups = duplicate_groups(docs, suspects, text).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(text), 256)).join(small(groups), "_sha", "left")
-    return marked.where(F.col("_keep").isNull() | (F.col("doc_id") == F.col("_keep"))).select(*docs.columns)
+    """``docs`` without the rows that do not stay: one row of each group is left; its columns are unchanged."""
+    row = fresh(docs, "_row")
+    full = numbered(docs, "dedup-input", row)
+    rows, suspects = exchange(full, text, row)
+    stays = keepers(rows, duplicate_groups(full, suspects, text)).select(F.col("text_sha256").alias("_sha"), F.col("stays").alias("_stays"))
+    marked = full.withColumn("_sha", F.sha2(normalised(text), 256)).join(small(stays), "_sha", "left")
+    return marked.where(F.col("_stays").isNull() | (F.col(row) == F.col("_stays"))).select(*docs.columns)

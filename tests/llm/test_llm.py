@@ -377,3 +377,17 @@ def test_mixing_of_many_sources(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "PERIODIC_SOURCES", 1)
     monkeypatch.setattr(mixing, "LISTED", 100)
     assert sorted(map(tuple, mixing.mix_sources(docs, block_bytes=2048).collect())) == periodic
+
+
+def test_dedup_decides_by_row(spark):
+    rows = [(None, "a b", "en", "s", 3), (None, "a  b", "en", "s", 3), (5, "c d", "en", "s", 3), (5, "c d", "en", "s", 3), (5, "other", "en", "s", 3), (None, "c d", "en", "s", 3), (9, "lone", "en", "s", 3), (None, "alone", "en", "s", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect())
+    assert marks == {(None, None, 2, True): 1, (None, None, 2, False): 1, (5, 5, 3, True): 2, (None, 5, 3, False): 1, (5, 5, 1, True): 1, (9, 9, 1, True): 1, (None, None, 1, True): 1}
+    left = [(r["doc_id"], r["text"].replace("  ", " ")) for r in corpus_pipeline.drop_exact_copies(spark, df, SF).collect()]
+    assert Counter(left) == {(None, "a b"): 1, (5, "c d"): 1, (5, "other"): 1, (9, "lone"): 1, (None, "alone"): 1}
+    far = [" ".join(f"{k}{i}" for i in range(100)) for k in "pqr"]
+    rows = [(1, far[0]), (7, far[0] + " end"), (7, "quite another text of seven words here"), (None, far[1]), (None, far[1] + " end"), (3, far[2] + " end"), (None, far[2]), (4, far[2] + " x"), (3, far[2] + " end")]
+    near = spark.createDataFrame([(d, t, "en", "s", 3) for d, t in rows], df.schema)
+    left = Counter((r["doc_id"], r["text"].removesuffix(" end")) for r in corpus_pipeline.drop_near_copies(spark, near, SF).collect())
+    assert left == {(1, far[0]): 1, (7, rows[2][1]): 1, (None, far[1]): 1, (3, far[2]): 1}

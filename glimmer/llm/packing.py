@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import FILE_BITS, file_row, give_back, stage, text_or_empty
+from glimmer.llm.common import FILE_BITS, file_row, give_back, prepare, stage, text_or_empty
 from glimmer.llm.word_ids import CACHE_ENTRIES, batches, encoder
 
 #: Documents whose last pieces are packed together, on average.
@@ -32,28 +32,34 @@ PLACED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 PIECES = "doc_id long, bucket long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, bucket, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
-    """Pieces of every document; ``bucket``: a long column that names the packing group; ``cache_entries``: words a worker remembers."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, bucket, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES, forget: bool = False) -> DataFrame:
+    """Pieces of every document; ``bucket``: a long column that names the packing group; ``cache_entries``: words a worker
+    remembers; ``forget``: it lets go of them, and of the tokenizer, at the end of each task."""
+    prepare(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bucket.cast("long").alias("bucket"), text_or_empty().alias("text"))
 
     def cut(rows):
-        enc = encoder(tokenizer_path, cache_entries)
+        enc = encoder(tokenizer_path, end_id, cache_entries)
         for rb in rows:
-            doc_ids, buckets, texts = (rb.column(k).to_pylist() for k in range(3))
+            texts = rb.column(2).to_pylist()
             for i, j in batches(texts):
-                ids, counts = enc.encode(texts[i:j], end_id)
-                out = defaultdict(list)
-                at = 0
-                for d, b, n in zip(doc_ids[i:j], buckets[i:j], counts.tolist(), strict=True):
-                    for s in range(0, n, capacity):
-                        piece = ids[at + s : at + min(s + capacity, n)]
-                        for k, v in zip(("doc_id", "bucket", "start", "length", "ids_crc32", "doc_tokens"), (d, b, s, len(piece), zlib.crc32(piece.astype("<u4")), n), strict=True):
-                            out[k].append(v)
-                        if with_ids:
-                            out["ids"].append(piece.astype(np.int64))
-                    at += n
-                kinds = {k: pa.int64() for k in out} | ({"ids": pa.list_(pa.int64())} if with_ids else {})
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
+                ids, counts = enc.encode(texts[i:j])
+                pieces = -(-counts // capacity)
+                of = np.repeat(np.arange(j - i), pieces)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(counts[of] - start, capacity)
+                edges = np.concatenate(([0], np.cumsum(length)))  # pieces lie one after the other
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                at = pa.array(of + i)
+                out = {"doc_id": rb.column(0).take(at), "bucket": rb.column(1).take(at), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(counts[of])}
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            give_back()
+        if forget:
+            enc = None
+            encoder.cache_clear()
             give_back()
 
     return thin.mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
@@ -126,9 +132,9 @@ def pack_pieces(pieces: DataFrame, capacity: int, in_order: bool = False) -> Dat
 
 
 def hashed_buckets(docs: DataFrame, group_docs: int = GROUP_DOCS):
-    """Bucket column that deals documents evenly, whatever their ids (null ids go by text)."""
+    """Bucket column that deals rows evenly by their place in the read, whatever their ids and however often they repeat."""
     n = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
-    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n))
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
 
 
 def ordered_buckets(docs: DataFrame, group_docs: int = GROUP_DOCS):
@@ -137,10 +143,10 @@ def ordered_buckets(docs: DataFrame, group_docs: int = GROUP_DOCS):
     return F.shiftright(row, FILE_BITS) * F.lit(1 << FILE_BITS - 20) + F.floor(row.bitwiseAND(F.lit((1 << FILE_BITS) - 1)) / group_docs)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, bucket=None, cache_entries: int = CACHE_ENTRIES, in_order: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, bucket=None, cache_entries: int = CACHE_ENTRIES, in_order: bool = False, forget: bool = False) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     bucket = hashed_buckets(docs) if bucket is None else bucket
-    return pack_pieces(stage(cut_pieces(docs, tokenizer_path, end_id, capacity, bucket, cache_entries=cache_entries), "pieces"), capacity, in_order)
+    return pack_pieces(stage(cut_pieces(docs, tokenizer_path, end_id, capacity, bucket, cache_entries=cache_entries, forget=forget), "pieces"), capacity, in_order)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, pad_id: int = 0) -> DataFrame:

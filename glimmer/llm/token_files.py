@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import new_path, text_or_empty
+from glimmer.llm.common import new_path, prepare, text_or_empty
 from glimmer.llm.word_ids import batches, encoder
 
 MAGIC = b"GTK1"
@@ -71,34 +71,32 @@ class EliasFano:
         samples = np.frombuffer(data, "<u4", n_samples, at)
         return cls(n, universe, low_bits, low, high, samples), at + 4 * n_samples
 
-    def all(self) -> np.ndarray:
-        """Every value."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64)) if self.low_bits else 0
-        return (high << self.low_bits) + low
-
-    def select(self, i: int) -> int:
-        """Value ``i`` alone: from the sample before it, over at most 64 ones."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        start = int(self.samples[i // SAMPLE])
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The values at positions ``i`` alone: from the sample before each, over at most 64 ones; all walk side by side."""
+        i = np.asarray(i, np.int64)
+        if i.size and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError
+        start = self.samples[i // SAMPLE].astype(np.int64)
         left, byte = i % SAMPLE, start // 8
-        word = int(self.high[byte]) & (0xFF << (start % 8))
-        while (ones := word.bit_count()) <= left:
-            left -= ones
-            byte += 1
-            word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        high = byte * 8 + (word & -word).bit_length() - 1 - i
+        word = self.high[byte] & (0xFF << (start % 8) & 0xFF).astype(np.uint8)
+        go = np.arange(i.size)
+        while go.size:  # whole bytes
+            ones = np.bitwise_count(word[go])
+            go, ones = go[ones <= left[go]], ones[ones <= left[go]]
+            left[go] -= ones
+            byte[go] += 1
+            word[go] = self.high[byte[go]]
+        go = np.flatnonzero(left)
+        while go.size:  # ones inside the last byte
+            word[go] &= word[go] - np.uint8(1)
+            left[go] -= 1
+            go = go[left[go] > 0]
+        last = np.bitwise_count((word & (~word + np.uint8(1))) - np.uint8(1)).astype(np.int64)
+        value = (byte * 8 + last - i) << self.low_bits
         first = i * self.low_bits
-        low = 0
         for k in range(self.low_bits):
-            low |= (int(self.low[(first + k) // 8]) >> ((first + k) % 8) & 1) << k
-        return (high << self.low_bits) | low
+            value |= (self.low[(first + k) // 8] >> ((first + k) % 8).astype(np.uint8) & 1).astype(np.int64) << k
+        return value
 
 
 def encode_block(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -123,7 +121,7 @@ def decode_block(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     ends, used = EliasFano.from_bytes(view[at:])
     at += used
     ids = np.frombuffer(view, f"<u{width}", n_ids, at)
-    return [None] * n_null + (known.all() + first).tolist(), ends, ids
+    return [None] * n_null + (known.select(np.arange(known.n)) + first).tolist(), ends, ids
 
 
 BLOCKS = "part int, block int, local_start long, n_docs int, n_ids long, data binary"
@@ -131,11 +129,12 @@ BLOCKS = "part int, block int, local_start long, n_docs int, n_ids long, data bi
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
     """Encode ``docs`` (doc_id, text) and write the block table to ``path`` in ascending doc_id order."""
+    prepare(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ordered = thin.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(rows):
-        enc, part, block, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        enc, part, block, start = encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0, 0
         names, parts, counts, held = [], [], [], 0
 
         def flush():
@@ -152,7 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
         for rb in rows:
             doc_ids, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
             for i, j in batches(texts):
-                ids, n = enc.encode(texts[i:j], end_id)
+                ids, n = enc.encode(texts[i:j])
                 names += doc_ids[i:j]
                 parts.append(ids)
                 counts.append(n)
@@ -167,6 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; with_ids adds the ids."""
+    prepare(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     # one row per part (at most as many as the write had partitions), so one window and a broadcast serve any corpus
     base = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base"))
@@ -177,7 +177,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         for rb in rows:
             for first, data in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
                 doc_ids, ends, ids = decode_block(data.as_buffer())
-                ends = ends.all()
+                ends = ends.select(np.arange(ends.n))
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

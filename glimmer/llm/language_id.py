@@ -186,7 +186,7 @@ def predict_language(text: Column, model: Model) -> Column:
         give_back()
         return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": doubt, "lettered": [bool(t and LETTER.search(t)) for t in values]})
 
-    return predict(text)
+    return predict.asNondeterministic()(text)  # else a filter and a projection would each run the model
 
 
 def identify_languages(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -17,6 +18,9 @@ from glimmer.session import ship_package
 #: A side of a join is broadcast only when it was counted and has at most this many narrow rows.
 BROADCAST_ROWS = 500_000
 
+#: Row numbers that are broadcast at once to pick or drop rows of a table of texts; more go file by file.
+PICK_ROWS = 2_000_000
+
 #: Rows in an Arrow batch between the JVM and Python: texts are wide, so batches stay at a few MB.
 ARROW_ROWS = 1000
 
@@ -39,11 +43,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one under a local master only."""
     prepare(spark)
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="glimmer-shared-")
@@ -90,6 +96,7 @@ def give_back() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -101,11 +108,17 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def file_row(docs: DataFrame) -> Column:
-    """Place of each row in a plain read of Parquet files: number of the file in name order * 2^FILE_BITS + row index."""
+def file_names(docs: DataFrame) -> list[str]:
+    """Names of the files that a plain read covers, in the order in which they are numbered."""
     names = sorted((f.rsplit("/", 1)[-1] for f in docs.inputFiles()), key=lambda n: (len(n), n))
     if len(set(names)) < len(names):
         raise ValueError("files of one name in several folders have no order")
+    return names
+
+
+def file_row(docs: DataFrame) -> Column:
+    """Place of each row in a plain read of Parquet files: number of the file in name order * 2^FILE_BITS + row index."""
+    names = file_names(docs)
     known = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k).cast("long"))]) if names else F.create_map(F.lit(""), F.lit(0).cast("long"))
     at = F.coalesce(known[F.col("_metadata.file_name")], F.raise_error(F.concat(F.lit("not a listed file: "), F.col("_metadata.file_name"))).cast("long"))
     return at * F.lit(1 << FILE_BITS) + F.col("_metadata.row_index")
@@ -120,6 +133,31 @@ def numbered(docs: DataFrame, tag: str, name: str = "row") -> DataFrame:
         return docs.withColumn(name, file_row(docs))
 
 
+def pick_rows(docs: DataFrame, row: str, wanted: DataFrame, keep: bool = True, limit: int | None = None) -> DataFrame:
+    """The rows of ``docs`` (from ``numbered``) whose number is in ``wanted`` or, without ``keep``, is not; their texts are not shuffled.
+
+    ``wanted``: staged, its only column is ``row``. Up to ``limit`` numbers are broadcast. Beyond that each file is read with
+    its own numbers only, in batches of files that hold at most ``limit`` of them (a file that holds more is a batch).
+    """
+    limit = PICK_ROWS if limit is None else limit
+    how = "left_semi" if keep else "left_anti"
+    if wanted.limit(limit + 1).count() <= limit:
+        return docs.join(F.broadcast(wanted), row, how)
+    names = file_names(docs)
+    number = F.shiftright(row, FILE_BITS)
+    held = {r["file"]: r["n"] for r in wanted.groupBy(number.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per file
+    batches: list[list[int]] = [[]]
+    for k in range(len(names)):
+        if batches[-1] and sum(held.get(i, 0) for i in (*batches[-1], k)) > limit:
+            batches.append([])
+        batches[-1].append(k)
+    parts = []
+    for b in batches:
+        part = docs.where(F.col("_metadata.file_name").isin([names[k] for k in b]))
+        parts.append(part.join(F.broadcast(wanted.where(number.between(b[0], b[-1]))), row, how))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

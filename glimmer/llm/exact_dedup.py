@@ -5,7 +5,8 @@
 2. Owners decode the messages and answer each with a bitmap: which of its fingerprints occur more than once.
 3. Senders read their bitmaps against their own messages; the marked fingerprints are the suspects.
 4. Only texts with a suspect fingerprint are shuffled, pre-aggregated by (hash, whole text) on the map side, so
-   equality of bytes decides and a text that a third of all rows share travels once per task.
+   equality of bytes decides and a text that a third of all rows share travels once per task. They are picked by
+   their row numbers, file by file where these are too many to broadcast at once.
 
 Null text counts as empty; empty texts are equal to each other. Null doc_ids never stay in a group that has
 a row with an id; of a group of null ids only, keep_id is null and the first row in the order of the files stays.
@@ -23,10 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import fresh, new_path, numbered, shuffle_partitions, small, stage, text_or_empty
+from glimmer.llm.common import fresh, give_back, new_path, numbered, pick_rows, prepare, shuffle_partitions, small, stage, text_or_empty
 
 #: Bits of a fingerprint; two different texts that share one are told apart by their bytes.
 BITS = 48
+#: Fingerprints that one owner gets, on average, at most.
+OWNED = 2_000_000
+#: Values whose bits are spread at once.
+SPREAD = 1 << 14
 
 
 def normalised(text: Column | str = "text") -> Column:
@@ -43,8 +48,9 @@ def rice_encode(values: np.ndarray) -> bytes:
     stops = np.cumsum((d >> np.uint64(k)).astype(np.int64) + 1) - 1
     unary = np.zeros(int(stops[-1]) + 1 if len(v) else 0, np.uint8)
     unary[stops] = 1
-    rest = ((d[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.array([k, len(v), len(unary)], "<u4").tobytes() + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()
+    bits = np.arange(k, dtype=np.uint64)
+    rest = [np.packbits(((d[i : i + SPREAD, None] >> bits) & np.uint64(1)).astype(np.uint8)).tobytes() for i in range(0, len(d), SPREAD)]  # whole bytes each
+    return np.array([k, len(v), len(unary)], "<u4").tobytes() + np.packbits(unary).tobytes() + b"".join(rest)
 
 
 def rice_decode(data: bytes) -> np.ndarray:
@@ -52,8 +58,11 @@ def rice_decode(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8, offset=12)
     cut = (bits + 7) // 8
     high = np.diff(np.flatnonzero(np.unpackbits(raw[:cut])[:bits]), prepend=-1) - 1
-    rest = np.unpackbits(raw[cut:])[: n * k].reshape(n, k).astype(np.uint64)
-    low = (rest << np.arange(k, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if k else np.zeros(n, np.uint64)
+    low, shifts = np.zeros(n, np.uint64), np.arange(k, dtype=np.uint64)
+    for i in range(0, n if k else 0, SPREAD):
+        some = raw[cut + i * k // 8 : cut + (min(i + SPREAD, n) * k + 7) // 8]
+        m = min(SPREAD, n - i)
+        low[i : i + m] = (np.unpackbits(some)[: m * k].reshape(m, k).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
     return np.cumsum((high.astype(np.uint64) << np.uint64(k)) + low, dtype=np.uint64)
 
 
@@ -69,7 +78,8 @@ def _messages(sender: int, prints: np.ndarray, owners: int) -> list[tuple]:
 def exchange(docs: DataFrame, text: str = "text", row: str = "row") -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, text_sha256, print, row) of every document, and the suspect fingerprints (print), both staged."""
     spark = docs.sparkSession
-    owners = shuffle_partitions(spark)
+    prepare(spark)
+    owners = max(shuffle_partitions(spark), -(-docs.select(F.lit(1)).count() // OWNED))
     width = -(-(1 << BITS) // owners)
     hashed = docs.select("doc_id", F.sha2(normalised(text), 256).alias("text_sha256"), F.col(row).alias("row"))
     hashed = hashed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_sha256", F.conv(F.substring("text_sha256", 1, BITS // 4), 16, 10).cast("long").alias("print"), "row")
@@ -98,6 +108,7 @@ def exchange(docs: DataFrame, text: str = "text", row: str = "row") -> tuple[Dat
         value, count = np.unique(np.concatenate(lists), return_counts=True)
         twice = value[count > 1]
         maps = [np.packbits(np.isin(x, twice, assume_unique=False)).tobytes() for x in lists]
+        give_back()
         return pa.table({"sender": table.column("sender"), "owner": table.column("owner"), "bitmap": pa.array(maps, pa.binary())})
 
     bitmaps = sent.groupBy("owner").applyInArrow(answer, "sender int, owner int, bitmap binary")
@@ -116,11 +127,10 @@ def exchange(docs: DataFrame, text: str = "text", row: str = "row") -> tuple[Dat
     return rows, stage(suspects, "suspects")
 
 
-def duplicate_groups(docs: DataFrame, suspects: DataFrame, text: str = "text") -> DataFrame:
-    """Groups of at least two rows of equal text: text_sha256, keep_id, group_size; staged."""
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text).alias("body")).withColumn("text_sha256", F.sha2("body", 256))
-    body = body.withColumn("print", F.conv(F.substring("text_sha256", 1, BITS // 4), 16, 10).cast("long"))
-    body = body.join(small(suspects), "print", "left_semi")
+def duplicate_groups(docs: DataFrame, rows: DataFrame, suspects: DataFrame, text: str, row: str) -> DataFrame:
+    """Groups of at least two rows of equal text: text_sha256, keep_id, group_size; staged. rows: as from ``exchange``."""
+    wanted = stage(rows.join(small(suspects), "print", "left_semi").select(F.col("row").alias(row)), "suspect-rows")
+    body = pick_rows(docs, row, wanted).select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text).alias("body")).withColumn("text_sha256", F.sha2("body", 256))
     groups = body.groupBy("text_sha256", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return stage(groups.where(F.col("group_size") > 1).select("text_sha256", "keep_id", "group_size"), "groups")
 
@@ -135,7 +145,7 @@ def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = numbered(docs.select("doc_id", text), "dedup-input", "_row")
     rows, suspects = exchange(docs, text, "_row")
-    groups = duplicate_groups(docs, suspects, text)
+    groups = duplicate_groups(docs, rows, suspects, text, "_row")
     nameless = keepers(rows, groups.where(F.col("keep_id").isNull()))
     out = rows.join(small(groups), "text_sha256", "left").join(small(nameless), "text_sha256", "left")
     return out.select(
@@ -152,6 +162,6 @@ def drop_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     row = fresh(docs, "_row")
     full = numbered(docs, "dedup-input", row)
     rows, suspects = exchange(full, text, row)
-    stays = keepers(rows, duplicate_groups(full, suspects, text)).select(F.col("text_sha256").alias("_sha"), F.col("stays").alias("_stays"))
-    marked = full.withColumn("_sha", F.sha2(normalised(text), 256)).join(small(stays), "_sha", "left")
-    return marked.where(F.col("_stays").isNull() | (F.col(row) == F.col("_stays"))).select(*docs.columns)
+    stays = keepers(rows, duplicate_groups(full, rows, suspects, text, row))
+    go = rows.join(small(stays), "text_sha256").where(F.col("row") != F.col("stays")).select(F.col("row").alias(row))
+    return pick_rows(full, row, stage(go, "duplicate-rows"), keep=False).select(*docs.columns)

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import discard, give_back, new_path, small, stage
-from glimmer.llm.shingles import mix64, shingle_sets
+from glimmer.llm.common import discard, give_back, new_path, numbered, pick_rows, prepare, small, stage
+from glimmer.llm.shingles import forget, mix64, shingle_sets
 
 #: Cells of the count sketch (its size does not grow with the corpus) and pieces in which it is added up.
 SKETCH_CELLS, SKETCH_PIECES = 1 << 24, 128
@@ -48,6 +48,8 @@ def prefix_size(n: int, percent: int) -> int:
 def document_counts(docs: DataFrame, size: int) -> np.ndarray:
     """Class (floor of log2) of each sketch cell: how many documents hold a shingle that falls there."""
 
+    prepare(docs.sparkSession)
+
     def count(batches):
         cells, held = np.zeros(SKETCH_CELLS, np.uint16), 0
 
@@ -68,6 +70,7 @@ def document_counts(docs: DataFrame, size: int) -> np.ndarray:
                 yield sent()
                 cells[:], held = 0, 0
         yield sent()
+        forget()
 
     def add(key, table):
         total = np.zeros(SKETCH_CELLS // SKETCH_PIECES, np.uint64)
@@ -92,7 +95,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Per document: doc_id, n, node, keys (minimum hashes), one array of prefix tokens per order."""
+    """Per document: doc_id, row, n, node, keys (minimum hashes), one array of prefix tokens per order."""
     told = docs.sparkSession.sparkContext.broadcast(zlib.compress(classes.tobytes(), 1))
     kept: dict[str, np.ndarray] = {}
 
@@ -101,7 +104,7 @@ def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -
             kept["classes"] = np.frombuffer(zlib.decompress(told.value), np.uint8)
         rank = kept["classes"]
         for rb in batches:
-            ids, texts = rb.column(0), rb.column(1).to_pylist()
+            ids, rows, texts = rb.column(0), rb.column(1), rb.column(2).to_pylist()
             n, node, keys, pre = [], [], [], ([], [])
             for i in range(0, len(texts), 256):
                 for s in shingle_sets(texts[i : i + 256], size):
@@ -120,18 +123,18 @@ def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -
                         first = np.argpartition(order, p - 1)[:p] if p < len(s) else slice(None)
                         pre[k].append((s[first] >> TOKEN_SHIFT).view(np.int64))
             kinds = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, kinds), pa.array(pre[0], kinds), pa.array(pre[1], kinds)], ["doc_id", "n", "node", "keys", "first", "second"])
+            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, kinds), pa.array(pre[0], kinds), pa.array(pre[1], kinds)], ["doc_id", "row", "n", "node", "keys", "first", "second"])
             give_back()
+        forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n long, node long, keys array<long>, first array<long>, second array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text").mapInArrow(sets, "doc_id long, row long, n long, node long, keys array<long>, first array<long>, second array<long>")
 
 
 def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have Jaccard percent/100 or more; names: node -> doc_id of one of its texts; staged."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node")
+    """The pairs (a, b) of nodes whose sets have Jaccard percent/100 or more; names: node -> row of one of its texts; staged."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node").select("node", "row")
     wanted = stage(wanted, "near-wanted")
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = body.join(small(wanted), body["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    texts = pick_rows(docs, "row", wanted.select("row")).join(small(wanted), "row").select("node", "text")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def test(batches):
@@ -146,14 +149,12 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, size: int, perce
                     if held[0] != a[k] or held[2] != ta[k]:
                         held = (a[k], shingle_sets([ta[k]], size)[0], ta[k])
                     x = held[1]
-                    # a repeated doc_id with another text would bring a foreign set: names must hold
-                    if node_of(x) != a[k] or not len(y) or node_of(y) != b[k]:
-                        continue
                     common = np.intersect1d(x, y, assume_unique=True).size
                     if 100 * common >= percent * (len(x) + len(y) - common):
                         good.append(k)
             yield rb.select([0, 1]).take(pa.array(good, pa.int64()))
             give_back()
+        forget()
 
     return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long"), "near-links")
 
@@ -209,10 +210,9 @@ def forest(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int
 
 def within_clusters(label: DataFrame, names: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what is similar inside each cluster; staged."""
-    members = label.join(label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "label").join(names, "node")
+    members = label.join(label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "label").join(names.select("node", "row"), "node")
     members = stage(members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-members")
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = body.join(small(members), body["doc_id"].eqNullSafe(members["doc_id"])).select("label", "node", "own", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    texts = pick_rows(docs, "row", members.select("row")).join(small(members), "row").select("label", "node", "own", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
     texts = texts.select("label", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "node", "text")
 
     def link(key, rows):
@@ -220,13 +220,13 @@ def within_clusters(label: DataFrame, names: DataFrame, docs: DataFrame, size: i
         own, node, texts = (rows.column(c).to_pylist() for c in ("own", "node", "text"))
         sides: dict[int, dict[int, np.ndarray]] = {lo: {}, hi: {}}
         for i, s in enumerate(shingle_sets(texts, size)):
-            if len(s) and node_of(s) == node[i]:  # a repeated doc_id may bring another text
-                sides[own[i]][node[i]] = s
+            sides[own[i]][node[i]] = s
         left, right = sides[lo], sides[hi]
         found = []
         if left and right:
             found = forest(list(left.values()), None if lo == hi else list(right.values()), percent)
         at = list(left) + ([] if lo == hi else list(right))
+        forget()
         give_back()
         return pa.table({"a": pa.array([at[i] for i, _ in found], pa.int64()), "b": pa.array([at[j] for _, j in found], pa.int64())})
 
@@ -263,16 +263,21 @@ def connected(links: DataFrame) -> DataFrame:
 
     Each round rewrites the links in the shared folder; rounds grow with the logarithm of the components' size.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), "cc")
+    spark = links.sparkSession
+    path = new_path(spark, "cc")
+    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), "cc", path=path)
     before = None
     while True:
+        paths = [path, new_path(spark, "cc"), new_path(spark, "cc")]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        large = stage(large, "cc")
+        large = stage(large, "cc", path=paths[1])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         follow = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(follow.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        edges = stage(follow.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc", path=paths[2])
+        discard(spark, *paths[:2])
+        path = paths[2]
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -281,12 +286,13 @@ def connected(links: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links); percent: least Jaccard in hundredths."""
+    docs = numbered(docs.select("doc_id", "text"), "near-input", "row")
     table = stage(nodes_table(docs, size, percent, document_counts(docs, size)), "near-nodes", codec="zstd")
     live = table.where(F.col("node").isNotNull())
-    names = stage(live.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "near-names")
-    copies = names.where(F.col("copies") > 1).select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"))
-    one = live.join(small(copies), F.col("node") == F.col("_n"), "left").where(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "n", "keys", "first", "second")
-    names = names.select("node", "doc_id")
+    names = stage(live.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "near-names")
+    copies = names.where(F.col("copies") > 1).select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"), F.col("row").alias("_r"))
+    one = live.join(small(copies), F.col("node") == F.col("_n"), "left").where(F.col("_n").isNull() | (F.col("row") == F.col("_r"))).select("node", "n", "keys", "first", "second")
+    names = names.select("node", "doc_id", "row")
     label = clusters(one)
     early = within_clusters(label, names, docs, size, percent)
     late = verify(candidates(one, label, percent), names, docs, size, percent)

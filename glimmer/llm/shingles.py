@@ -34,10 +34,18 @@ class _Powers:
             self.down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, inverse))), dtype=np.uint64)
         return self.up[:n], self.down
 
+    def drop(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
 
 _powers = _Powers()
 
 
+def forget() -> None:
+    """Let go of the powers: workers live on into stages that do not use them."""
+    _powers.drop()
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of folded bytes: a polynomial of its bytes, from prefix sums, mixed with its length."""
     blank = data == 32

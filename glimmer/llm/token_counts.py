@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
+from tokenizers import Tokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,10 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Byte-level pre-token pattern (fixed values of the public tokenizer).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: Ranges of characters whose classes (letter, number, white space) agree between the regex package and the tokenizers
+#: library, as a test makes sure of; a text with any other goes through the library's own pre-tokenizer.
+SETTLED = [(0x0, 0x52F), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x2190, 0x21FF), (0x3000, 0x303F), (0x3041, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E)]
+
 #: Entries that a worker keeps of words already counted; beyond it the table starts anew (memory bound only).
 CACHE_ENTRIES = 600_000
 #: Characters of text handled at once in a worker.
@@ -129,6 +134,9 @@ class TokenCounter:
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, self.merger.specials))) if self.merger.specials else None
         self.risky = regex.compile(r" \s| $")
+        self.unsettled = regex.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in SETTLED) + "]")
+        self.library = Tokenizer.from_file(path).pre_tokenizer
+        self.shown = str.maketrans({c: chr(b) for b, c in byte_alphabet().items()})
         self.cache_entries = cache_entries
         self.spaced: dict[str, int] = {}  # count of " " + word
         self.words: dict[str, int] = {}  # count of one pre-token
@@ -148,6 +156,10 @@ class TokenCounter:
         count = self.words
         self.spaced.update((w, sum([count[p] for p in parts])) for w, parts in split.items())
 
+    def _library_parts(self, text: str) -> list[str]:
+        """Pre-tokens by the library; it writes each byte as a character, which is turned back."""
+        return [p.translate(self.shown).encode("latin-1").decode("utf-8", "surrogatepass") for p, _ in self.library.pre_tokenize_str(text)]
+
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; a special token's own string counts as one token, as the library does by default."""
         out, start = [], 0
@@ -168,7 +180,11 @@ class TokenCounter:
             for piece in pieces:
                 if not piece:
                     continue
-                if self.risky.search(piece):  # runs of white space reach over a space: the pattern must see the whole
+                if self.unsettled.search(piece):
+                    parts = self._library_parts(piece)
+                    plan.append((False, parts))
+                    words.update(parts)
+                elif self.risky.search(piece):  # runs of white space reach over a space: the pattern must see the whole
                     parts = self.pattern.findall(piece)
                     plan.append((False, parts))
                     words.update(parts)

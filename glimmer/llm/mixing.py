@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import new_path, range_staged, small, stage, text_or_empty
+from glimmer.llm.common import fresh, new_path, prepare, range_staged, small, stage, text_or_empty
 
 BLOCK_BYTES = 1 << 16
 PARTS = 1000
@@ -152,6 +152,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_by
     ``slot`` then ``first_byte`` orders the mixture.
     """
     spark = docs.sparkSession
+    prepare(spark)
     thin = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"))
     units = thin.groupBy("source", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
     units = range_staged(units, ["source", "doc_id"], "mix-units")
@@ -175,11 +176,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_by
         return stage(placed, "mixture")
     names = names.to_pylist()
     parts = {s: max(1, int(weights.get(s, 1))) for s in names} if weights is not None else tempered(dict(zip(names, sizes, strict=True)))
-    rows = [(s, k, p["base"], p["total"], first, q, at) for k, p in enumerate(phases(dict(zip(names, blocks, strict=True)), parts)) for s, (first, q, at) in p["sources"].items()]
-    plan = spark.createDataFrame(rows, "source string, phase int, base long, total long, first_block long, q long, at array<int>")
-    ends = F.lead("first_block").over(Window.partitionBy("source").orderBy("phase"))
-    plan = plan.withColumn("end_block", F.coalesce(ends, F.lit(2**62)))
-    placed = placed.join(F.broadcast(plan), "source").where((F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
+    told: dict[str, list[tuple]] = defaultdict(list)
+    for k, p in enumerate(phases(dict(zip(names, blocks, strict=True)), parts)):
+        for s, (first, q, at) in p["sources"].items():
+            told[s].append((k, p["base"], p["total"], first, q, at))
+    # one row per source, its phases in an array: a document looks up its own, the last that begins at or before its block
+    plan = spark.createDataFrame(list(told.items()), "source string, phases array<struct<phase:int,base:long,total:long,first_block:long,q:long,at:array<int>>>")
+    placed = placed.join(F.broadcast(plan), "source")
+    own = F.element_at(F.filter("phases", lambda p: p["first_block"] <= F.col("block")), -1)
+    placed = placed.select("source", "doc_id", "n_bytes", "first_byte", "block", own.alias("p")).select("source", "doc_id", "n_bytes", "first_byte", "block", "p.*")
     j = F.col("block") - F.col("first_block")
     placed = placed.select(
         "source", "doc_id", "n_bytes", "first_byte", "block", "phase",
@@ -192,6 +197,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_by
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (all rows, same columns) sorted into the mixture; written as Parquet, files and rows keep that order."""
-    order = mix_sources(docs, weights, block_bytes).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("slot").alias("_slot"), F.col("first_byte").alias("_at"))
-    on = (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("_s")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_d"))
-    return docs.join(small(order), on).orderBy("_slot", "_s", "_at", "_d").select(*[docs[c] for c in docs.columns])
+    s, d, slot, at = (fresh(docs, n) for n in ("_s", "_d", "_slot", "_at"))
+    order = mix_sources(docs, weights, block_bytes).select(F.col("source").alias(s), F.col("doc_id").alias(d), F.col("slot").alias(slot), F.col("first_byte").alias(at))
+    on = (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(s)) & docs["doc_id"].cast("long").eqNullSafe(F.col(d))
+    return docs.join(small(order), on).orderBy(slot, s, at, d).select(*[docs[c] for c in docs.columns])

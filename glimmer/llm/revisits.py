@@ -8,7 +8,7 @@ that a 304 may carry over (RFC 9111, 3.2 and 4.3.4).
 
 Results: ``resolved``, ``unvalidated`` (no validator in the revisit), ``mismatch`` (validators differ; headers are the revisit's
 own), ``missing`` (no earlier response, or null URL or time). Full responses are returned as ``full``. Of responses at
-one time the one with the greatest id counts as latest. Null headers are an empty map. Repeated rows stay. An empty
+one time the one with the greatest id counts as latest. Null headers are an empty map; header names are lower-cased. Repeated rows stay. An empty
 table gives no rows.
 """
 
@@ -21,12 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import range_staged
+from glimmer.llm.common import prepare, range_staged
 
 #: Headers that a 304 response never updates (fixed values).
 NOT_UPDATED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade"]
 
 
+READ_BYTES = 16 << 20
+READ_COLUMNS = ["file", "position", "url", "ts", "is_revisit", "status", "etag", "last_modified", "headers", "body"]
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme, 'www.', default port, fragment, utm_* parameters and closing slashes removed; host in lower case."""
     bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -36,14 +40,22 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.regexp_replace(F.lower(host), "^www[.]|:(80|443)$", ""), rest)
 
 
+def lower_names(headers: Column) -> Column:
+    """Header names in lower case, since they mean the same in any; of several values that meet, the last in the map stays."""
+    entries = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """captures: capture_id, url, ts (comparable), is_revisit, etag, last_modified, headers map<string,string>.
 
     Returns capture_id, canonical_url, source_id, status, headers (merged).
     """
+    prepare(captures.sparkSession)
     rows = captures.select(
         F.col("capture_id").cast("long").alias("capture_id"), canonical_url(F.col("url")).alias("canonical_url"), "ts", F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"),
-        "etag", "last_modified", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
+        "etag", "last_modified", lower_names(F.col("headers")).alias("headers"),
     )
     rows = range_staged(rows, ["canonical_url", "ts"], "captures")
     full = F.when(~F.col("is_revisit") & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.struct("canonical_url", "capture_id", "ts", "etag", "last_modified", "headers"))
@@ -59,7 +71,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     joined = joined.withColumn("source", F.when(F.col("is_revisit") & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull(), source))
     same = F.when(F.col("etag").isNotNull(), F.coalesce(F.col("etag") == F.col("source.etag"), F.lit(False))).when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == F.col("source.last_modified"), F.lit(False)))
     status = F.when(~F.col("is_revisit"), "full").when(F.col("source").isNull(), "missing").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
-    news = F.map_filter("headers", lambda k, _: ~F.lower(k).isin(NOT_UPDATED))
+    news = F.map_filter("headers", lambda k, _: ~k.isin(NOT_UPDATED))
     kept = F.map_filter("source.headers", lambda k, _: ~F.array_contains(F.map_keys(news), k))
     out = joined.withColumn("status", status)
     good = F.col("status").isin("resolved", "unvalidated")
@@ -87,21 +99,33 @@ def parse_warc(data: bytes):
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of WARC files: file, position, url, ts, is_revisit, status, etag, last_modified, headers, body (one file a task)."""
+    """Captures of WARC files: file, position, url, ts, is_revisit, status, etag, last_modified, headers, body.
+
+    A file is one task; its records go on in batches of about ``READ_BYTES``. Full responses are those of status 2xx; of
+    revisits only those that say "not modified". Other records are left out.
+    """
+    prepare(spark)
 
     def parse(frames):
         for pdf in frames:
             for file, data in zip(pdf["path"], pdf["content"], strict=True):
-                out = []
+                out, held = [], 0
                 for k, (head, block) in enumerate(parse_warc(data)):
-                    if head.get("warc-type") not in ("response", "revisit"):
+                    kind = head.get("warc-type")
+                    if kind not in ("response", "revisit") or (kind == "revisit" and "not-modified" not in head.get("warc-profile", "not-modified")):
                         continue
                     top, _, body = block.partition(b"\r\n\r\n")
                     lines = top.decode("utf-8", "replace").split("\r\n")
                     http = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
                     code = lines[0].split(" ")[1] if lines[0].count(" ") else ""
+                    if kind == "response" and not code.startswith("2"):
+                        continue
                     out.append((file, k, head.get("warc-target-uri"), head.get("warc-date"), head["warc-type"] == "revisit", int(code) if code.isdigit() else None, http.get("etag"), http.get("last-modified"), http, None if head["warc-type"] == "revisit" else body))
-                yield pd.DataFrame(out, columns=["file", "position", "url", "ts", "is_revisit", "status", "etag", "last_modified", "headers", "body"])
+                    held += len(block)
+                    if held >= READ_BYTES:
+                        yield pd.DataFrame(out, columns=READ_COLUMNS)
+                        out, held = [], 0
+                yield pd.DataFrame(out, columns=READ_COLUMNS)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, "file string, position long, url string, ts string, is_revisit boolean, status int, etag string, last_modified string, headers map<string,string>, body binary")

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from glimmer.llm.common import new_path, numbered, small, stage, table
+from glimmer.llm.common import new_path, numbered, pick_rows, small, stage, table
 
-#: Words that a worker remembers while it packs; fewer than packing alone would, since workers come from four stages before.
+#: Words that a worker remembers while it packs; it lets go of them after each task, since workers live on.
 CACHE_ENTRIES = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,10 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = near_dedup.near_components(docs.select(F.col("_row").alias("doc_id"), "text"), size=5, percent=80)
     linked = stage(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_in")), "near-linked-rows")
     every = stage(linked.unionByName(linked.select(F.col("_in").alias("_row"), "_in").distinct()), "near-linked-rows")
-    named = stage(docs.select("_row", F.col("doc_id").cast("long").alias("_id")).join(small(every), "_row"), "near-named-rows")
+    named = stage(docs.select("_row", F.col("doc_id").cast("long").alias("_id")).join(small(every), "_row"), "near-named-rows")  # no texts
     keeps = named.groupBy("_in").agg(F.min(F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_row")).alias("k")).select("_in", F.col("k._row").alias("_stays"))
-    go = stage(named.join(small(stage(keeps, "near-keeps")), "_in").where(F.col("_row") != F.col("_stays")).select(F.col("_row").alias("_go")), "near-go")
-    return docs.join(small(go), docs["_row"] == go["_go"], "left_anti").select(*COLUMNS)
+    go = stage(named.join(small(stage(keeps, "near-keeps")), "_in").where(F.col("_row") != F.col("_stays")).select("_row"), "near-go")
+    return pick_rows(docs, "_row", go, keep=False).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of up to 4096 tokens; groups of consecutive documents of the mixture are packed together, and
     sequence_id ascends with the mixture from group to group."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, bucket=packing.ordered_buckets(docs), cache_entries=CACHE_ENTRIES, in_order=True)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, bucket=packing.ordered_buckets(docs), cache_entries=CACHE_ENTRIES, in_order=True, forget=True)
 
 
 STAGES = [("language_id", identify_languages), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]

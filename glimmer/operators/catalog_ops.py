@@ -33,8 +33,9 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 def oldest_with_ties(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows that share the smallest ``order`` of their key."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("_m", F.min(order).over(w)).where(F.col(order) == F.col("_m")).drop("_m")
+    least = df.groupBy(*keys).agg(F.min(order).alias("_m")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_m")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(least, [*on, F.col(order) == F.col("_m")], "left_semi")
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str], keep_old: bool = False) -> DataFrame:
@@ -91,9 +92,3 @@ def collapse_fragments(rows: DataFrame, url: str, score: str, key: str) -> DataF
     """One row per base address: best score and its key, number of matches, matching keys in order."""
     base = F.substring_index(F.col(url), "#", 1)
     return rows.withColumn("base", base).groupBy("base").agg(F.max(F.struct(score, F.negate(key).alias("k"))).alias("m"), F.count(F.lit(1)).alias("matches"), F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("members")).select("base", F.negate("m.k").alias("best"), F.col(f"m.{score}").alias("score"), "matches", "members")
-
-
-def media_type(kind: Column, mime: Column) -> Column:
-    """MIME first, then an exact 'video', then anything with 'audio', else image."""
-    m = F.lower(F.coalesce(mime, F.lit("")))
-    return F.when(m.startswith("image/"), "image").when(m.startswith("video/"), "video").when(m.startswith("audio/"), "audio").when(F.lower(kind) == "video", "video").when(F.contains(F.lower(F.coalesce(kind, F.lit(""))), F.lit("audio")), "audio").otherwise("image")

@@ -29,18 +29,25 @@ def merge_segments(segments: DataFrame, key: str, gap: float = 5.0, ratio: float
 
 
 def merge_regions(regions: DataFrame, key: str, slack: float = 1.0) -> DataFrame:
-    """Regions (key, start, end) joined when one starts within ``slack`` of the furthest end so far."""
+    """Regions (key, start, end, intensity, type) joined when one starts within ``slack`` of the furthest end so far; the greatest
+    intensity and its type stay (ties: the first)."""
     w = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = regions.withColumn("_new", F.when(F.col("start") <= reach + slack, 0).otherwise(1))
     placed = flagged.withColumn("region", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.groupBy(key, "region").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    best = F.max_by("type", F.struct("intensity", F.negate("start").alias("a"), F.negate("end").alias("b")))
+    return placed.groupBy(key, "region").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("intensity").alias("intensity"), best.alias("type"))
 
 
-def gaps(regions: DataFrame, key: str, least: float = 2.0) -> DataFrame:
-    """Time between consecutive regions of a key that lasts at least ``least``."""
+def gaps(regions: DataFrame, key: str, videos: DataFrame, least: float = 2.0) -> DataFrame:
+    """Stretches of (key, duration) outside its merged regions that last at least ``least``: before the first region if that begins
+    after second 1, between regions, after the last if it ends over a second before the end; all of a video without regions."""
     w = Window.partitionBy(key).orderBy("start", "end")
-    return regions.select(key, F.col("end").alias("gap_start"), F.lead("start").over(w).alias("gap_end")).where(F.col("gap_end") - F.col("gap_start") >= least)
+    placed = videos.select(key, "duration").join(regions.select(key, "start", "end"), key, "left").withColumn("_next", F.lead("start").over(w)).withColumn("_rn", F.row_number().over(w))
+    stretch = lambda a, b, cond: F.when(cond, F.struct(a.cast("double").alias("gap_start"), b.cast("double").alias("gap_end")))
+    start, end, d = F.col("start"), F.col("end"), F.col("duration")
+    all_of = F.array(stretch(F.lit(0.0), d, start.isNull()), stretch(F.lit(0.0), start, (F.col("_rn") == 1) & (start > 1)), stretch(end, F.col("_next"), F.col("_next").isNotNull()), stretch(end, d, F.col("_next").isNull() & (end < d - 1)))
+    return placed.select(key, F.explode(F.array_compact(all_of)).alias("g")).select(key, "g.*").where(F.col("gap_end") - F.col("gap_start") >= least)
 
 
 def merge_cuts(cuts: Column, window: float) -> Column:
@@ -64,37 +71,49 @@ def keyframe_times(batches: DataFrame, shares: tuple[float, ...] = (0.2, 0.4, 0.
 def segments_from_cuts(videos: DataFrame, key: str, overlap: float = 2.0, longest: float = 120.0, least: float = 3.0) -> DataFrame:
     """Segments of (key, duration, cuts): the stretches between cuts, widened by ``overlap`` at inner edges, in chunks of at
     most ``longest`` that step back by ``overlap``; chunks shorter than ``least`` are left out."""
-    edges = F.array_distinct(F.array_sort(F.concat(F.array(F.lit(0.0), F.col("duration")), F.filter("cuts", lambda c: (c > 0) & (c < F.col("duration"))))))
+    edges = F.array_sort(F.concat(F.array(F.lit(0.0), F.col("duration")), F.filter("cuts", lambda c: (c > 0) & (c < F.col("duration")))))
     spans = videos.withColumn("_e", edges).select(key, "duration", F.posexplode(F.arrays_zip(F.slice("_e", F.lit(1), F.size("_e") - 1).alias("a"), F.slice("_e", F.lit(2), F.size("_e") - 1).alias("b"))).alias("n", "s"))
     wide = spans.select(key, "n", F.when(F.col("s.a") > 0, F.greatest(F.col("s.a") - overlap, F.lit(0.0))).otherwise(0.0).alias("a"), F.when(F.col("s.b") < F.col("duration"), F.least(F.col("s.b") + overlap, F.col("duration"))).otherwise(F.col("duration")).alias("b"))
     steps = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("b") - F.col("a") - overlap) / (longest - overlap)) - 1, F.lit(0)).cast("int"))
-    chunk = wide.select(key, "n", "a", "b", F.explode(steps).alias("k")).select(key, (F.col("a") + F.col("k") * (longest - overlap)).alias("start"), F.least(F.col("a") + F.col("k") * (longest - overlap) + longest, F.col("b")).alias("end"))
+    chunk = wide.select(key, "a", "b", F.explode(steps).alias("_step")).select(key, (F.col("a") + F.col("_step") * (longest - overlap)).alias("start"), F.least(F.col("a") + F.col("_step") * (longest - overlap) + longest, F.col("b")).alias("end"))
     return chunk.where(F.col("end") - F.col("start") >= least)
 
 
-def compare_incremental(new: DataFrame, old: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def compare_incremental(new: DataFrame, old: DataFrame, key: str, bucket: float = 300.0) -> tuple[DataFrame, DataFrame]:
     """(new segments with their kind, superseded old segments): joined on ``key`` with the overlap as residual.
 
-    Greatest overlap under 0.8: new, else overlapping; an old segment is superseded by the new one that overlaps it most, over 0.5.
+    Greatest overlap under 0.8: new, else overlapping; an old segment is superseded by the new one of kind new that overlaps it
+    most, over 0.5. Segments meet by key and time bucket: each lies in all buckets that it covers, and a pair counts in the
+    first that both cover, so a key with any share of the rows is spread over its time.
     """
     share = overlap_share(F.col("start"), F.col("end"), F.col("o_start"), F.col("o_end"))
-    met = new.join(old, key).where((F.col("start") < F.col("o_end")) & (F.col("end") > F.col("o_start"))).withColumn("share", share)
+    spread = lambda df, a, b: df.withColumn("_k", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(a), F.col(b)) / bucket))))
+    both = spread(new, "start", "end").join(spread(old, "o_start", "o_end"), [key, "_k"])
+    met = both.where((F.col("_k") == F.floor(F.greatest("start", "o_start") / bucket)) & (F.col("start") < F.col("o_end")) & (F.col("end") > F.col("o_start"))).withColumn("share", share)
     best = met.groupBy("id").agg(F.max("share").alias("share"))
     kinds = new.join(best, "id", "left").select("id", F.coalesce("share", F.lit(0.0)).alias("share")).withColumn("kind", F.when(F.col("share") < 0.8, "new").otherwise("overlapping"))
-    gone = met.where(F.col("share") > 0.5).groupBy("o_id").agg(F.max(F.struct("share", F.negate("id").alias("n"))).alias("m")).select("o_id", F.negate("m.n").alias("by_id"))
+    fresh = kinds.where(F.col("kind") == "new").select("id")
+    gone = met.where(F.col("share") > 0.5).join(fresh, "id", "left_semi").groupBy("o_id").agg(F.max(F.struct("share", F.negate("id").alias("n"))).alias("m")).select("o_id", F.negate("m.n").alias("by_id"))
     return kinds, gone
 
 
 #: One transcript line: [HH:MM:SS.mmm --> HH:MM:SS.mmm] text
-LINE = r"\[(\d+):(\d+):(\d+(?:\.\d+)?) --> (\d+):(\d+):(\d+(?:\.\d+)?)\][ \t]*([^\n]*)"
+LINE = r"\[(\d+):(\d+):(\d+(?:\.\d+)?) --> (\d+):(\d+):(\d+(?:\.\d+)?)\]([^\[]*)"
 
 
 def parse_transcript(raw: DataFrame, text: str = "raw") -> DataFrame:
-    """One row per transcript line: n, start and end in seconds, text."""
+    """One row per marked stretch with text: n, start and end in seconds, text (up to the next bracket, over line ends too)."""
     part = lambda g: F.regexp_extract_all(text, F.lit(LINE), F.lit(g))
     rows = raw.select("*", F.posexplode(F.arrays_zip(*[part(g).alias(f"g{g}") for g in range(1, 8)])).alias("n", "z"))
     sec = lambda h, m, s: F.col(f"z.g{h}").cast("double") * 3600 + F.col(f"z.g{m}").cast("double") * 60 + F.col(f"z.g{s}").cast("double")
-    return rows.select(*[c for c in raw.columns if c != text], "n", sec(1, 2, 3).alias("start"), sec(4, 5, 6).alias("end"), F.trim("z.g7").alias("text"))
+    return rows.select(*[c for c in raw.columns if c != text], "n", sec(1, 2, 3).alias("start"), sec(4, 5, 6).alias("end"), F.regexp_replace("z.g7", r"^\s+|\s+$", "").alias("text")).where(F.col("text") != "")
+
+
+def transcript_rows(segments: DataFrame, text: str = "transcription") -> DataFrame:
+    """Each segment as one row per parsed transcript line, with the line's own times and text; unchanged where none is found."""
+    lines = parse_transcript(segments.select("id", F.col(text).alias("raw"))).select("id", "n", F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("text").alias("_t"))
+    out = segments.join(lines, "id", "left")
+    return out.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_a", "start").alias("start"), F.coalesce("_b", "end").alias("end"), F.coalesce("_t", F.col(text)).alias(text))
 
 
 def clock(seconds: Column) -> Column:
@@ -117,7 +136,46 @@ def overall_progress(p0: Column, p1: Column, total: Column) -> Column:
 
 
 def motion_summary(samples: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """Mean, population deviation, peaks over mean + deviation (capped at 1), static (< 0.1) and action (> 0.6) samples."""
+    """Mean and population deviation (each at most 1), peaks over mean + deviation (as they are), static (< 0.1) and action (> 0.6) samples."""
     stats = samples.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
-    cut = F.least(F.col("mean") + F.col("sd"), F.lit(1.0))
-    return samples.join(stats, key).groupBy(key).agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.count_if(F.col(value) > cut).alias("peaks"), F.count_if(F.col(value) < 0.1).alias("static"), F.count_if(F.col(value) > 0.6).alias("action"))
+    cut = F.col("mean") + F.col("sd")
+    return samples.join(stats, key).groupBy(key).agg(F.least(F.lit(1.0), F.first("mean")).alias("mean"), F.least(F.lit(1.0), F.first("sd")).alias("sd"), F.count_if(F.col(value) > cut).alias("peaks"), F.count_if(F.col(value) < 0.1).alias("static"), F.count_if(F.col(value) > 0.6).alias("action"))
+
+
+def priority(number: Column, duration: Column) -> Column:
+    """Later passes first, then shorter segments."""
+    return number * 100 + F.greatest(F.lit(0), 20 - duration)
+
+
+def mark_superseded(old: DataFrame, gone: DataFrame) -> DataFrame:
+    """``old`` (id, priority, superseded_by) with the replacement and a low priority where there is one."""
+    out = old.join(gone.select(F.col("o_id").alias("id"), F.col("by_id").alias("_by")), "id", "left")
+    return out.withColumn("superseded_by", F.coalesce("_by", "superseded_by")).withColumn("priority", F.when(F.col("_by").isNotNull(), 50).otherwise(F.col("priority"))).drop("_by")
+
+
+def close_frames(frames: DataFrame, key: str, kind: str = "I", within: float = 2.0) -> DataFrame:
+    """(key, start, end) of consecutive frames of a kind that lie less than ``within`` apart (frames: t, type, id)."""
+    w = Window.partitionBy(key).orderBy("t", "id")
+    both = frames.select(key, "t", "type", F.lag("t").over(w).alias("p"), F.lag("type").over(w).alias("p_type"))
+    return both.where((F.col("type") == kind) & (F.col("p_type") == kind) & (F.col("t") - F.col("p") < within)).select(key, F.col("p").alias("start"), F.col("t").alias("end"))
+
+
+def motion_windows(frames: DataFrame, key: str, size: int = 10, over: float = 0.7) -> DataFrame:
+    """(key, start, end, intensity) of windows of ``size`` frames of which more than ``over`` are P frames; a window needs a frame after it."""
+    w = Window.partitionBy(key).orderBy("t", "id")
+    share = F.avg(F.when(F.col("type") == "P", 1.0).otherwise(0.0)).over(w.rowsBetween(0, size - 1))
+    out = frames.select(key, F.col("t").alias("start"), F.lead("t", size - 1).over(w).alias("end"), share.alias("intensity"), F.lead("id", size).over(w).alias("_next"))
+    return out.where(F.col("_next").isNotNull() & (F.col("intensity") > over)).drop("_next")
+
+
+def merged_texts(segments: DataFrame, key: str, gap: float = 5.0, ratio: float = 0.3, least: float = 2.0) -> DataFrame:
+    """Islands as in ``merge_segments`` with their texts in order, the best segment's thumbnail, and by score."""
+    w = Window.partitionBy(key).orderBy("start", "end", "id")
+    p_start, p_end = F.lag("start").over(w), F.lag("end").over(w)
+    shared, span, away = F.least("end", p_end) - F.greatest("start", p_start), F.greatest("end", p_end) - F.least("start", p_start), F.col("start") - p_end
+    joins = ((shared > 0) & (span > 0) & (shared / F.when(span > 0, span) > ratio)) | ((away >= 0) & (away <= gap))
+    placed = segments.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "id", "text")))
+    out = placed.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.avg("score").alias("score"), parts.alias("p"), F.max_by("thumbnail", F.struct("score", F.negate("start").alias("a"), F.negate("id").alias("k"))).alias("thumbnail"))
+    text = F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda t: t.isNotNull() & (t != "")), " ")
+    return out.where(F.col("end") - F.col("start") >= least).select(key, "island", "start", "end", "score", text.alias("text"), "thumbnail")

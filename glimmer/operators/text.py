@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Parameters of BM25.
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -15,43 +16,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+#: English function words; pass another list where another is wanted.
+STOP_WORDS = ("a about after all also am an and any are as at be because been before being between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your").split()
+
+
 def clean_query(query: Column) -> Column:
     """Words of a query: what is neither a word character nor white space becomes a blank."""
     return F.filter(F.split(F.regexp_replace(query, r"[^\w\s]", " "), r"\s+"), lambda x: x != "")
 
 
-def inverted_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl): term counts are summed map-side before the shuffle."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
-    return words.select("doc_id", "dl", F.explode("words").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _equals(term: str):
-    return lambda w: w == term
-
-
-def bm25(docs: DataFrame, terms: list[str], doc_id: str = "doc_id", text: str = "text", all_terms: bool = False) -> DataFrame:
-    """(doc_id, bm25), lower is better, for documents with any (or all) of the terms.
-
-    Only documents that hold a term are expanded; counts of the corpus are one aggregate over lengths.
-    """
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("words"))
-    terms = sorted(set(terms))
-    counted = words.select("doc_id", F.size("words").alias("dl"), *[F.size(F.filter("words", _equals(t))).alias(f"f{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    hit = [F.col(f"f{i}") > 0 for i in range(len(terms))]
-    cond = hit[0] if hit else F.lit(False)
-    for h in hit[1:]:
-        cond = cond & h if all_terms else cond | h
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        f = F.col(f"f{i}").cast("double")
-        score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return counted.where(cond).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("bm25"))  # stats: one row
-
-
 def char_ngrams(text: Column, n: int) -> Column:
     """Character n-grams; a shorter text is its only one."""
     return F.when(F.length(text) < n, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))

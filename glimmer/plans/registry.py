@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.operators import catalog_ops as C
-from glimmer.operators import fusion, intervals, text, understanding, vectors
+from glimmer.operators import fusion, intervals, search, text, vectors
 from glimmer.sources.catalog import segments, table
 
 QUERIES: dict = {}
@@ -89,7 +89,8 @@ BM = r"""
 
 
 def best_texts(spark, sf_dir, n):
-    return text.bm25(table(spark, sf_dir, "documents"), TERMS).select("doc_id", r6("bm25").alias("bm25")).orderBy("bm25", "doc_id").limit(n)
+    path = search.postings(spark, f"{sf_dir}/documents", table(spark, sf_dir, "documents"))
+    return search.top(search.ranked(spark, path, TERMS).select("doc_id", r6("bm25").alias("bm25")), n)
 
 
 @query(f"WITH {BM} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY 2, 1 LIMIT 20")
@@ -103,47 +104,65 @@ def bm25_min_max(spark, sf_dir):
 
 
 HY = BM + f""",
-    v AS (SELECT vec_id AS id, round(exp(-d * d / 2.5), 6) AS vs FROM ({KNN.format(k=60)})),
+    v AS (SELECT vec_id AS id, d, exp(-d * d / 2.5) AS vs FROM ({KNN.format(k=60)})),
     p AS (SELECT doc_id, round(bm25, 6) AS s FROM b ORDER BY 2, 1 LIMIT 60),
-    f AS (SELECT doc_id AS id, round(1 - (s - min(s) OVER ()) / CASE WHEN max(s) OVER () = min(s) OVER () THEN 1 ELSE max(s) OVER () - min(s) OVER () END, 6) AS fs FROM p)"""
+    f AS (SELECT doc_id AS id, 1 - (s - min(s) OVER ()) / CASE WHEN max(s) OVER () = min(s) OVER () THEN 1 ELSE max(s) OVER () - min(s) OVER () END AS fs FROM p)"""
 
 
 def both_lists(spark, sf_dir):
     d = F.col("distance")
-    v = neighbours(spark, sf_dir, 60).select(F.col("vec_id").alias("id"), r6(F.exp(-d * d / 2.5)).alias("vs"))
-    f = vectors.min_max_page(best_texts(spark, sf_dir, 60)).select(F.col("doc_id").alias("id"), r6("norm").alias("fs"))
+    v = neighbours(spark, sf_dir, 60).select(F.col("vec_id").alias("id"), F.exp(-d * d / 2.5).alias("vs"))
+    f = vectors.min_max_page(best_texts(spark, sf_dir, 60)).select(F.col("doc_id").alias("id"), F.col("norm").alias("fs"))
     return v, f
 
 
 def rounded(df):
-    return df.select("id", "vs", "fs", r6("score").alias("score"))
+    """Rounded once, at the end, to fewer places than the engines agree on."""
+    return df.select("id", *[F.round(c, 5).alias(c) for c in ("vs", "fs", "score")])
 
 
 @query(f"""WITH {HY}, h AS (SELECT coalesce(v.id, f.id) AS id, coalesce(vs, 0) AS vs, coalesce(fs, 0) AS fs FROM (SELECT * FROM v WHERE vs >= 0.4) v FULL JOIN f ON v.id = f.id)
-    SELECT id, vs, fs, round(0.7::DOUBLE * vs + (1 - 0.7::DOUBLE) * fs, 6) AS score FROM h WHERE 0.7::DOUBLE * vs + (1 - 0.7::DOUBLE) * fs >= 0.25 ORDER BY 0.7::DOUBLE * vs + (1 - 0.7::DOUBLE) * fs DESC, id LIMIT 20""")
+    SELECT id, round(vs, 5) AS vs, round(fs, 5) AS fs, round(0.7::DOUBLE * vs + (1 - 0.7::DOUBLE) * fs, 5) AS score FROM h WHERE 0.7::DOUBLE * vs + (1 - 0.7::DOUBLE) * fs >= 0.25 ORDER BY 0.7::DOUBLE * vs + (1 - 0.7::DOUBLE) * fs DESC, id LIMIT 20""")
 def hybrid_av(spark, sf_dir):
     return rounded(fusion.hybrid(*both_lists(spark, sf_dir), alpha=0.7, min_vector=0.4, min_score=0.25, limit=20))
 
 
-@query(f"WITH {HY} SELECT id, vs, CAST(0 AS DOUBLE) AS fs, round(0.5 * vs, 6) AS score FROM v ORDER BY 0.5 * vs DESC, id LIMIT 20")
+@query(f"""WITH {HY}, h AS (SELECT coalesce(v.id, f.id) AS id, coalesce(vs, 0) AS vs, coalesce(fs, 0) AS fs FROM v FULL JOIN f ON v.id = f.id)
+    SELECT id, round(vs, 5) AS vs, round(fs, 5) AS fs, round(0.5e0 * vs + 0.5e0 * fs, 5) AS score FROM h WHERE 0.5e0 * vs + 0.5e0 * fs >= 0.3 ORDER BY 0.5e0 * vs + 0.5e0 * fs DESC, id LIMIT 20""")
+def hybrid_image(spark, sf_dir):
+    return rounded(fusion.hybrid(*both_lists(spark, sf_dir), alpha=0.5, min_vector=0.0, min_score=0.3, limit=20, skip_cut_without_text=True))
+
+
+@query(f"WITH {HY} SELECT id, round(vs, 5) AS vs, CAST(0 AS DOUBLE) AS fs, round(0.5 * vs, 5) AS score FROM v ORDER BY 0.5 * vs DESC, id LIMIT 20")
 def hybrid_image_without_text(spark, sf_dir):
-    v, f = both_lists(spark, sf_dir)
-    return rounded(fusion.hybrid(v, f.where("id < 0"), alpha=0.5, min_vector=0.0, min_score=0.6, limit=20, skip_cut_without_text=True))
+    path = search.postings(spark, f"{sf_dir}/documents", table(spark, sf_dir, "documents"))
+    nothing = vectors.min_max_page(search.top(search.ranked(spark, path, ["nosuchword"]), 60)).select(F.col("doc_id").alias("id"), F.col("norm").alias("fs"))
+    return rounded(fusion.hybrid(both_lists(spark, sf_dir)[0], nothing, alpha=0.5, min_vector=0.0, min_score=0.6, limit=20, skip_cut_without_text=True))
+
+
+@query(f"""WITH {HY}, h AS (SELECT coalesce(v.id, f.id) AS id, coalesce(vs, 0) AS vs, coalesce(fs, 0) AS fs FROM (SELECT * FROM v WHERE d <= 1.3) v FULL JOIN f ON v.id = f.id)
+    SELECT id, round(0.7::DOUBLE * vs + (1 - 0.7::DOUBLE) * fs, 5) AS score FROM h ORDER BY 0.7::DOUBLE * vs + (1 - 0.7::DOUBLE) * fs DESC, id LIMIT 10 OFFSET 5""")
+def hybrid_legacy(spark, sf_dir):
+    d = F.col("distance")
+    v = neighbours(spark, sf_dir, 60).where(d <= 1.3).select(F.col("vec_id").alias("id"), F.exp(-d * d / 2.5).alias("vs"))
+    out = fusion.hybrid(v, both_lists(spark, sf_dir)[1], alpha=0.7, min_vector=0.0, min_score=float("-inf"), limit=15)
+    return C.offset_page(out, [F.desc("score"), F.col("id")], 5, 10).select("id", F.round("score", 5).alias("score"))
 
 
-@query(f"""WITH {HY}, r AS (SELECT 'text' AS l, id, row_number() OVER (ORDER BY fs DESC, id) AS rn FROM f UNION ALL SELECT 'vector', id, row_number() OVER (ORDER BY vs DESC, id) FROM v)
+@query(f"""WITH {HY}, r AS (SELECT 'text' AS l, id, row_number() OVER (ORDER BY round(fs, 6) DESC, id) AS rn FROM f UNION ALL SELECT 'vector', id, row_number() OVER (ORDER BY round(vs, 6) DESC, id) FROM v)
     SELECT id, round(sum(1.0::DOUBLE / (60 + rn)), 6) AS score, string_agg(l, ',' ORDER BY l) AS sources FROM r GROUP BY id""")
 def rrf_fusion(spark, sf_dir):
     v, f = both_lists(spark, sf_dir)
+    v, f = v.withColumn("vs", r6("vs")), f.withColumn("fs", r6("fs"))
     lists = v.select(F.lit("vector").alias("list_name"), "id", F.col("vs").alias("score")).unionByName(f.select(F.lit("text").alias("list_name"), "id", F.col("fs").alias("score")))
     return fusion.reciprocal_rank(lists).select("id", r6("score").alias("score"), "sources")
 
 
-@query(f"WITH {HY}, a AS (SELECT id, vs AS s FROM v ORDER BY vs DESC, id LIMIT 4), u AS (SELECT id, 0.7::DOUBLE * s AS s FROM a UNION ALL SELECT id, 0.3::DOUBLE * fs FROM f) SELECT id, round(sum(s), 6) AS score FROM u GROUP BY id")
+@query(f"WITH {HY}, a AS (SELECT id, vs AS s FROM v ORDER BY vs DESC, id LIMIT 4), u AS (SELECT id, 0.7::DOUBLE * s AS s FROM a UNION ALL SELECT id, 0.3::DOUBLE * fs FROM f) SELECT id, round(sum(s), 5) AS score FROM u GROUP BY id")
 def depth_search(spark, sf_dir):
     v, f = both_lists(spark, sf_dir)
     first = v.orderBy(F.desc("vs"), "id").limit(4).select("id", F.col("vs").alias("score"))
-    return fusion.two_depth(first, f.select("id", F.col("fs").alias("score"))).select("id", r6("score").alias("score"))
+    return fusion.two_depth(first, f.select("id", F.col("fs").alias("score"))).select("id", F.round("score", 5).alias("score"))
 
 
 @query("SELECT doc_id, CASE WHEN i > 0 THEN substr(text, greatest(i - 50, 1), i + 5 + 50 - greatest(i - 50, 1)) ELSE substr(text, 1, 100) END AS snippet FROM (SELECT doc_id, text, instr(lower(text), 'thing') AS i FROM documents)")
@@ -159,7 +178,7 @@ def char_ngrams(spark, sf_dir):
 
 @query()
 def smart_query_stems(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.stem_words(text.smart_terms(F.col("text"), ["the", "and", "of", "to"])), " ").alias("terms"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.stem_words(text.smart_terms(F.col("text"), text.STOP_WORDS)), " ").alias("terms"))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' ORDER BY date_trunc('second', o_orderdate) DESC, o_orderkey DESC LIMIT 20")
@@ -270,15 +289,30 @@ def temporal_merge(spark, sf_dir):
 
 @query(f"""WITH {SEG}, l AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
     i AS (SELECT *, sum(CASE WHEN a <= reach + 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS region FROM l)
-    SELECT user_id, CAST(region AS BIGINT) AS region, round(min(a), 3) AS "start", round(max(b), 3) AS "end" FROM i GROUP BY 1, 2""")
+    SELECT user_id, CAST(region AS BIGINT) AS region, round(min(a), 3) AS "start", round(max(b), 3) AS "end", max(score) AS intensity, arg_min(id % 5, (-score, a, b)) AS type FROM i GROUP BY 1, 2""")
 def merge_regions(spark, sf_dir):
-    out = intervals.merge_regions(segments(spark, sf_dir), "user_id", 60.0)
-    return out.select("user_id", F.col("region").cast("long").alias("region"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    out = intervals.merge_regions(regions(spark, sf_dir), "user_id", 60.0)
+    return out.select("user_id", F.col("region").cast("long").alias("region"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "intensity", "type")
+
+
+def regions(spark, sf_dir):
+    return segments(spark, sf_dir).withColumns({"intensity": F.col("score"), "type": F.col("id") % 5})
 
 
-@query(f"WITH {SEG}, g AS (SELECT user_id, b AS gap_start, lead(a) OVER (PARTITION BY user_id ORDER BY a, b) AS gap_end FROM s) SELECT user_id, round(gap_start, 3) AS gap_start, round(gap_end, 3) AS gap_end FROM g WHERE gap_end - gap_start >= 2")
+#: The events' first day, so that times count from 0.
+DAY = 86400.0
+
+
+@query(f"""WITH {SEG}, t AS (SELECT user_id, min(floor(a / 86400) * 86400) AS t0, max(b) + 3600 AS t1 FROM s GROUP BY 1), r AS (SELECT s.user_id, a - t0 AS a, b - t0 AS b, t1 - t0 AS d FROM s JOIN t USING (user_id)), l AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+    i AS (SELECT *, sum(CASE WHEN a <= reach + 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS region FROM l), m AS (SELECT user_id, min(a) AS a, max(b) AS b, any_value(d) AS d FROM i GROUP BY user_id, region),
+    g AS (SELECT user_id, b AS x, lead(a) OVER (PARTITION BY user_id ORDER BY a, b) AS y FROM m UNION ALL SELECT user_id, 0, min(a) FROM m GROUP BY 1 HAVING min(a) > 1 UNION ALL SELECT user_id, max(b), any_value(d) FROM m GROUP BY 1 HAVING max(b) < any_value(d) - 1)
+    SELECT user_id, round(x, 3) AS gap_start, round(y, 3) AS gap_end FROM g WHERE y - x >= 2""")
 def region_gaps(spark, sf_dir):
-    return intervals.gaps(segments(spark, sf_dir), "user_id").select("user_id", F.round("gap_start", 3).alias("gap_start"), F.round("gap_end", 3).alias("gap_end"))
+    r = regions(spark, sf_dir)
+    t = r.groupBy("user_id").agg(F.min(F.floor(F.col("start") / DAY) * DAY).alias("t0"), (F.max("end") + 3600).alias("t1"))
+    near = r.join(t, "user_id").withColumns({"start": F.col("start") - F.col("t0"), "end": F.col("end") - F.col("t0")})
+    videos = t.select("user_id", (F.col("t1") - F.col("t0")).alias("duration"))
+    return intervals.gaps(intervals.merge_regions(near, "user_id", 60.0), "user_id", videos).select("user_id", F.round("gap_start", 3).alias("gap_start"), F.round("gap_end", 3).alias("gap_end"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) WHERE d < 60000000")
@@ -305,11 +339,15 @@ def fixed_batches(spark, sf_dir):
     return intervals.fixed_batches(v, "id", "d").select("id", F.col("batch").cast("long").alias("batch"), "start", r6("end").alias("end"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, c AS (SELECT user_id, (a - min(a) OVER (PARTITION BY user_id)) / 3600 AS t FROM s), z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS rn FROM c),
+    w AS (SELECT user_id, rn, t, t AS last, true AS kept FROM z WHERE rn = 1 UNION ALL SELECT z.user_id, z.rn, z.t, CASE WHEN z.t - w.last > 1 THEN z.t ELSE w.last END, z.t - w.last > 1 FROM w JOIN z ON z.user_id = w.user_id AND z.rn = w.rn + 1),
+    d AS (SELECT user_id, max(t) + 10 AS d FROM c GROUP BY 1), e AS (SELECT user_id, 0e0 AS x FROM d UNION ALL SELECT user_id, d FROM d UNION ALL SELECT user_id, t FROM w JOIN d USING (user_id) WHERE kept AND t > 0 AND t < d),
+    p AS (SELECT user_id, x AS a, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS b FROM e), v AS (SELECT p.user_id, CASE WHEN a > 0 THEN greatest(a - 2, 0) ELSE 0 END AS a, CASE WHEN b < d THEN least(b + 2, d) ELSE d END AS b FROM p JOIN d USING (user_id) WHERE b IS NOT NULL)
+    SELECT user_id, round(a + k * 118, 6) AS start, round(least(a + k * 118 + 120, b), 6) AS "end" FROM v, range(0, 10000) r(k) WHERE k < greatest(ceil((b - a - 2) / 118), 1) AND least(a + k * 118 + 120, b) - (a + k * 118) >= 3""")
 def segment_from_cuts(spark, sf_dir):
     cuts = segments(spark, sf_dir).groupBy("user_id").agg(F.min("start").alias("t0"), F.collect_list("start").alias("c")).select("user_id", (F.transform("c", lambda x: (x - F.col("t0")) / 3600)).alias("c"))
     v = cuts.select("user_id", (F.array_max("c") + 10).alias("duration"), intervals.merge_cuts(F.col("c"), 1.0).alias("cuts"))
-    return intervals.segments_from_cuts(v, "user_id")
+    return intervals.segments_from_cuts(v, "user_id").select("user_id", r6("start").alias("start"), r6("end").alias("end"))
 
 
 @query(f"""WITH {SEG}, m AS (SELECT x.id, y.id AS o, CASE WHEN least(x.b, y.b) - greatest(x.a, y.a) > 0 AND least(x.b - x.a, y.b - y.a) > 0 THEN (least(x.b, y.b) - greatest(x.a, y.a)) / least(x.b - x.a, y.b - y.a) ELSE 0 END AS share
@@ -324,7 +362,7 @@ def interval_overlap(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT user_id, value / 500 AS v FROM events), s AS (SELECT user_id, avg(v) AS mean, stddev_pop(v) AS sd FROM e GROUP BY 1)
-    SELECT e.user_id, round(any_value(mean), 6) AS mean, round(any_value(sd), 6) AS sd, count(*) FILTER (v > least(mean + sd, 1)) AS peaks, count(*) FILTER (v < 0.1) AS static, count(*) FILTER (v > 0.6) AS action FROM e JOIN s USING (user_id) GROUP BY 1""")
+    SELECT e.user_id, round(least(1, any_value(mean)), 6) AS mean, round(least(1, any_value(sd)), 6) AS sd, count(*) FILTER (v > mean + sd) AS peaks, count(*) FILTER (v < 0.1) AS static, count(*) FILTER (v > 0.6) AS action FROM e JOIN s USING (user_id) GROUP BY 1""")
 def motion_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", (F.col("value") / 500).alias("value"))
     return intervals.motion_summary(e, "user_id").select("user_id", r6("mean").alias("mean"), r6("sd").alias("sd"), "peaks", "static", "action")
@@ -345,17 +383,15 @@ def clock_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", intervals.clock(F.abs("value") * 20).alias("clock"))
 
 
-@query()
-def query_classes(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", understanding.classify(F.col("text")).alias("kind"), understanding.time_marker(F.col("text")).alias("marker"))
-
-
-@query("""SELECT doc_id, round(least(1, quality * 0.5::DOUBLE + least(0.3::DOUBLE, ((instr(lower(text), 'thing') > 0)::INT + (instr(lower(text), 'under') > 0)::INT) * 0.1::DOUBLE)), 6) AS score FROM documents JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id, round(least(1, 0.5::DOUBLE + least(0.3::DOUBLE, ((instr(lower(text), 'thing') > 0)::INT + (instr(lower(text), 'under') > 0)::INT) * 0.1::DOUBLE)), 6) AS score FROM documents JOIN labels USING (doc_id)""")
 def adaptive_score(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return d.select("doc_id", r6(understanding.adaptive_score(F.col("quality") * 0.5, understanding.field_boost(F.col("text"), ["thing", "under"]))).alias("score"))
+    return d.select("doc_id", r6(search.adaptive(F.col("quality") * 0.5, [search.spatial_boost(F.col("text"), F.array(F.lit("thing"), F.lit("under")), F.lit("action"))], F.lit(True))).alias("score"))
 
 
 @query("SELECT page_id, regexp_extract(url, '[?&]page=(\\d+)', 1) AS page, split_part(url, '#', 1) AS base FROM pages")
 def url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"[?&]page=(\d+)", 1).alias("page"), F.substring_index("url", "#", 1).alias("base"))
+
+
+from glimmer.plans import media  # noqa: E402, F401  registers its queries too

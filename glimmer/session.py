@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,3 +47,13 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(target))
     sc._glimmer_shipped = True
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``; where it is unset, a temporary one under a local master only."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return f"{conf.rstrip('/')}/glimmer/{tag}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=f"glimmer-{tag}-")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glimmer.session import ship_package
+
 IMAGES = ["jpg", "jpeg", "png", "gif", "bmp", "webp"]
 VIDEOS = ["mp4", "mov", "avi", "mkv", "webm", "m4v"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1 +1 @@
-
+"""Job events and early segments as structured streams."""

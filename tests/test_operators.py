@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glimmer.operators import catalog_ops, fusion, intervals, text, understanding, vectors
+from glimmer.operators import backfill, catalog_ops, fusion, intervals, keyframes, listing, search, text, understanding, vectors
 
 
 def values(df):
@@ -44,8 +44,8 @@ def test_merge_cuts(spark):
 
 
 def test_transcript(spark):
-    df = spark.createDataFrame([("v", "[00:01:02.500 --> 00:01:04.000] hi\nnoise")], "id string, raw string")
-    assert values(intervals.parse_transcript(df)) == [("v", 0, 62.5, 64.0, "hi")]
+    df = spark.createDataFrame([("v", "[00:01:02.500 --> 00:01:04.000] hi\nmore\n[00:02:00.000 --> 00:02:01.000]  \n")], "id string, raw string")
+    assert values(intervals.parse_transcript(df)) == [("v", 0, 62.5, 64.0, "hi\nmore")]
 
 
 def test_progress(spark):
@@ -55,8 +55,8 @@ def test_progress(spark):
 
 
 def test_time_markers(spark):
-    df = spark.createDataFrame([("first 5 minutes",), ("after 2 min",), ("beginning",), ("at the end",), (None,)], "q string")
-    assert [r[0] for r in df.select(understanding.time_marker(F.col("q"))).collect()] == ["0-300", "120-end", "0-60", "last-60", None]
+    df = spark.createDataFrame([("first 5 minutes",), ("after 2 min",), ("beginning",), ("at the end",), (None,), ("a 3 minute clip",), ("after 2 hr",)], "q string")
+    assert [r[0] for r in df.select(understanding.time_marker(F.col("q"))).collect()] == ["0-300", "120-end", "0-60", "last-60", None, None, "7200-end"]
 
 
 def test_ngrams_and_stems(spark):
@@ -70,3 +70,89 @@ def test_upsert_is_null_safe(spark):
     new = spark.createDataFrame([(1, None, "c")], "id long, seg string, v string")
     assert sorted((r["id"], r["v"]) for r in catalog_ops.upsert(old, new, ["id", "seg"]).collect()) == [(1, "c"), (2, "b")]
     assert sorted((r["id"], r["v"]) for r in catalog_ops.upsert(old, new, ["id", "seg"], keep_old=True).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_families(spark):
+    df = spark.createDataFrame([("red car with people",), ("what music",), ("red music",), ("",), (None,)], "q string")
+    got = [(r[0]["type"], r[0]["subtypes"]) for r in df.select(understanding.classify(F.col("q"))).collect()]
+    assert got == [("spatial", ["visual"]), ("audio", ["sound"]), ("mixed", ["visual", "sound"]), ("mixed", []), ("mixed", [])]
+
+
+def test_clean_output_and_fallbacks(spark):
+    df = spark.createDataFrame([("Here are some key terms for it: a\nb",), ('"quoted"',), ("1. one\n2. two",), ("x" * 200,), (None,)], "a string")
+    assert [r[0] for r in df.select(understanding.clean_output(F.col("a"), F.lit("q"))).collect()] == ["a b", "quoted", "one two", "q", "q"]
+    df = spark.createDataFrame([("Show me the red cars",), ("find ",)], "q string")
+    assert [tuple(r[0]) for r in df.select(understanding.fallback_query(F.col("q"))).collect()] == [("the red cars", ["red", "cars"]), ("find ", [])]
+
+
+def test_superseded_only_by_new_segments(spark):
+    new = spark.createDataFrame([("v", 1, 0.0, 10.0), ("v", 2, 100.0, 110.0), ("v", 3, 200.0, 210.0)], "k string, id long, start double, end double")
+    old = spark.createDataFrame([("v", 11, 6.0, 14.0), ("v", 12, 102.0, 111.0), ("v", 13, 201.0, 205.0), ("v", 14, 204.0, 216.0), ("v", 15, 203.9, 220.0)], "k string, o_id long, o_start double, o_end double")
+    kinds, gone = intervals.compare_incremental(new, old, "k", bucket=7.0)
+    assert {r["id"]: (round(r["share"], 3), r["kind"]) for r in kinds.collect()} == {1: (0.5, "new"), 2: (0.889, "overlapping"), 3: (1.0, "overlapping")}
+    assert gone.count() == 0
+    assert values(intervals.compare_incremental(new.where("id = 3"), old.where("o_id >= 14"), "k", bucket=7.0)[1]) == [(14, 3), (15, 3)]
+
+
+def test_gaps_at_both_ends(spark):
+    videos = spark.createDataFrame([("a", 100.0), ("b", 10.0)], "k string, duration double")
+    regions = spark.createDataFrame([("a", 5.0, 20.0), ("a", 21.0, 30.0), ("a", 60.0, 99.5)], "k string, start double, end double")
+    assert values(intervals.gaps(regions, "k", videos)) == [("a", 0.0, 5.0), ("a", 30.0, 60.0), ("b", 0.0, 10.0)]
+
+
+def test_repeated_cuts_stay(spark):
+    df = spark.createDataFrame([("v", 10.0, [4.0, 4.0])], "k string, duration double, cuts array<double>")
+    assert values(intervals.segments_from_cuts(df, "k")) == [("v", 0.0, 6.0), ("v", 2.0, 6.0), ("v", 2.0, 10.0)]
+
+
+def test_greedy_keyframes(spark):
+    rows = [("v", float(t), 0.9 if t in (1, 2) else 0.0, 0.0, 0.0) for t in range(12)] + [("w", 0.3, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, t double, motion double, histogram double, complexity double")
+    assert values(keyframes.greedy_keyframes(df, "k")) == [("v", 0.0), ("v", 1.0), ("v", 2.0), ("v", 10.0), ("w", 0.3)]
+
+
+def test_hashes_of_frames(spark):
+    df = spark.createDataFrame([([0] * 32 + [255] * 32, [9 - i % 9 for i in range(72)])], "p array<int>, d array<int>")
+    assert tuple(df.select(keyframes.p_hash(F.col("p")), keyframes.d_hash(F.col("d"))).first()) == ("00000000ffffffff", "ffffffffffffffff")
+    df = spark.createDataFrame([("ab12", "ab34"), ("a", "ab")], "a string, b string")
+    assert [r[0] for r in df.select(keyframes.hex_distance(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0]
+
+
+def test_jitter_stays_in_bounds(spark):
+    v = spark.createDataFrame([(i, 100.0) for i in range(20)], "id long, duration double")
+    cuts = keyframes.fallback_cuts(v, "id", "duration").collect()
+    assert len(cuts) == 20 * 6 and all(abs(r["t"] - 15 * r["n"]) <= 1.5 for r in cuts) and len({r["t"] for r in cuts if r["n"] == 1}) > 5
+
+
+def test_pages_and_cursors(spark):
+    df = spark.createDataFrame([(i, i // 2) for i in range(7)], "id long, size long")
+    first = listing.cursor_page(df, "size", limit=3).collect()
+    assert [r["id"] for r in first] == [6, 5, 4] and first[-1]["next_key"] == 4 and all(r["has_more"] for r in first)
+    rest = listing.cursor_page(df, "size", (first[-1]["next_value"], 4), limit=4).collect()
+    assert [r["id"] for r in rest] == [3, 2, 1, 0] and not rest[0]["has_more"]
+    with pytest.raises(ValueError):
+        listing.cursor_page(df, "nothing")
+
+
+def test_boosts(spark):
+    df = spark.createDataFrame([("red car left of tree", '["Car","sky"]'), ("", "[]"), (None, "bad"), (None, None)], "s string, e string")
+    got = [tuple(r) for r in df.select(search.spatial_boost(F.col("s"), F.array(F.lit("Car"), F.lit("tree"), F.lit("x")), F.lit("mixed")), search.element_boost(F.lit("a CAR"), F.col("e")), search.quality_bonus(F.col("s"), F.lit(None), F.col("e"))).collect()]
+    assert [tuple(round(x, 6) for x in r) for r in got] == [(0.3, 0.05, 0.1), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+
+
+def test_small_conversions(spark):
+    df = spark.createDataFrame([("abc", "/x/a.b.mp4")], "t string, p string")
+    assert tuple(df.select(backfill.text_hash(F.col("t")), backfill.text_hash(F.lit("zzzzzzzz")), backfill.cache_name(F.col("p"))).first()) == (96354, (sum(122 * 31**i for i in range(8)) + 2**31) % 2**32 - 2**31, "a.b_L3gvYS5i")
+    assert backfill.snake_columns(spark.createDataFrame([(1,)], "videoPathId int")).columns == ["video_path_id"]
+
+
+def test_smart_terms(spark):
+    df = spark.createDataFrame([("The Running, of dogs!",), ("the of",)], "q string")
+    assert [r[0] for r in df.select(text.stem_words(text.smart_terms(F.col("q"), text.STOP_WORDS))).collect()] == [["run", "dog"], ["the", "of"]]
+
+
+def test_postings_and_prefixes(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "cats sat"), (2, "cat cat"), (3, None), (4, "dog")], "doc_id long, text string")
+    search.write_postings(docs, str(tmp_path))
+    found = lambda *a, **k: sorted(r["doc_id"] for r in search.ranked(spark, str(tmp_path), *a, **k).collect())
+    assert found(["cat"]) == [2] and found(search.phrases(["cat"], True)) == [1, 2] and found(["cat*", "sat"], all_terms=True) == [1] and found([]) == [] and found(["none"]) == []

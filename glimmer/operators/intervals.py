@@ -13,9 +13,9 @@ def overlap_share(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.when((shared > 0) & (shorter > 0), shared / shorter).otherwise(0.0)
 
 
-def merge_segments(segments: DataFrame, key: str, gap: float = 5.0, ratio: float = 0.3, least: float = 2.0) -> DataFrame:
+def merge_segments(segments: DataFrame, key: str, gap: float = 5.0, ratio: float = 0.3, least: float = 2.0, scoring=F.avg) -> DataFrame:
     """Islands of (key, start, end, score): a row joins its predecessor if they overlap by more than ``ratio`` of their
-    common span, or follow it within ``gap``. Only neighbours in (start, end) order are compared; islands shorter than ``least`` go."""
+    common span, or follow it within ``gap``. ``scoring``: an aggregate of the scores. Only neighbours in (start, end) order are compared; islands shorter than ``least`` go."""
     w = Window.partitionBy(key).orderBy("start", "end", "score")
     p_start, p_end = F.lag("start").over(w), F.lag("end").over(w)
     shared = F.least("end", p_end) - F.greatest("start", p_start)
@@ -24,7 +24,7 @@ def merge_segments(segments: DataFrame, key: str, gap: float = 5.0, ratio: float
     joins = ((shared > 0) & (span > 0) & (shared / F.when(span > 0, span) > ratio)) | ((away >= 0) & (away <= gap))
     flagged = segments.withColumn("_new", F.when(p_end.isNotNull() & F.coalesce(joins, F.lit(False)), 0).otherwise(1))
     placed = flagged.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = placed.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    out = placed.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), scoring("score").alias("score"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("end") - F.col("start") >= least)
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glimmer.session import ship_package
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,9 +67,27 @@ def adaptive(df: DataFrame, distance: str = "distance", out: str = "score") -> D
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k nearest vectors by L2 distance, ties to the smaller id: one scan and a per-task top k."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.where(F.col(embedding).isNotNull() & (F.size(embedding) == len(query))).withColumn("distance", l2_distance(F.col(embedding), q)).orderBy("distance", vec_id).limit(k)
+    """The k nearest vectors by L2 distance in double precision, ties to the smaller id: one scan and a top k.
+
+    Distances are one matrix operation per Arrow batch, which passes on its k best rows only. Null vectors, other lengths and
+    vectors with a null or undefined component take no part.
+    """
+    ship_package(vectors.sparkSession)
+    asked, at, key = np.array(query, np.float64), vectors.columns.index(embedding), vectors.columns.index(vec_id)
+
+    def best(batches):
+        for rb in batches:
+            fits = pc.fill_null(pc.equal(pc.list_value_length(rb.column(at)), len(asked)), False)
+            rb = rb.filter(fits)
+            rows = rb.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(asked))
+            d = np.sqrt(((rows - asked) ** 2).sum(axis=1))
+            ids = rb.column(key).to_numpy(zero_copy_only=False)
+            first = [i for i in np.lexsort((ids, d))[: k + int(np.isnan(d).sum())].tolist() if not np.isnan(d[i])][:k]
+            rb = rb.take(pa.array(first, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(d[first])], names=[*rb.schema.names, "distance"])
+
+    schema = T.StructType([*vectors.schema.fields, T.StructField("distance", T.DoubleType())])
+    return vectors.mapInArrow(best, schema).orderBy("distance", vec_id).limit(k)
 
 
 def candidate_count(limit: int, kind: str) -> int:

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import functions as F
 
 from glimmer.operators import backfill as B
-from glimmer.operators import intervals, jobs, listing, search, understanding
+from glimmer.operators import intervals, jobs, listing, search, stores, understanding
 from glimmer.operators import keyframes as K
 from glimmer.plans.registry import ORACLES, QUERIES, r6
 from glimmer.session import scratch
@@ -752,3 +752,23 @@ def early_segments(spark, sf):
     rows = event_stream(spark, sf).select("user_id", start.alias("start"), (start + F.col("value")).alias("end"))
     streams.early_segments(rows, path, "user_id")
     return spark.read.parquet(path).select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+# ---- stores
+
+
+@query(bm_sql(["thing", "under"]) + ", p AS (SELECT doc_id, bm25 FROM b ORDER BY bm25, doc_id LIMIT 80), x AS (SELECT doc_id AS id, CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1 ELSE 1 - (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END AS score FROM p), k AS (SELECT vec_id AS id, list_distance(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS d FROM embeddings ORDER BY d, vec_id LIMIT 320) SELECT * FROM (SELECT x.id, round(x.score, 5) AS score, 'text' AS store FROM x JOIN m ON m.id = x.id WHERE type LIKE 'image%' UNION ALL (SELECT k.id, round(exp(-d / 8), 5), 'vector' FROM k JOIN m ON m.id = k.id WHERE type LIKE 'video%' ORDER BY exp(-d / 8) DESC, k.id LIMIT 80))")
+def single_stores(spark, sf):
+    from glimmer.operators import vectors
+    from glimmer.plans.registry import first_vector
+
+    m = media(spark, sf).select("id", "type", "created_at")
+    text = stores.TextStore(spark, held(spark, sf), m, "image")
+    near = stores.VectorStore(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), m, lambda _: first_vector(spark, sf), "video", vectors.exponential)
+    parts = [s.search("thing under", 80).select("id", F.round("score", 5).alias("score"), F.lit(n).alias("store")) for n, s in (("text", text), ("vector", near))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER ({c} = '{s}') AS {n}_{s}" for n, c in (("caption", "caption_status"), ("embedding", "status")) for s in ("completed", "pending", "failed")) + " FROM m")
+def phase_stats(spark, sf):
+    return stores.phase_stats(media(spark, sf), F.col("caption_status"), F.col("status"))

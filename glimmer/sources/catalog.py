@@ -29,6 +29,11 @@ def scan_media(spark: SparkSession, path: str, extensions: list[str] = IMAGES, r
     return found.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(extensions))
 
 
+def count_media(spark: SparkSession, path: str, extensions: list[str] = IMAGES, recursive: bool = True) -> int:
+    """Number of files that ``scan_media`` lists."""
+    return scan_media(spark, path, extensions, recursive).count()
+
+
 def write_storyline(segments: DataFrame, path: str) -> None:
     """One JSON object per video with its segments in time order."""
     segments.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("start", "end", "id", "text"))).alias("segments")).write.json(path)

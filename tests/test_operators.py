@@ -156,3 +156,29 @@ def test_postings_and_prefixes(spark, tmp_path):
     search.write_postings(docs, str(tmp_path))
     found = lambda *a, **k: sorted(r["doc_id"] for r in search.ranked(spark, str(tmp_path), *a, **k).collect())
     assert found(["cat"]) == [2] and found(search.phrases(["cat"], True)) == [1, 2] and found(["cat*", "sat"], all_terms=True) == [1] and found([]) == [] and found(["none"]) == []
+
+
+def test_media_scan_and_storyline(spark, tmp_path):
+    import json
+
+    from glimmer.sources import catalog
+
+    (tmp_path / "deep").mkdir()
+    for name in ("a.JPG", "b.txt", "deep/c.png", "deep/d.mp4"):
+        (tmp_path / name).write_bytes(b"x")
+    found = lambda *a: sorted(r["path"].rsplit("/", 1)[-1] for r in catalog.scan_media(spark, str(tmp_path), *a).collect())
+    assert found() == ["a.JPG", "c.png"] and found(catalog.IMAGES, False) == ["a.JPG"] and found(catalog.VIDEOS) == ["d.mp4"] and catalog.count_media(spark, str(tmp_path)) == 2
+    rows = spark.createDataFrame([("v", 5.0, 6.0, 2, "b"), ("v", 0.0, 1.0, 1, "a")], "video string, start double, end double, id long, text string")
+    catalog.write_storyline(rows, str(tmp_path / "out"))
+    said = [json.loads(line) for p in (tmp_path / "out").glob("*.json") for line in p.read_text().splitlines()]
+    assert [[s["id"] for s in x["segments"]] for x in said] == [[1, 2]]
+
+
+def test_knn_of_odd_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [1.0]), (5, [float("nan"), 0.0]), (6, [0.0, 0.0]), (7, [None, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["distance"]) for r in vectors.knn(df, [1.0, 0.0], 5).collect()] == [(1, 0.0), (2, 0.0), (6, 1.0)]
+
+
+def test_custom_merge_score(spark):
+    df = spark.createDataFrame([("v", 0.0, 10.0, 1.0), ("v", 12.0, 20.0, 3.0)], "k string, start double, end double, score double")
+    assert [r["score"] for r in intervals.merge_segments(df, "k", scoring=F.max).collect()] == [3.0]

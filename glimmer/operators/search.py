@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,12 @@ _known: dict[tuple[str, str], str] = {}
 
 
 def folder(term: Column) -> Column:
-    return F.pmod(F.hash(F.substring(term, 1, 2)), F.lit(FOLDERS))
+    return (F.crc32(F.substring(term, 1, 2).cast("binary")) % FOLDERS).cast("int")
+
+
+def folder_of(word: str) -> int:
+    """The same for a word at hand."""
+    return zlib.crc32(word[:2].encode()) % FOLDERS
 
 
 def write_postings(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -25,7 +31,7 @@ def write_postings(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     Term counts are summed map-side. Null text is an empty document; it counts in the corpus's size only.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("words")).select("doc_id", "words", F.size("words").alias("dl"))
-    words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
+    words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.max("doc_id").alias("id")).write.mode("overwrite").parquet(f"{path}/size")
     posts = words.select("doc_id", "dl", F.explode("words").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     posts.withColumn("folder", folder(F.col("term"))).repartition("folder").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
 
@@ -58,11 +64,11 @@ def ranked(spark: SparkSession, path: str, wanted: list[str], all_terms: bool =
         return spark.createDataFrame([], "doc_id long, bm25 double")
     term = F.col("term")
     tests = [term.startswith(w[:-1]) if w.endswith("*") else term == w for w in wanted]
-    places = [r[0] for r in spark.createDataFrame([(w.rstrip("*"),) for w in wanted], "w string").select(folder(F.col("w"))).distinct().collect()]
-    posts = spark.read.parquet(f"{path}/postings").where(F.col("folder").isin(places) & reduce(lambda a, b: a | b, tests))
+    places = sorted({folder_of(w.rstrip("*")) for w in wanted})
+    posts = spark.read.schema(f"doc_id {spark.read.parquet(f'{path}/size').schema['id'].dataType.simpleString()}, dl int, term string, tf long, folder int").parquet(f"{path}/postings").where(F.col("folder").isin(places) & reduce(lambda a, b: a | b, tests))
     hits = posts.select("doc_id", "dl", "tf", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))).alias("phrase"))
     hits = hits.groupBy("doc_id", "dl", "phrase").agg(F.sum("tf").cast("double").alias("f"))
-    size = spark.read.parquet(f"{path}/size")
+    size = spark.read.parquet(f"{path}/size").drop("id")
     held = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("d")).crossJoin(F.broadcast(size))  # one row a phrase
     idf = F.log((F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5))
     held = held.select("phrase", "avgdl", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))

@@ -8,9 +8,12 @@ are found on their own, the two filters are intersected on pairs of ids, and onl
 whole texts.
 
 Large groups of near copies would make all their pairs rows. So nodes that share a minimum hash with many others
-form clusters; inside a cluster every pair of blocks of nodes is one task that compares all its sets through an
-inverted list and returns a spanning forest of the links it finds. Candidate pairs are formed across
-clusters only, so no link is lost and no task gathers a whole cluster.
+form clusters, which are cut into blocks. A block is compared in one task, through an inverted list. Then the blocks
+meet a few members of the cluster's largest part: what reaches them is connected with it and needs no pairs of its own.
+Only the rest meets the others, block by block. Candidate pairs are formed across clusters only, so no link is lost
+and no task gathers a whole cluster.
+
+A set is known by 128 bits; its node is the number of the first row that holds it.
 
 Null or blank text has an empty set, is linked with nothing and is its own component. Null doc_ids take part as
 rows but cannot name a component unless all its ids are null. Repeated rows and copies fall into one node.
@@ -38,6 +41,8 @@ KEYS, CLUSTER, BLOCK = 8, 32, 512
 #: Bits of a prefix token that are dropped: 48 travel, and two tokens that agree in them only add a candidate.
 TOKEN_SHIFT = np.uint64(16)
 ORDER_SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+#: Members of a cluster's largest part that every block of the cluster meets.
+HUBS = 16
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -88,14 +93,15 @@ def document_counts(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    """Name of a set: a 64-bit hash of it."""
+def name_of(s: np.ndarray) -> tuple[int, int]:
+    """Name of a set: two 64-bit hashes of it."""
     h = mix64(s + ORDER_SEEDS[0]) + mix64(s ^ ORDER_SEEDS[1]) * np.uint64(3)
-    return int(mix64(np.array([np.sum(h, dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0].astype(np.int64))
+    sums = np.array([np.sum(h, dtype=np.uint64), np.sum(mix64(h ^ ORDER_SEEDS[0]), dtype=np.uint64)], np.uint64) + np.uint64(len(s))
+    return tuple(mix64(sums).astype(np.int64).tolist())
 
 
 def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Per document: doc_id, row, n, node, keys (minimum hashes), one array of prefix tokens per order."""
+    """Per document: doc_id, row, n, name (two longs), keys (minimum hashes), one array of prefix tokens per order."""
     told = docs.sparkSession.sparkContext.broadcast(zlib.compress(classes.tobytes(), 1))
     kept: dict[str, np.ndarray] = {}
 
@@ -105,17 +111,17 @@ def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -
         rank = kept["classes"]
         for rb in batches:
             ids, rows, texts = rb.column(0), rb.column(1), rb.column(2).to_pylist()
-            n, node, keys, pre = [], [], [], ([], [])
+            n, name, keys, pre = [], ([], []), [], ([], [])
             for i in range(0, len(texts), 256):
                 for s in shingle_sets(texts[i : i + 256], size):
                     n.append(len(s))
                     if not len(s):
-                        node.append(None)
                         keys.append(None)
-                        for p in pre:
+                        for p in (*name, *pre):
                             p.append(None)
                         continue
-                    node.append(node_of(s))
+                    for p, h in zip(name, name_of(s), strict=True):
+                        p.append(h)
                     keys.append(np.array([int(mix64(s + np.uint64(k + 1)).min()) >> 4 << 3 | k for k in range(KEYS)], np.int64))
                     common, p = rank[(s & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58), prefix_size(len(s), percent)
                     for k, seed in enumerate(ORDER_SEEDS):
@@ -123,18 +129,17 @@ def nodes_table(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -
                         first = np.argpartition(order, p - 1)[:p] if p < len(s) else slice(None)
                         pre[k].append((s[first] >> TOKEN_SHIFT).view(np.int64))
             kinds = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, kinds), pa.array(pre[0], kinds), pa.array(pre[1], kinds)], ["doc_id", "row", "n", "node", "keys", "first", "second"])
+            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(n, pa.int64()), *(pa.array(h, pa.int64()) for h in name), pa.array(keys, kinds), pa.array(pre[0], kinds), pa.array(pre[1], kinds)], ["doc_id", "row", "n", "name", "name2", "keys", "first", "second"])
             give_back()
         forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text").mapInArrow(sets, "doc_id long, row long, n long, node long, keys array<long>, first array<long>, second array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text").mapInArrow(sets, "doc_id long, row long, n long, name long, name2 long, keys array<long>, first array<long>, second array<long>")
 
 
-def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have Jaccard percent/100 or more; names: node -> row of one of its texts; staged."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node").select("node", "row")
-    wanted = stage(wanted, "near-wanted")
-    texts = pick_rows(docs, "row", wanted.select("row")).join(small(wanted), "row").select("node", "text")
+def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have Jaccard percent/100 or more; a node is the row of one of its texts; staged."""
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-wanted")
+    texts = pick_rows(docs, "row", wanted).select(F.col("row").alias("node"), "text")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def test(batches):
@@ -177,8 +182,8 @@ def clusters(nodes: DataFrame) -> DataFrame:
     return stage(top.join(small(roots), "a", "left").select("node", F.coalesce("root", "a").alias("label")), "near-labels")
 
 
-def forest(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the similar pairs between two lists of sets, or within one; positions run on into ``others``."""
+def forest(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links of a spanning forest of the similar pairs between two lists of sets, or within one, and the root of each; positions run on into ``others``."""
     right = sets if others is None else others
     shift = 0 if others is None else len(sets)
     sizes = np.array([len(x) for x in right])
@@ -205,17 +210,76 @@ def forest(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int
             if a != b:
                 parent[b] = a
                 out.append((i, j + shift))
-    return out
+    return out, [top(i) for i in range(len(parent))]
 
 
-def within_clusters(label: DataFrame, names: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is similar inside each cluster; staged."""
-    members = label.join(label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "label").join(names.select("node", "row"), "node")
-    members = stage(members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-members")
-    texts = pick_rows(docs, "row", members.select("row")).join(small(members), "row").select("label", "node", "own", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+def within_clusters(label: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is similar inside each cluster; staged.
+
+    Texts travel once to their block and, in clusters of several blocks, once to the hubs. The rest that reaches no hub (r of
+    m members) meets every block: about (r^2 + 2 r (m - r)) / BLOCK texts more.
+    """
+    spark = docs.sparkSession
+    sizes = stage(label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "near-sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = stage(label.join(small(sizes), "label").select(F.col("node").alias("row"), "label", own.alias("own"), "blocks"), "near-members")
+    path = new_path(spark, "near-held")
+    texts = pick_rows(docs, "row", members.select("row")).join(small(members), "row").select("label", "own", "blocks", F.col("row").alias("node"), "text")
+    held = stage(texts, "near-held", codec="zstd", path=path)
+
+    def settle(key, rows):
+        """The parts of a block."""
+        nodes = rows.column("node").to_numpy()
+        _, tops = forest(shingle_sets(rows.column("text").to_pylist(), size), None, percent)
+        forget()
+        give_back()
+        return pa.table({"label": rows.column("label"), "node": rows.column("node"), "top": pa.array(nodes[tops], pa.int64())})
+
+    tops = stage(held.groupBy("label", "own").applyInArrow(settle, "label long, node long, top long"), "near-tops")
+    links = tops.where(F.col("node") != F.col("top")).select(F.col("node").alias("a"), F.col("top").alias("b"))
+    wide = sizes.where("blocks > 1")
+    if not wide.isEmpty():
+        links = links.unionByName(_between_blocks(held.where("blocks > 1"), stage(tops.join(small(wide), "label"), "near-parts"), size, percent))
+    links = stage(links, "near-early")
+    discard(spark, path)
+    return links
+
+
+def _between_blocks(held: DataFrame, parts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect the parts of each cluster of several blocks; held: the texts, parts: label, node, top, blocks; staged."""
+    largest = parts.groupBy("label", "top").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.max_by("top", F.struct("n", "top")).alias("top"))
+    own = parts.join(small(stage(largest, "near-largest")), ["label", "top"])  # a part lies in one block, so its list is bounded
+    hubs = own.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("node")), 1, HUBS).alias("hubs"))
+    hubs = stage(hubs.select(F.explode("hubs").alias("node")), "near-hubs")
+    sent = held.join(small(hubs), "node", "left_semi").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "node", "text", F.lit(True).alias("hub"))
+
+    def reach(key, rows):
+        """Links of a block's members to the hubs: at least one for each that has any."""
+        rows = rows.sort_by([("hub", "ascending")])
+        node, texts, hub = (rows.column(c).to_pylist() for c in ("node", "text", "hub"))
+        sets, n = shingle_sets(texts, size), hub.count(False)
+        found, _ = forest(sets[:n], sets[n:], percent) if n else ([], [])
+        forget()
+        give_back()
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+
+    blocks = held.select("label", "own", "node", "text", F.lit(False).alias("hub")).unionByName(sent)
+    reached = stage(blocks.groupBy("label", "own").applyInArrow(reach, "a long, b long"), "near-reached")
+    main = stage(reached.join(parts, F.col("a") == F.col("node")).select("top").distinct().withColumn("main", F.lit(True)), "near-main")
+    placed = stage(parts.join(small(main), "top", "left").select("label", "node", F.coalesce("main", F.lit(False)).alias("main")), "near-placed")
+    cells = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    counts = stage(placed.groupBy("label").agg(cells(F.col("main")).alias("mains"), cells(~F.col("main")).alias("rests")).where("rests > 0"), "near-cells")
+    if counts.isEmpty():
+        return reached
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    cell = F.when(F.col("main"), at("mains")).otherwise(F.col("mains") + at("rests"))
+    meets = F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("rests") - 1)
+    plan = stage(placed.join(small(counts), "label").select("node", cell.alias("own"), meets.alias("meets")), "near-plan")
+    texts = held.select("label", "node", "text").join(small(plan), "node").select("label", "node", "own", "text", F.explode("meets").alias("met"))
     texts = texts.select("label", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "node", "text")
 
     def link(key, rows):
+        """A spanning forest of the links between two cells, or within one."""
         lo, hi = key[1].as_py(), key[2].as_py()
         own, node, texts = (rows.column(c).to_pylist() for c in ("own", "node", "text"))
         sides: dict[int, dict[int, np.ndarray]] = {lo: {}, hi: {}}
@@ -224,13 +288,13 @@ def within_clusters(label: DataFrame, names: DataFrame, docs: DataFrame, size: i
         left, right = sides[lo], sides[hi]
         found = []
         if left and right:
-            found = forest(list(left.values()), None if lo == hi else list(right.values()), percent)
+            found, _ = forest(list(left.values()), None if lo == hi else list(right.values()), percent)
         at = list(left) + ([] if lo == hi else list(right))
         forget()
         give_back()
         return pa.table({"a": pa.array([at[i] for i, _ in found], pa.int64()), "b": pa.array([at[j] for _, j in found], pa.int64())})
 
-    return stage(texts.groupBy("label", "lo", "hi").applyInArrow(link, "a long, b long"), "near-inside")
+    return reached.unionByName(stage(texts.groupBy("label", "lo", "hi").applyInArrow(link, "a long, b long"), "near-inside"))
 
 
 def _met(named: DataFrame, prefix: str, percent: int, path: str) -> DataFrame:
@@ -288,16 +352,19 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links); percent: least Jaccard in hundredths."""
     docs = numbered(docs.select("doc_id", "text"), "near-input", "row")
     table = stage(nodes_table(docs, size, percent, document_counts(docs, size)), "near-nodes", codec="zstd")
-    live = table.where(F.col("node").isNotNull())
-    names = stage(live.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "near-names")
-    copies = names.where(F.col("copies") > 1).select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"), F.col("row").alias("_r"))
-    one = live.join(small(copies), F.col("node") == F.col("_n"), "left").where(F.col("_n").isNull() | (F.col("row") == F.col("_r"))).select("node", "n", "keys", "first", "second")
-    names = names.select("node", "doc_id", "row")
+    live = table.where(F.col("name").isNotNull())
+    names = stage(live.groupBy("name", "name2").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")), "near-names")
+    copies = names.where(F.col("copies") > 1).select("name", "name2", "node", F.col("doc_id").alias("least"))
+    told = small(copies.select("name", "name2", "node"))
+    node = F.coalesce("node", "row").alias("node")
+    one = live.join(told, ["name", "name2"], "left").where(F.col("node").isNull() | (F.col("row") == F.col("node"))).select(node, "n", "keys", "first", "second")
+    names = names.select("node", "doc_id")
     label = clusters(one)
-    early = within_clusters(label, names, docs, size, percent)
-    late = verify(candidates(one, label, percent), names, docs, size, percent)
+    early = within_clusters(label, docs, size, percent)
+    late = verify(candidates(one, label, percent), docs, size, percent)
     roots = connected(early.unionByName(late))
-    out = table.join(small(_components(names, copies, roots)), "node", "left")
+    out = table.select("doc_id", "n", "row", "name", "name2").join(told, ["name", "name2"], "left").select("doc_id", "n", node)
+    out = out.join(small(_components(names, copies, roots)), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -306,5 +373,5 @@ def _components(names: DataFrame, copies: DataFrame, roots: DataFrame) -> DataFr
     placed = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(names, "node")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = stage(placed.select("node", "root").join(least, "root").select("node", "component_id"), "near-linked")
-    alone = copies.select(F.col("_n").alias("node"), F.col("_d").alias("component_id")).join(linked, "node", "left_anti")
+    alone = copies.select("node", F.col("least").alias("component_id")).join(linked, "node", "left_anti")
     return stage(linked.unionByName(alone), "near-components")

@@ -212,6 +212,40 @@ def test_clusters_lose_no_link(spark, docs, monkeypatch):
     assert sorted(map(tuple, near_dedup.near_components(docs, 4, 85).collect())) == plain
 
 
+def test_blocks_of_a_cluster_meet_the_hubs_and_the_rest(spark, monkeypatch):
+    """A chain of drifting copies: most reach a hub, the ends only reach their neighbours; two families are not linked."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [words[3 * k : 3 * k + 120] for k in range(60)]
+    far = [["z", *words[k : k + 60], *[f"y{i}" for i in range(80)]] for k in range(0, 40, 2)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(chain + far)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+
+    def shingles(w):
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+
+    sets, root = [shingles(t.split()) for _, t in rows], list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                i = len(sets[a] & sets[b])
+                if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+                    root[a] = root[b] = min(root[a], root[b])
+    want = sorted([(k, len(s), root[k]) for k, s in enumerate(sets)] + [(k, len(sets[k]), root[k]) for k in range(5)])
+    assert 1 < len(set(root)) < len(rows)
+    for cluster, block, hubs in ((32, 512, 16), (2, 512, 16), (2, 3, 1), (2, 7, 2)):
+        for name, value in (("CLUSTER", cluster), ("BLOCK", block), ("HUBS", hubs)):
+            monkeypatch.setattr(near_dedup, name, value)
+        assert sorted(map(tuple, near_dedup.near_components(df, 4, 85).collect())) == want
+
+
+def test_names_of_sets_differ():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 2, 3, 50) for _ in range(500)]
+    names = [near_dedup.name_of(s) for s in sets]
+    assert len({a for a, _ in names}) == len({b for _, b in names}) == len(sets) and not {a for a, _ in names} & {b for _, b in names}
+    assert near_dedup.name_of(sets[-1][::-1]) == names[-1]
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://A.org/x#f", 10, False, '"v1"', None, {"etag": '"v1"', "content-length": "5", "age": "1"}),

@@ -57,7 +57,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of up to 4096 tokens; groups of consecutive documents of the mixture are packed together, and
     sequence_id ascends with the mixture from group to group."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, bucket=packing.ordered_buckets(docs), cache_entries=CACHE_ENTRIES, in_order=True, forget=True)
+    docs = packing.with_ordered_buckets(docs.select("doc_id", "text"), "_bucket")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, bucket=F.col("_bucket"), cache_entries=CACHE_ENTRIES, in_order=True, forget=True)
 
 
 STAGES = [("language_id", identify_languages), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]

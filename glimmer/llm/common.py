@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -116,46 +115,57 @@ def file_names(docs: DataFrame) -> list[str]:
     return names
 
 
-def file_row(docs: DataFrame) -> Column:
-    """Place of each row in a plain read of Parquet files: number of the file in name order * 2^FILE_BITS + row index."""
+def with_file_row(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, a plain read of Parquet files, plus the place of each row: number of the file in name order * 2^FILE_BITS + row index.
+
+    The numbers come by a broadcast of one row per file, which is what the driver lists for the read itself.
+    """
     names = file_names(docs)
-    known = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k).cast("long"))]) if names else F.create_map(F.lit(""), F.lit(0).cast("long"))
-    at = F.coalesce(known[F.col("_metadata.file_name")], F.raise_error(F.concat(F.lit("not a listed file: "), F.col("_metadata.file_name"))).cast("long"))
-    return at * F.lit(1 << FILE_BITS) + F.col("_metadata.row_index")
+    file, number = fresh(docs, "_file"), fresh(docs, "_number")
+    known = docs.sparkSession.createDataFrame(pa.table({file: pa.array(names, pa.string()), number: pa.array(range(len(names)), pa.int64())}))
+    index = F.col("_metadata.row_index")
+    at = docs.select("*", F.col("_metadata.file_name").alias(file), index.alias(name)).join(F.broadcast(known), file, "left")
+    sure = F.coalesce(F.col(number), F.raise_error(F.concat(F.lit("not a listed file: "), F.col(file))).cast("long"))
+    return at.select(*[docs[c] for c in docs.columns], (sure * F.lit(1 << FILE_BITS) + F.col(name)).alias(name))
 
 
 def numbered(docs: DataFrame, tag: str, name: str = "row") -> DataFrame:
     """``docs`` plus a number of each row that is the same in every read: its place in its files; staged first if it is no plain read of such."""
     try:
-        return docs.withColumn(name, file_row(docs))
+        return with_file_row(docs, name)
     except (AnalysisException, ValueError):
-        docs = stage(docs, tag)
-        return docs.withColumn(name, file_row(docs))
+        return with_file_row(stage(docs, tag), name)
 
 
 def pick_rows(docs: DataFrame, row: str, wanted: DataFrame, keep: bool = True, limit: int | None = None) -> DataFrame:
     """The rows of ``docs`` (from ``numbered``) whose number is in ``wanted`` or, without ``keep``, is not; their texts are not shuffled.
 
-    ``wanted``: staged, its only column is ``row``. Up to ``limit`` numbers are broadcast. Beyond that each file is read with
-    its own numbers only, in batches of files that hold at most ``limit`` of them (a file that holds more is a batch).
+    ``wanted``: staged, its only column is ``row``. Up to ``limit`` numbers are broadcast. Beyond that batches of files are
+    read one after another, each with its own numbers only, at most ``limit`` (a file that holds more is a batch), and what is
+    picked is staged, so that no more than one batch's numbers are broadcast at a time.
     """
     limit = PICK_ROWS if limit is None else limit
     how = "left_semi" if keep else "left_anti"
     if wanted.limit(limit + 1).count() <= limit:
         return docs.join(F.broadcast(wanted), row, how)
-    names = file_names(docs)
+    spark, names = docs.sparkSession, file_names(docs)
+    wanted = stage(wanted.repartitionByRange(row).sortWithinPartitions(row), "wanted")  # a batch reads its own range
     number = F.shiftright(row, FILE_BITS)
     held = {r["file"]: r["n"] for r in wanted.groupBy(number.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per file
-    batches: list[list[int]] = [[]]
+    batches: list[list[int]] = []
+    total = limit + 1
     for k in range(len(names)):
-        if batches[-1] and sum(held.get(i, 0) for i in (*batches[-1], k)) > limit:
+        total += held.get(k, 0)
+        if total > limit:
             batches.append([])
+            total = held.get(k, 0)
         batches[-1].append(k)
-    parts = []
+    path, part = new_path(spark, "picked"), docs
     for b in batches:
-        part = docs.where(F.col("_metadata.file_name").isin([names[k] for k in b]))
-        parts.append(part.join(F.broadcast(wanted.where(number.between(b[0], b[-1]))), row, how))
-    return reduce(DataFrame.unionByName, parts)
+        own = wanted.where(F.col(row).between(b[0] << FILE_BITS, (b[-1] + 1 << FILE_BITS) - 1))
+        part = docs.where(F.col("_metadata.file_name").isin([names[k] for k in b])).join(F.broadcast(own), row, how)
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(part.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

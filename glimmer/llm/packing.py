@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import FILE_BITS, file_row, give_back, prepare, stage, text_or_empty
+from glimmer.llm.common import FILE_BITS, give_back, prepare, stage, text_or_empty, with_file_row
 from glimmer.llm.word_ids import CACHE_ENTRIES, batches, encoder
 
 #: Documents whose last pieces are packed together, on average.
@@ -137,10 +137,11 @@ def hashed_buckets(docs: DataFrame, group_docs: int = GROUP_DOCS):
     return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
 
 
-def ordered_buckets(docs: DataFrame, group_docs: int = GROUP_DOCS):
-    """Bucket column of consecutive rows of a written Parquet table (read plainly): buckets ascend with the table's order."""
-    row = file_row(docs)
-    return F.shiftright(row, FILE_BITS) * F.lit(1 << FILE_BITS - 20) + F.floor(row.bitwiseAND(F.lit((1 << FILE_BITS) - 1)) / group_docs)
+def with_ordered_buckets(docs: DataFrame, name: str, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """``docs``, a written Parquet table (read plainly), plus a bucket of consecutive rows: buckets ascend with the table's order."""
+    row = F.col(name)
+    bucket = F.shiftright(row, FILE_BITS) * F.lit(1 << FILE_BITS - 20) + F.floor(row.bitwiseAND(F.lit((1 << FILE_BITS) - 1)) / group_docs)
+    return with_file_row(docs, name).withColumn(name, bucket)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, bucket=None, cache_entries: int = CACHE_ENTRIES, in_order: bool = False, forget: bool = False) -> DataFrame:

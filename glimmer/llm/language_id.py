@@ -9,8 +9,9 @@ losses (0.5: undecided, 1: certain); below ``AMBIGUOUS`` the prediction is flagg
 
 Null text, or text without a letter: ``und`` with score 0. No labelled row at all: every text is ``und``. One
 learned language: it is predicted for every text with letters, with score 1. Rows with null lang teach
-nothing. Repeated rows count once each. The model is fitted on at most ``sample_per_lang`` rows of each
-language, chosen by a hash of doc_id over all rows; predictions read whole texts.
+nothing. The model is fitted on at most ``sample_per_lang`` rows of each of the ``LANGS`` languages with the most rows,
+chosen over all rows by a hash of doc_id and text, so rows may share or lack their ids; equal rows are drawn once.
+Predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import give_back, prepare
+from glimmer.llm.common import give_back, prepare, stage
 
 #: Bound of the labelled sample, for each language.
 SAMPLE_PER_LANG = 400
+#: Languages that are learned, those with the most labelled rows (ties: by name); it bounds the model where the column is dirty.
+LANGS = 1024
 BUCKETS = 1 << 15
 AMBIGUOUS = 0.55
 #: Bytes of text whose grams a worker holds at once.
@@ -133,15 +136,13 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, train: Column |
     """A model from labelled rows (text, lang) where ``train`` holds."""
     prepare(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if train is None else train))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    langs = sorted(n)
-    if not langs:
-        return Model([], codewords(1), np.zeros((2 * BUCKETS, 0), np.float32), np.zeros((0, 0)))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 1.3 * sample_per_lang / n[k])))])
-    dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    thin = rows.select("lang", "text", dice.alias("dice"), F.xxhash64("text").alias("tie")).where(F.col("dice") < share[F.col("lang")] * (1 << 30))
-    w = Window.partitionBy("lang").orderBy("dice", "tie")
-    sample = thin.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample_per_lang)
+    # each language has slots, and each slot keeps the row of the smallest hash: a bounded sum made before the shuffle
+    name = F.xxhash64("doc_id", "text")
+    drawn = rows.select(F.col("lang").cast("string").alias("lang"), F.pmod(name, F.lit(sample_per_lang)).alias("slot"), name.alias("name"), "text")
+    won = stage(drawn.groupBy("lang", "slot").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n")), "language-slots")
+    known = stage(won.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).select("lang"), "language-names")
+    won = stage(won.join(F.broadcast(known), "lang").select("lang", "slot", "name"), "language-drawn")  # at most LANGS * sample_per_lang rows
+    sample = drawn.join(F.broadcast(won), ["lang", "slot", "name"]).groupBy("lang", "slot").agg(F.first("text").alias("text"))
 
     def tally(key, pdf):
         """Gram counts of one language."""
@@ -157,6 +158,8 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, train: Column |
         return pd.DataFrame({"lang": [key[0]], "counts": [counts.astype("<f4").tobytes()]})
 
     got = {r["lang"]: np.frombuffer(r["counts"], "<f4").astype(np.float64) for r in sample.groupBy("lang").applyInPandas(tally, "lang string, counts binary").collect()}
+    if not got:
+        return Model([], codewords(1), np.zeros((2 * BUCKETS, 0), np.float32), np.zeros((0, 0)))
     langs = sorted(got)
     code = codewords(len(langs))
     p = np.stack([got[k] for k in langs])

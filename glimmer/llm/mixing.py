@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from glimmer.llm.common import fresh, new_path, prepare, range_staged, small, stage, text_or_empty
 
 BLOCK_BYTES = 1 << 16
+#: Parts of the whole for each source there is: the least part of one a source takes at most 1/PARTS of the whole from the others.
 PARTS = 1000
 #: Up to this many sources a phase's period is repeated by arithmetic; with more, every block's slot is listed.
-PERIODIC_SOURCES = 1024
+PERIODIC_SOURCES = 64
 #: Listed blocks that the driver holds at once.
 LISTED = 1 << 18
 LISTED_COLUMNS = ["source", "block", "phase", "slot", "release", "deadline"]
@@ -140,10 +141,13 @@ def listed_table(spark, names: pa.Array, blocks: dict[int, int], parts: dict[int
 
 
 def tempered(sizes: dict[str, float], power: float = 0.5, parts: int = PARTS) -> dict[str, int]:
-    """Whole parts (at least one each) in proportion to size ** power."""
+    """Whole parts (at least one each) in proportion to size ** power, ``parts`` times the number of sources in all.
+
+    A source's share differs from its target by at most 1/parts of the whole, whatever the number and sizes of the sources.
+    """
     raw = {s: max(v, 1.0) ** power for s, v in sizes.items()}
     total = sum(raw.values())
-    return {s: max(1, round(parts * v / total)) for s, v in raw.items()}
+    return {s: max(1, round(parts * len(raw) * v / total)) for s, v in raw.items()}
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

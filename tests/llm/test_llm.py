@@ -598,3 +598,28 @@ def test_warc_files_are_read_in_spark(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(data)
     got = [(r["url"], r["is_revisit"], r["status"], r["etag"], r["body"] and bytes(r["body"])) for r in revisits.read_warc(spark, str(tmp_path)).orderBy("position").collect()]
     assert got == [("http://a/", False, 200, "x", b"hi"), ("http://a/", True, 304, None, None)]
+
+
+@pytest.mark.parametrize("ids", ["cast(id as long)", "3L", "40L", "cast(null as long)"])
+def test_language_id_with_repeated_or_missing_ids(spark, ids):
+    """Whatever the ids, both languages are learned, also from one row that is repeated."""
+    rows = spark.range(600).selectExpr(f"{ids} AS doc_id", "if(id % 2 = 0, concat('the cat and the dog ', id), concat('der hund und die katze ', id)) AS text", "if(id % 2 = 0, 'en', 'de') AS lang")
+    model = language_id.fit(rows, 50)
+    assert model.langs == ["de", "en"] and model.predict(["the dog and the cat", "die katze und der hund"])[0] == ["en", "de"]
+    one = rows.where("lang = 'en'").unionByName(spark.range(5000).selectExpr("7L AS doc_id", "'der hund' AS text", "'de' AS lang"))
+    assert language_id.fit(one, 50).langs == ["de", "en"]
+    assert language_id.identify_languages(rows).count() == 600
+
+
+def test_learned_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGS", 2)
+    rows = [(i, f"text {i}", k) for k, n in (("a", 5), ("b", 1), ("c", 3), ("d", 1)) for i in range(n)]
+    assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["a", "c"]
+
+
+@pytest.mark.parametrize("n", [2, 20, 500, 1000, 5000])
+def test_shares_of_unequal_sources(n):
+    sizes = {0: 1e12} | {k: 1e3 for k in range(1, n)}
+    parts, raw = mixing.tempered(sizes), {k: v**0.5 for k, v in sizes.items()}
+    assert min(parts.values()) >= 1
+    assert all(abs(parts[k] / sum(parts.values()) - raw[k] / sum(raw.values())) <= 1 / mixing.PARTS for k in sizes)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm import chat, exact_dedup, language_id, mixing, near_dedup, nearest, packing, revisits, token_counts, token_files
+from glimmer.llm import chat, exact_dedup, language_id, mixing, near_dedup, nearest, packing, quality, revisits, token_counts, token_files, whitening
 from glimmer.llm.common import table
 
 
@@ -81,7 +81,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_nearest, op4_token_files, op5_language_id, op6_exact_dedup, op7_revisits, op8_packing, op9_ngram_jaccard, op10_chat_format)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_nearest, op4_token_files, op5_language_id, op6_exact_dedup, op7_revisits, op8_packing, op9_ngram_jaccard, op10_chat_format, op12_whitening, op13_quality)}
 
 ORACLES = {
     "op6_exact_dedup": r"""

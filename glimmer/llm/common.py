@@ -20,6 +20,9 @@ BROADCAST_ROWS = 500_000
 #: Row numbers that are broadcast at once to pick or drop rows of a table of texts; more go file by file.
 PICK_ROWS = 2_000_000
 
+#: Rows of one key that a join leaves together; keys with more are dealt out.
+HOT_ROWS = 20_000
+
 #: Rows in an Arrow batch between the JVM and Python: texts are wide, so batches stay at a few MB.
 ARROW_ROWS = 1000
 
@@ -107,6 +110,22 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_spread(many: DataFrame, one: DataFrame, on: list[str], hot: int | None = None) -> DataFrame:
+    """``many`` joined with ``one`` (a row for each key): keys that more than ``hot`` rows of ``many`` hold are dealt out.
+
+    ``many``: staged, it is read twice. Such keys are at most a ``hot``-th of its rows; ``one`` repeats only theirs.
+    """
+    hot = HOT_ROWS if hot is None else hot
+    parts, salt = fresh(many, "_parts"), fresh(many, "_salt")
+    keys = many.groupBy(*on).agg(F.count(F.lit(1)).alias(parts)).where(F.col(parts) > hot).select(*on, F.ceil(F.col(parts) / hot).cast("int").alias(parts))
+    keys = stage(keys, "hot-keys")
+    if keys.isEmpty():
+        return many.join(one, on)
+    dealt = many.join(small(keys), on, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
+    each = one.join(small(keys), on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts) - 1, F.lit(0))))).drop(parts)
+    return dealt.join(each, [*on, salt]).drop(salt)
+
+
 def file_names(docs: DataFrame) -> list[str]:
     """Names of the files that a plain read covers, in the order in which they are numbered."""
     names = sorted((f.rsplit("/", 1)[-1] for f in docs.inputFiles()), key=lambda n: (len(n), n))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm import chat, exact_dedup, language_id, mixing, near_dedup, nearest, packing, quality, revisits, token_counts, token_files, whitening
+from glimmer.llm import chat, collocations, exact_dedup, language_id, mixing, near_dedup, nearest, packing, quality, revisits, token_counts, token_files, whitening
 from glimmer.llm.common import table
 
 
@@ -81,6 +81,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, inside=100)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -90,7 +95,7 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_nearest, op4_token_files, op5_language_id, op6_exact_dedup, op7_revisits, op8_packing, op9_ngram_jaccard, op10_chat_format, op12_whitening, op13_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_nearest, op4_token_files, op5_language_id, op6_exact_dedup, op7_revisits, op8_packing, op9_ngram_jaccard, op10_chat_format, op11_collocations, op12_whitening, op13_quality)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
@@ -146,4 +151,28 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(length(name) + length(shown) + 14) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_collocations": r"""
+        WITH w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        totals AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+        f AS (
+            SELECT lang, k, phrase, count(*) AS a FROM (
+                SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' '))) AS phrase
+                FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k)
+            GROUP BY ALL HAVING count(*) >= 100),
+        longer AS (
+            SELECT q.lang, array_to_string(list_slice(string_split(q.phrase, ' '), i, i + p.k - 1), ' ') AS phrase, max(q.a) AS most
+            FROM f q, (SELECT unnest([2, 3, 4]) AS k) p, (SELECT unnest([1, 2, 3, 4]) AS i)
+            WHERE q.k > p.k AND i + p.k - 1 <= q.k GROUP BY ALL),
+        kept AS (SELECT f.* FROM f LEFT JOIN longer g ON f.lang = g.lang AND f.phrase = g.phrase WHERE f.k > 1 AND (g.most IS NULL OR 100 * g.most < 100 * f.a)),
+        cuts AS (
+            SELECT kept.*, c, array_to_string(list_slice(string_split(phrase, ' '), 1, c), ' ') AS first, array_to_string(list_slice(string_split(phrase, ' '), c + 1, k), ' ') AS rest
+            FROM kept, (SELECT unnest([1, 2, 3, 4]) AS c) WHERE c < k),
+        scored AS (
+            SELECT cuts.lang, cuts.phrase, cuts.a, c, x.a AS l, y.a AS r, n, 1000::HUGEINT * cuts.a * n // (x.a::HUGEINT * y.a) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest JOIN totals t ON t.lang = cuts.lang),
+        lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM scored),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE o = 1)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
 }

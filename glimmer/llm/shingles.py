@@ -46,16 +46,21 @@ def forget() -> None:
     _powers.drop()
 
 
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each slice of bytes: a polynomial of them, from prefix sums, mixed with its length."""
+    up, down = _powers.get(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * up, out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of folded bytes: a polynomial of its bytes, from prefix sums, mixed with its length."""
+    """Hash and first byte of every word of folded bytes."""
     blank = data == 32
     inside = np.concatenate(([True], blank, [True]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers.get(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * up, out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+    return slice_hashes(data, starts, ends), starts
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:

@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glimmer.operators import scans
 
 
 def backfill(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
@@ -77,14 +80,23 @@ def prior_context(rows: DataFrame, key: str, n: int = 3) -> DataFrame:
 def ended_before(rows: DataFrame, key: str, n: int = 3) -> DataFrame:
     """Per row the ids of the last ``n`` rows of its key (by start, then id) that ended before it starts.
 
-    Ends and starts are put in one order of time; a running list of the n latest of what has ended is carried along.
+    Ends and starts are put in one order of time; the n latest of what has ended are carried along, and no more. A row that
+    starts at no known time has nothing before it, one that ends at none is before nothing.
     """
-    events = rows.select(key, F.col("end").alias("at"), F.lit(1).alias("kind"), F.struct("start", "id").alias("e")).unionByName(rows.select(key, F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct("start", "id").alias("e")))
-    w = Window.partitionBy(key).orderBy("at", "kind", "e").rowsBetween(Window.unboundedPreceding, -1)
-    # at equal times starts come first, since an end must lie strictly before; ends go in the order of their rows' starts
-    ended = F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.col("e"))).over(w))
-    last = F.slice(ended, F.greatest(F.size(ended) - (n - 1), F.lit(1)), F.lit(n))
-    return events.withColumn("_l", last).where(F.col("kind") == 0).select(key, F.col("e.id").alias("id"), F.transform("_l", lambda x: x["id"]).alias("before"))
+    ends = rows.where(F.col("end").isNotNull()).select(key, F.col("end").cast("double").alias("at"), F.lit(1).alias("kind"), "start", "id")
+    starts = rows.select(key, F.col("start").cast("double").alias("at"), F.lit(0).alias("kind"), "start", "id")
+
+    def step(state, values):
+        """State: the n rows that ended, latest starts last. At equal times starts come first, since an end must lie strictly before."""
+        at, kind, start, i = values
+        state = state or []
+        if kind == 0:
+            return state, (i, [] if at is None else [e[2] for e in state])
+        return sorted([*state, (start is not None, start, i)])[-n:], None
+
+    kind = rows.schema["id"].dataType
+    out = T.StructType([T.StructField("id", kind), T.StructField("before", T.ArrayType(kind))])
+    return scans.fold(ends.unionByName(starts), key, ["at", "kind", "start", "id"], [], step, out, "ended")
 
 
 def write_back(items: DataFrame, scored: DataFrame, key: str) -> DataFrame:

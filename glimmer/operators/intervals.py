@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glimmer.operators import scans
 
 
 def overlap_share(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -13,17 +16,22 @@ def overlap_share(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.when((shared > 0) & (shorter > 0), shared / shorter).otherwise(0.0)
 
 
-def merge_segments(segments: DataFrame, key: str, gap: float = 5.0, ratio: float = 0.3, least: float = 2.0, scoring=F.avg) -> DataFrame:
-    """Islands of (key, start, end, score): a row joins its predecessor if they overlap by more than ``ratio`` of their
-    common span, or follow it within ``gap``. ``scoring``: an aggregate of the scores. Only neighbours in (start, end) order are compared; islands shorter than ``least`` go."""
-    w = Window.partitionBy(key).orderBy("start", "end", "score")
-    p_start, p_end = F.lag("start").over(w), F.lag("end").over(w)
+def _islands(rows: DataFrame, key: str, order: list[str], gap: float, ratio: float) -> DataFrame:
+    """``rows`` with the number of their island within the key."""
+    placed = scans.with_previous(scans.in_parts(rows, key, order, "islands"), key, order, ["start", "end"], "_p")
+    p_start, p_end = F.col("_p.start"), F.col("_p.end")
     shared = F.least("end", p_end) - F.greatest("start", p_start)
     span = F.greatest("end", p_end) - F.least("start", p_start)
     away = F.col("start") - p_end
     joins = ((shared > 0) & (span > 0) & (shared / F.when(span > 0, span) > ratio)) | ((away >= 0) & (away <= gap))
-    flagged = segments.withColumn("_new", F.when(p_end.isNotNull() & F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    placed = flagged.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    flagged = placed.withColumn("_new", F.when(p_end.isNotNull() & F.coalesce(joins, F.lit(False)), 0).otherwise(1)).drop("_p")
+    return scans.with_before(flagged, key, order, F.col("_new"), "island").withColumn("island", F.coalesce("island", F.lit(0)) + F.col("_new"))
+
+
+def merge_segments(segments: DataFrame, key: str, gap: float = 5.0, ratio: float = 0.3, least: float = 2.0, scoring=F.avg) -> DataFrame:
+    """Islands of (key, start, end, score): a row joins its predecessor if they overlap by more than ``ratio`` of their
+    common span, or follow it within ``gap``. ``scoring``: an aggregate of the scores. Only neighbours in (start, end) order are compared; islands shorter than ``least`` go."""
+    placed = _islands(segments.select(key, "start", "end", "score"), key, ["start", "end", "score"], gap, ratio)
     out = placed.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), scoring("score").alias("score"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("end") - F.col("start") >= least)
 
@@ -31,23 +39,61 @@ def merge_segments(segments: DataFrame, key: str, gap: float = 5.0, ratio: float
 def merge_regions(regions: DataFrame, key: str, slack: float = 1.0) -> DataFrame:
     """Regions (key, start, end, intensity, type) joined when one starts within ``slack`` of the furthest end so far; the greatest
     intensity and its type stay (ties: the first)."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = regions.withColumn("_new", F.when(F.col("start") <= reach + slack, 0).otherwise(1))
-    placed = flagged.withColumn("region", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["start", "end"]
+    rows = scans.in_parts(regions.select(key, "start", "end", "intensity", "type"), key, order, "regions")
+    rows = scans.with_before(rows, key, order, F.col("end"), "_reach", F.max)
+    flagged = rows.withColumn("_new", F.when(F.col("start") <= F.col("_reach") + slack, 0).otherwise(1)).drop("_reach")
+    placed = scans.with_before(flagged, key, order, F.col("_new"), "region").withColumn("region", F.coalesce("region", F.lit(0)) + F.col("_new"))
     best = F.max_by("type", F.struct("intensity", F.negate("start").alias("a"), F.negate("end").alias("b")))
     return placed.groupBy(key, "region").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("intensity").alias("intensity"), best.alias("type"))
 
 
 def gaps(regions: DataFrame, key: str, videos: DataFrame, least: float = 2.0) -> DataFrame:
     """Stretches of (key, duration) outside its merged regions that last at least ``least``: before the first region if that begins
-    after second 1, between regions, after the last if it ends over a second before the end; all of a video without regions."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    placed = videos.select(key, "duration").join(regions.select(key, "start", "end"), key, "left").withColumn("_next", F.lead("start").over(w)).withColumn("_rn", F.row_number().over(w))
+    after second 1, between regions, after the last if it ends over a second before the end; all of a video without regions.
+    ``videos``: one row for each key."""
+    order = ["start", "end"]
+    rows = scans.with_next(scans.in_parts(regions.select(key, *order), key, order, "gaps"), key, order, ["start"], "_next")
+    between = scans.per_key(rows, key, videos.select(key)).where(F.col("_next").isNotNull()).select(key, F.col("end").cast("double").alias("gap_start"), F.col("_next.start").cast("double").alias("gap_end"))
+    edges = regions.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"), F.max(F.struct(*order)).alias("_last"))
+    around = videos.select(key, "duration").join(edges, key, "left")
     stretch = lambda a, b, cond: F.when(cond, F.struct(a.cast("double").alias("gap_start"), b.cast("double").alias("gap_end")))
-    start, end, d = F.col("start"), F.col("end"), F.col("duration")
-    all_of = F.array(stretch(F.lit(0.0), d, start.isNull()), stretch(F.lit(0.0), start, (F.col("_rn") == 1) & (start > 1)), stretch(end, F.col("_next"), F.col("_next").isNotNull()), stretch(end, d, F.col("_next").isNull() & (end < d - 1)))
-    return placed.select(key, F.explode(F.array_compact(all_of)).alias("g")).select(key, "g.*").where(F.col("gap_end") - F.col("gap_start") >= least)
+    start, end, d = F.col("_first.start"), F.col("_last.end"), F.col("duration")
+    all_of = F.array(stretch(F.lit(0.0), d, start.isNull()), stretch(F.lit(0.0), start, start > 1), stretch(end, d, end < d - 1))
+    around = around.select(key, F.explode(F.array_compact(all_of)).alias("g")).select(key, "g.*")
+    return between.unionByName(around).where(F.col("gap_end") - F.col("gap_start") >= least)
+
+
+def _next_cut(window: float):
+    def step(last, values):
+        (t,) = values
+        return (t, (t,)) if last is None or t - last > window else (last, None)
+
+    return step
+
+
+def merge_near_cuts(cuts: DataFrame, key: str, window: float) -> DataFrame:
+    """Rows (key, t), of which one is kept if it lies more than ``window`` after the last kept of its key (the first always is)."""
+    rows = cuts.where(F.col("t").isNotNull()).select(key, F.col("t").cast("double").alias("t"))
+    return scans.fold(rows, key, ["t"], [], _next_cut(window), T.StructType([T.StructField("t", T.DoubleType())]), "cuts")
+
+
+def cut_segments(cuts: DataFrame, videos: DataFrame, key: str, overlap: float = 2.0, longest: float = 120.0, least: float = 3.0) -> DataFrame:
+    """``segments_from_cuts`` for cuts as rows (key, t) of videos (key, duration): no array of a video's cuts is made."""
+    known = videos.select(key, F.col("duration").cast("double").alias("duration"))
+    rows = cuts.select(key, F.col("t").cast("double").alias("t"), F.lit(0).alias("_kind")).unionByName(known.select(key, F.explode(F.array(F.lit(0.0), "duration")).alias("t"), F.lit(1).alias("_kind")))
+    placed = scans.per_key(scans.in_parts(rows, key, ["t", "_kind"], "cut-edges"), key, known)
+    inside = placed.where((F.col("_kind") == 1) | ((F.col("t") > 0) & (F.col("t") < F.col("duration"))))
+    spans = scans.with_next(inside, key, ["t", "_kind"], ["t"], "_next").where(F.col("_next").isNotNull())
+    return _chunks(spans.select(key, "duration", F.col("t").alias("a"), F.col("_next.t").alias("b")), key, overlap, longest, least)
+
+
+def _chunks(spans: DataFrame, key: str, overlap: float, longest: float, least: float) -> DataFrame:
+    """Spans (key, duration, a, b) widened at inner edges and cut into chunks."""
+    wide = spans.select(key, F.when(F.col("a") > 0, F.greatest(F.col("a") - overlap, F.lit(0.0))).otherwise(0.0).alias("a"), F.when(F.col("b") < F.col("duration"), F.least(F.col("b") + overlap, F.col("duration"))).otherwise(F.col("duration")).alias("b"))
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("b") - F.col("a") - overlap) / (longest - overlap)) - 1, F.lit(0)).cast("int"))
+    chunk = wide.select(key, "a", "b", F.explode(steps).alias("_step")).select(key, (F.col("a") + F.col("_step") * (longest - overlap)).alias("start"), F.least(F.col("a") + F.col("_step") * (longest - overlap) + longest, F.col("b")).alias("end"))
+    return chunk.where(F.col("end") - F.col("start") >= least)
 
 
 def merge_cuts(cuts: Column, window: float) -> Column:
@@ -72,11 +118,8 @@ def segments_from_cuts(videos: DataFrame, key: str, overlap: float = 2.0, longes
     """Segments of (key, duration, cuts): the stretches between cuts, widened by ``overlap`` at inner edges, in chunks of at
     most ``longest`` that step back by ``overlap``; chunks shorter than ``least`` are left out."""
     edges = F.array_sort(F.concat(F.array(F.lit(0.0), F.col("duration")), F.filter("cuts", lambda c: (c > 0) & (c < F.col("duration")))))
-    spans = videos.withColumn("_e", edges).select(key, "duration", F.posexplode(F.arrays_zip(F.slice("_e", F.lit(1), F.size("_e") - 1).alias("a"), F.slice("_e", F.lit(2), F.size("_e") - 1).alias("b"))).alias("n", "s"))
-    wide = spans.select(key, "n", F.when(F.col("s.a") > 0, F.greatest(F.col("s.a") - overlap, F.lit(0.0))).otherwise(0.0).alias("a"), F.when(F.col("s.b") < F.col("duration"), F.least(F.col("s.b") + overlap, F.col("duration"))).otherwise(F.col("duration")).alias("b"))
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("b") - F.col("a") - overlap) / (longest - overlap)) - 1, F.lit(0)).cast("int"))
-    chunk = wide.select(key, "a", "b", F.explode(steps).alias("_step")).select(key, (F.col("a") + F.col("_step") * (longest - overlap)).alias("start"), F.least(F.col("a") + F.col("_step") * (longest - overlap) + longest, F.col("b")).alias("end"))
-    return chunk.where(F.col("end") - F.col("start") >= least)
+    spans = videos.withColumn("_e", edges).select(key, "duration", F.explode(F.arrays_zip(F.slice("_e", F.lit(1), F.size("_e") - 1).alias("a"), F.slice("_e", F.lit(2), F.size("_e") - 1).alias("b"))).alias("s"))
+    return _chunks(spans.select(key, "duration", "s.a", "s.b"), key, overlap, longest, least)
 
 
 def compare_incremental(new: DataFrame, old: DataFrame, key: str, bucket: float = 300.0) -> tuple[DataFrame, DataFrame]:
@@ -155,26 +198,26 @@ def mark_superseded(old: DataFrame, gone: DataFrame) -> DataFrame:
 
 def close_frames(frames: DataFrame, key: str, kind: str = "I", within: float = 2.0) -> DataFrame:
     """(key, start, end) of consecutive frames of a kind that lie less than ``within`` apart (frames: t, type, id)."""
-    w = Window.partitionBy(key).orderBy("t", "id")
-    both = frames.select(key, "t", "type", F.lag("t").over(w).alias("p"), F.lag("type").over(w).alias("p_type"))
-    return both.where((F.col("type") == kind) & (F.col("p_type") == kind) & (F.col("t") - F.col("p") < within)).select(key, F.col("p").alias("start"), F.col("t").alias("end"))
+    rows = scans.in_parts(frames.select(key, "t", "type", "id"), key, ["t", "id"], "frames")
+    both = scans.with_previous(rows, key, ["t", "id"], ["t", "type"], "_p")
+    return both.where((F.col("type") == kind) & (F.col("_p.type") == kind) & (F.col("t") - F.col("_p.t") < within)).select(key, F.col("_p.t").alias("start"), F.col("t").alias("end"))
 
 
 def motion_windows(frames: DataFrame, key: str, size: int = 10, over: float = 0.7) -> DataFrame:
     """(key, start, end, intensity) of windows of ``size`` frames of which more than ``over`` are P frames; a window needs a frame after it."""
-    w = Window.partitionBy(key).orderBy("t", "id")
-    share = F.avg(F.when(F.col("type") == "P", 1.0).otherwise(0.0)).over(w.rowsBetween(0, size - 1))
-    out = frames.select(key, F.col("t").alias("start"), F.lead("t", size - 1).over(w).alias("end"), share.alias("intensity"), F.lead("id", size).over(w).alias("_next"))
-    return out.where(F.col("_next").isNotNull() & (F.col("intensity") > over)).drop("_next")
+    rows = scans.in_parts(frames.select(key, "t", "type", "id"), key, ["t", "id"], "frames")
+    made = {
+        "intensity": lambda w: F.avg(F.when(F.col("type") == "P", 1.0).otherwise(0.0)).over(w.rowsBetween(0, size - 1)),
+        "end": lambda w: F.lead("t", size - 1).over(w),
+        "_next": lambda w: F.lead("id", size).over(w),
+    }
+    out = scans.with_following(rows, key, ["t", "id"], size, made)
+    return out.where(F.col("_next").isNotNull() & (F.col("intensity") > over)).select(key, F.col("t").alias("start"), "end", "intensity")
 
 
 def merged_texts(segments: DataFrame, key: str, gap: float = 5.0, ratio: float = 0.3, least: float = 2.0) -> DataFrame:
     """Islands as in ``merge_segments`` with their texts in order, the best segment's thumbnail, and by score."""
-    w = Window.partitionBy(key).orderBy("start", "end", "id")
-    p_start, p_end = F.lag("start").over(w), F.lag("end").over(w)
-    shared, span, away = F.least("end", p_end) - F.greatest("start", p_start), F.greatest("end", p_end) - F.least("start", p_start), F.col("start") - p_end
-    joins = ((shared > 0) & (span > 0) & (shared / F.when(span > 0, span) > ratio)) | ((away >= 0) & (away <= gap))
-    placed = segments.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = _islands(segments.select(key, "start", "end", "id", "score", "text", "thumbnail"), key, ["start", "end", "id"], gap, ratio)
     parts = F.array_sort(F.collect_list(F.struct("start", "end", "id", "text")))
     out = placed.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.avg("score").alias("score"), parts.alias("p"), F.max_by("thumbnail", F.struct("score", F.negate("start").alias("a"), F.negate("id").alias("k"))).alias("thumbnail"))
     text = F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda t: t.isNotNull() & (t != "")), " ")

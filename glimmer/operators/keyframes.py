@@ -1,7 +1,7 @@
 """Cuts, keyframes and frames: thresholds, sampling times, selection by score, perceptual hashes, greedy passes over a video.
 
-The greedy passes fold over one video's own samples in time order (a decision depends on the last one kept); what one
-task holds is one video's samples. Times that the plain rule jitters at random are jittered by a hash here, so that a
+The greedy passes go over a video's samples in time order, since a decision depends on the last one kept; a video of any length is
+spread over ranges of its time (``scans.fold``). Times that the plain rule jitters at random are jittered by a hash here, so that a
 rerun gives the same ones.
 """
 
@@ -11,6 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glimmer.operators import scans
 
 #: How a technique scales the scene threshold: factor and least value (fixed values).
 TECHNIQUES = {"basic_scene": (1.0, 0.0), "motion_analysis": (0.7, 0.0), "histogram_analysis": (0.75, 0.05), "edge_detection": (0.8, 0.0)}
@@ -18,6 +21,9 @@ TECHNIQUES = {"basic_scene": (1.0, 0.0), "motion_analysis": (0.7, 0.0), "histogr
 MOST = {"immediate": 5, "delayed": 10, "background": 20}
 
 
+TIMES = T.StructType([T.StructField("t", T.DoubleType())])
+
+
 def scene_cuts(samples: DataFrame, key: str, threshold: float, techniques: list[str]) -> DataFrame:
     """Distinct (key, t) whose scene score exceeds the threshold as any of the techniques scales it."""
     cuts = [samples.where(F.col("scene") > max(least, threshold * factor)).select(key, "t") for factor, least in (TECHNIQUES[t] for t in techniques)]
@@ -46,20 +52,23 @@ def greedy_keyframes(samples: DataFrame, key: str, longest: float = 8.0, shortes
     within ``shortest``, else by score (half as much again where complexity exceeds 0.7). Once a kept one fills the ``most``, only the
     forced branch went on before; if none is kept, the best sample is (the first of equal ones)."""
     s = frame_score(F.col("motion"), F.col("histogram"), F.col("complexity"))
-    rows = samples.select(key, F.struct("t", s.alias("s"), F.when(F.col("complexity") > 0.7, s * 1.5).otherwise(s).alias("b")).alias("x"))
-    one = rows.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"), F.lit(False).alias("full"))
+    rows = samples.select(key, F.col("t").cast("double").alias("t"), s.alias("s"), F.when(F.col("complexity") > 0.7, s * 1.5).otherwise(s).alias("b"))
 
-    def step(a: Column, x: Column) -> Column:
-        gap = x["t"] - a["last"]
-        force = a["last"].isNull() | (gap >= longest)
-        by_score = ~force & (gap >= shortest) & (x["b"] >= least)
-        keep = ~a["full"] & (force | by_score)
-        kept = F.when(keep, F.concat(a["kept"], F.array(x["t"].cast("double")))).otherwise(a["kept"])
-        full = a["full"] | (~force & (gap >= shortest) & (F.size(kept) >= most))  # the limit is looked at after scored samples only
-        return F.struct(F.when(keep, x["t"].cast("double")).otherwise(a["last"]).alias("last"), kept.alias("kept"), full.alias("full"))
+    def step(state, values):
+        """State: time of the last kept one, how many were kept, whether that is enough."""
+        last, n, full = state or (None, 0, False)
+        t, _, boosted = values
+        if full or t is None:
+            return state, None
+        force = last is None or t - last >= longest
+        scored = not force and t - last >= shortest
+        keep = force or (scored and boosted is not None and boosted >= least)
+        n += keep
+        if scored and n >= most:  # the limit is looked at after scored samples only
+            return (None, 0, True), (t,) if keep else None
+        return ((t, n, False), (t,)) if keep else ((last, n, False), None)
 
-    return one.select(key, F.explode(F.aggregate("xs", start, step)["kept"]).alias("t"))
+    return scans.fold(rows, key, ["t", "s", "b"], [], step, TIMES, "keyframes")
 
 
 def adaptive_threshold(motion: Column) -> Column:
@@ -147,30 +156,51 @@ def hex_distance(a: Column, b: Column) -> Column:
     return F.when(F.length(a) != F.length(b), 1.0).otherwise(differ / F.length(a))
 
 
+def differing(a: str, b: str) -> int:
+    """Digits in which two hashes of one length differ."""
+    return sum(x != y for x, y in zip(a, b, strict=True))
+
+
+def digit_share(a: str, b: str) -> float:
+    """``hex_distance`` of two values."""
+    return 1.0 if len(a) != len(b) else differing(a, b) / max(1, len(a))
+
+
 def _fold_frames(frames: DataFrame, key: str, keep) -> DataFrame:
-    one = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "p_hash", "d_hash", F.col("near").alias("near")))).alias("xs"))
-    rest = F.slice("xs", F.lit(2), F.greatest(F.size("xs") - 1, F.lit(0)))
-    kept = F.aggregate(rest, F.slice("xs", 1, 1), lambda a, x: F.when(keep(x, F.element_at(a, -1)), F.concat(a, F.array(x))).otherwise(a))
-    return one.select(key, F.explode(kept).alias("x")).select(key, "x.t")
+    """(key, t) of each video's first frame and of those that ``keep(frame, last kept frame)`` keeps; frames: (p_hash, d_hash, near)."""
+
+    def step(last, values):
+        t, *frame = values
+        return (frame, (t,)) if last is None or keep(frame, last) else (last, None)
+
+    rows = frames.select(key, F.col("t").cast("double").alias("t"), "p_hash", "d_hash", "near")
+    return scans.fold(rows, key, ["t", "p_hash", "d_hash", "near"], [], step, TIMES, "distinct-frames")
 
 
 def distinct_frames(frames: DataFrame, key: str, least: float = 0.15) -> DataFrame:
-    """(key, t) of frames (t, p_hash, d_hash, near a scene boundary) that differ from the last kept one: 0.7 p + 0.3 d over ``least``, d over 0.2, or near."""
+    """(key, t) of frames (t, p_hash, d_hash, near a scene boundary) that differ from the last kept one: 0.7 p + 0.3 d over ``least``,
+    d over 0.2, or near. A frame without both hashes is kept only where it is near, and then compares with none but by that."""
 
     def keep(x, last):
-        d = hex_distance(x["d_hash"], last["d_hash"])
-        return (hex_distance(x["p_hash"], last["p_hash"]) * 0.7 + d * 0.3 > least) | x["near"] | (d > 0.2)
+        if x[2]:
+            return True
+        if None in (x[0], x[1], last[0], last[1]):
+            return False
+        d = digit_share(x[1], last[1])
+        return digit_share(x[0], last[0]) * 0.7 + d * 0.3 > least or d > 0.2
 
     return _fold_frames(frames, key, keep)
 
 
 def distinct_frames_by_digits(frames: DataFrame, key: str, least: int = 5, p_only: bool = False) -> DataFrame:
-    """The same with counts of differing hex digits: the smaller of both (or p alone) over ``least``."""
-    digits = lambda x, y: hex_distance(x, y) * F.length(x)
+    """The same with counts of differing hex digits: the smaller of both (or p alone) over ``least``; a missing hash is left out of the comparison."""
+
+    def digits(a, b):
+        return None if a is None or b is None else len(a) if len(a) != len(b) else differing(a, b)
 
     def keep(x, last):
-        p = digits(x["p_hash"], last["p_hash"])
-        return (p if p_only else F.least(p, digits(x["d_hash"], last["d_hash"]))) > least
+        found = [n for n in (digits(x[k], last[k]) for k in ((0,) if p_only else (0, 1))) if n is not None]
+        return bool(found) and min(found) > least
 
     return _fold_frames(frames, key, keep)
 

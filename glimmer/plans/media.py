@@ -533,7 +533,7 @@ def perceptual_hashes(spark, sf):
     return table(spark, sf, "pages").select("page_id", K.p_hash(grey).alias("p_hash"))
 
 
-HASHED = "SELECT user_id % 20 AS video, event_id AS id, CAST(event_id % 1013 AS DOUBLE) / 4 AS t, substr(md5(CAST(event_id % 7 AS STRING)), 1, 16) AS p_hash, substr(md5(CAST(event_id % 5 AS STRING)), 1, 16) AS d_hash FROM {events} WHERE event_id < 2000"
+HASHED = "SELECT user_id % 20 AS video, event_id AS id, CAST(event_id % 1013 AS DOUBLE) / 4 AS t, substr(md5(CAST(event_id % 7 AS STRING)), 1, 16) AS p_hash, substr(md5(CAST(event_id % 5 AS STRING)), 1, 16) AS d_hash FROM {events}"
 HAM = "len(list_filter(list_zip(regexp_split_to_array({a}, ''), regexp_split_to_array({b}, '')), lambda z: z[1] <> z[2]))"
 
 

@@ -345,9 +345,11 @@ def fixed_batches(spark, sf_dir):
     p AS (SELECT user_id, x AS a, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS b FROM e), v AS (SELECT p.user_id, CASE WHEN a > 0 THEN greatest(a - 2, 0) ELSE 0 END AS a, CASE WHEN b < d THEN least(b + 2, d) ELSE d END AS b FROM p JOIN d USING (user_id) WHERE b IS NOT NULL)
     SELECT user_id, round(a + k * 118, 6) AS start, round(least(a + k * 118 + 120, b), 6) AS "end" FROM v, range(0, 10000) r(k) WHERE k < greatest(ceil((b - a - 2) / 118), 1) AND least(a + k * 118 + 120, b) - (a + k * 118) >= 3""")
 def segment_from_cuts(spark, sf_dir):
-    cuts = segments(spark, sf_dir).groupBy("user_id").agg(F.min("start").alias("t0"), F.collect_list("start").alias("c")).select("user_id", (F.transform("c", lambda x: (x - F.col("t0")) / 3600)).alias("c"))
-    v = cuts.select("user_id", (F.array_max("c") + 10).alias("duration"), intervals.merge_cuts(F.col("c"), 1.0).alias("cuts"))
-    return intervals.segments_from_cuts(v, "user_id").select("user_id", r6("start").alias("start"), r6("end").alias("end"))
+    s = segments(spark, sf_dir)
+    first = s.groupBy("user_id").agg(F.min("start").alias("t0"), F.max("start").alias("t1"))
+    cuts = s.join(F.broadcast(first) if first.limit(100_001).count() <= 100_000 else first, "user_id").select("user_id", ((F.col("start") - F.col("t0")) / 3600).alias("t"))
+    videos = first.select("user_id", ((F.col("t1") - F.col("t0")) / 3600 + 10).alias("duration"))
+    return intervals.cut_segments(intervals.merge_near_cuts(cuts, "user_id", 1.0), videos, "user_id").select("user_id", r6("start").alias("start"), r6("end").alias("end"))
 
 
 @query(f"""WITH {SEG}, m AS (SELECT x.id, y.id AS o, CASE WHEN least(x.b, y.b) - greatest(x.a, y.a) > 0 AND least(x.b - x.a, y.b - y.a) > 0 THEN (least(x.b, y.b) - greatest(x.a, y.a)) / least(x.b - x.a, y.b - y.a) ELSE 0 END AS share

@@ -739,18 +739,66 @@ def job_event_log(spark, sf):
     return spark.read.parquet(path)
 
 
+def in_batches(spark, rows, order, batches=4, files=2):
+    """``rows`` as a folder of files that arrive one batch after the other, in the order of a column; and its stream, a batch at a time."""
+    path = scratch(spark, "arriving")
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    for k in range(batches if hi is not None else 0):
+        part = rows.where((F.col(order) >= lo + (hi + 1 - lo) * k // batches) & (F.col(order) < lo + (hi + 1 - lo) * (k + 1) // batches))
+        part.repartition(files).write.mode("append").parquet(path)
+    if hi is None:
+        rows.write.parquet(path)
+    return streams.event_stream(spark, path, rows.schema, files)
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_type)) AS state, max(ts) AS at, count(*) AS n FROM events GROUP BY 1")
 def job_state_stream(spark, sf):
     path = scratch(spark, "job-states")
-    streams.job_states(event_stream(spark, sf), path, "user_id", "ts", "event_type")
-    return streams.read_states(spark, path)
+    streams.job_states(in_batches(spark, table(spark, sf, "events"), "event_id"), path, "user_id", "ts", "event_type")
+    return streams.read_states(spark, path, "user_id")
+
+
+#: A job's events by what happened to a user.
+JOB_EVENTS = {"signup": "created", "click": "started", "error": "failed", "purchase": "completed"}
+
+#: The machine over the whole log: one step for each event of a job; a stall lies before the event that shows it, or at the end.
+JOB_LOG = """WITH RECURSIVE e AS (SELECT user_id AS job, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'started' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' END AS event FROM events),
+    z AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ms, event) AS k FROM e WHERE event IS NOT NULL), wm AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS wm FROM events WHERE event_type IN ('signup', 'click', 'error', 'purchase')),
+    w AS (SELECT job, 0::BIGINT AS k, NULL::BIGINT AS ms, NULL::VARCHAR AS status, 0 AS retries, NULL::BIGINT AS deadline, NULL::BIGINT AS stall, 0 AS was, false AS told FROM (SELECT DISTINCT job FROM z)
+        UNION ALL SELECT z.job, z.k, z.ms, n.new, CASE WHEN z.event = 'created' AND (c.now IS NULL OR c.now IN ('completed', 'failed')) THEN 0 WHEN z.event = 'failed' AND c.now IN ('running', 'stalled') THEN w.retries + 1 ELSE w.retries END,
+            CASE WHEN n.new IS NOT DISTINCT FROM c.now THEN CASE WHEN c.stalls THEN NULL ELSE w.deadline END WHEN n.new = 'pending' THEN z.ms + 300000 WHEN n.new = 'running' THEN z.ms + 1200000 END,
+            CASE WHEN c.stalls THEN w.deadline END, w.retries, n.new IS DISTINCT FROM c.now
+        FROM w JOIN z ON z.job = w.job AND z.k = w.k + 1, LATERAL (SELECT coalesce(z.ms > w.deadline, false) AS stalls, CASE WHEN coalesce(z.ms > w.deadline, false) THEN 'stalled' ELSE w.status END AS now) c,
+            LATERAL (SELECT CASE WHEN z.event = 'created' AND (c.now IS NULL OR c.now IN ('completed', 'failed')) THEN 'pending' WHEN z.event = 'started' AND c.now IN ('pending', 'stalled') THEN 'running' WHEN z.event = 'completed' AND c.now IN ('running', 'stalled') THEN 'completed'
+                WHEN z.event = 'failed' AND c.now IN ('running', 'stalled') THEN CASE WHEN w.retries + 1 < 3 THEN 'pending' ELSE 'failed' END ELSE c.now END AS new) n),
+    t AS (SELECT job, ms, status, retries FROM w WHERE told UNION ALL SELECT job, stall, 'stalled', was FROM w WHERE stall IS NOT NULL
+        UNION ALL SELECT job, deadline, 'stalled', retries FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY k DESC) AS o FROM w), wm WHERE o = 1 AND deadline < wm)"""
+
+
+def job_log(spark, sf):
+    path, names = scratch(spark, "job-transitions"), F.create_map(*[F.lit(x) for kv in JOB_EVENTS.items() for x in kv])
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts", names[F.col("event_type")].alias("event")).where("event IS NOT NULL")
+    streams.job_transitions(in_batches(spark, rows, "event_id"), path, "user_id", "ts", "event")
+    return spark.read.schema("job long, at long, status string, retries int, n int").parquet(path)
+
+
+@query(JOB_LOG + " SELECT job, ms AS \"at\", status, retries FROM t")
+def job_transitions(spark, sf):
+    return job_log(spark, sf).select("job", "at", "status", "retries")
+
+
+@query(JOB_LOG + ", o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ms DESC) AS o FROM t) SELECT job, ms AS \"at\", status, retries FROM o WHERE o = 1")
+def job_last_status(spark, sf):
+    return streams.last_transitions(job_log(spark, sf))
 
 
 @query("SELECT DISTINCT user_id, round(epoch_us(ts) / 1e6, 3) AS start, round(epoch_us(ts) / 1e6 + value, 3) AS \"end\" FROM events WHERE value > 0")
 def early_segments(spark, sf):
+    """Every segment is told twice, the second time ten minutes later and mostly in another batch."""
     path, start = scratch(spark, "early-segments"), F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = event_stream(spark, sf).select("user_id", start.alias("start"), (start + F.col("value")).alias("end"))
-    streams.early_segments(rows, path, "user_id")
+    rows = table(spark, sf, "events").select("user_id", start.alias("start"), (start + F.col("value")).alias("end"), F.explode(F.array(F.lit(0), F.lit(600))).alias("late"))
+    rows = rows.withColumn("second", F.floor("start") + F.col("late")).withColumn("at", F.timestamp_seconds("second"))
+    streams.early_segments(in_batches(spark, rows, "second"), path, "user_id", "at")
     return spark.read.parquet(path).select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 

@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z) and cut at marks and line ends into pieces, pieces a
 made within a language. The words of a language have one order, common words first: by a count sketch over all texts, then by
 their bytes. A phrase belongs to its rarest word in that order, its pivot. For every place of a word the text is rewritten
 to the fragment that phrases of this pivot can lie in: up to ``longest`` - 1 words to either side, ending before a rarer word,
-to the left also before the pivot itself (so a phrase is counted at its first pivot alone), and at pairs of neighbours that
-the sketch shows to be too rare. Fragments travel to their pivot with their number; there all phrases through the pivot are
+to the left also before the pivot itself (so a phrase is counted at its first pivot alone), and at neighbours that a sketch shows to
+be too rare together. Fragments travel to their pivot with their number; there all phrases through the pivot are
 counted, and nobody else counts them. A pivot with many places is dealt out by its fragments. A word alone is a fragment of
 itself, and the empty phrase, with pivot '', occurs as often as there are words.
 
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from glimmer.llm.common import fresh, give_back, join_spread, prepare, small, stage, text_or_empty
 from glimmer.llm.shingles import forget, mix64, slice_hashes
 
-#: Bytes of text that are cut into words together (a longer text on its own), fragments written together, rows mined together.
-FLUSH, WRITTEN, MINED = 1 << 22, 1 << 17, 1 << 17
+#: Bytes of text that are cut into words together (a longer text on its own), rows that a task sums up before it sends them, rows
+#: mined together, and rows of a batch that is handed to the JVM.
+FLUSH, SUMMED, MINED, WRITTEN = 1 << 21, 1 << 18, 1 << 16, 1 << 13
 #: Cells of the word sketch, and its pieces; bits of a cell of the pair sketch, which has a cell for every PAIR_BYTES of text.
 WORD_BITS, WORD_PIECES, LEAST_BITS, MOST_BITS, PAIR_BYTES = 20, 16, 20, 30, 16
 PAIR_PIECES = 1024
 #: Places of a pivot, by the sketch, that one group holds; more are dealt out.
-PLACES = 1 << 16
+PLACES = 1 << 20
 #: Ways in which a language's phrases are dealt out before its best are found.
 SPREAD = 64
 #: Byte classes: A-Z to lower case, blank and tab to 32, marks and line ends to 10.
@@ -127,6 +128,12 @@ def pair_cells(hashes: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def triple_cells(hashes: np.ndarray, own: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
+    """Cells of the words at ``first`` and the two after each."""
+    h = [hashes[own[first + k]] for k in range(3)]
+    return (mix64(h[0] * np.uint64(0x9E3779B97F4A7C15) + mix64(h[1] * np.uint64(0xBF58476D1CE4E5B9) + (h[2] ^ np.uint64(0xD6E8FEB86659FD93)))) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def packed(cells: np.ndarray, n: np.ndarray) -> bytes:
     """Ascending cells and their counts as byte planes: most bytes are zero."""
     both = np.stack((np.diff(cells, prepend=0), n)).astype("<u4")
@@ -141,41 +148,70 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Sketch:
-    """Counts of words by cell, and a bit for each cell of pairs that ``least`` or more of fall into."""
+    """Counts of words by cell, and a bit for each cell of pairs and of triples that ``least`` or more of fall into."""
 
     words: np.ndarray
     pairs: np.ndarray
+    triples: np.ndarray | None
     bits: int
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
         return self.words[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
 
-    def often(self, cells: np.ndarray) -> np.ndarray:
-        return (self.pairs[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+    def linked(self, t: Text) -> np.ndarray:
+        """Of each word: whether it and the next may be frequent together."""
+        if len(t.own) < 2:
+            return np.zeros(len(t.own), bool)
+        return np.concatenate(((t.words.piece[1:] == t.words.piece[:-1]) & bit(self.pairs, pair_cells(t.hash, t.own, self.bits)), [False]))
 
+    def tripled(self, t: Text, linked: np.ndarray) -> np.ndarray:
+        """Of each word: whether it and the next two may be."""
+        out = np.zeros(len(t.own), bool)
+        first = np.flatnonzero(linked[:-1] & linked[1:])
+        out[first] = bit(self.triples, triple_cells(t.hash, t.own, first, self.bits))
+        return out
 
-def sketch(docs: DataFrame, least: int) -> Sketch:
-    """From all texts; the driver receives its fixed number of cells, at most 2^MOST_BITS bits and 2^WORD_BITS counts."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // PAIR_BYTES).bit_length()))
-    pair_shift, word_shift = bits - PAIR_PIECES.bit_length() + 1, WORD_BITS - WORD_PIECES.bit_length() + 1
+
+def bit(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+
+
+def shipped_sketch(spark, s: Sketch):
+    """A function that gives the sketch inside a task."""
+    told = spark.sparkContext.broadcast([None if x is None else zlib.compress(x.tobytes(), 1) for x in (s.words, s.pairs, s.triples)])
+    bits = s.bits
+
+    def read() -> Sketch:
+        words, pairs, triples = (None if x is None else zlib.decompress(x) for x in told.value)
+        return Sketch(np.frombuffer(words, np.uint32), np.frombuffer(pairs, np.uint8), None if triples is None else np.frombuffer(triples, np.uint8), bits)
+
+    return read
+
+
+def in_slices(rb: pa.RecordBatch):
+    for a in range(0, rb.num_rows, WRITTEN):
+        yield rb.slice(a, WRITTEN)
+
+
+def counted(docs: DataFrame, least: int, bits: int, cells_of) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of WORD_BITS cells and bits of ``bits`` cells, added up piece by piece; ``cells_of(text)`` gives (ascending cells, counts) of both, or None."""
+    shift, word_shift = bits - PAIR_PIECES.bit_length() + 1, WORD_BITS - WORD_PIECES.bit_length() + 1
 
     def count(batches):
+        own = cells_of()
         for langs, texts in runs(batches):
-            t = read_text(langs, texts)
-            same = t.words.piece[1:] == t.words.piece[:-1]
             pieces, bodies = [], []
-            pairs = np.unique(pair_cells(t.hash, t.own, bits)[same], return_counts=True) if len(t.own) > 1 else (np.zeros(0, np.int64),) * 2
-            order = np.argsort(t.hash)
-            word_cells, at = np.unique((t.hash[order] >> np.uint64(64 - WORD_BITS)).astype(np.int64), return_index=True)
-            words = (word_cells, np.add.reduceat(t.n[order], at) if len(at) else at)
-            for first, shift, (cells, n) in ((0, pair_shift, pairs), (PAIR_PIECES, word_shift, words)):
-                piece = cells >> shift
-                edge = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))) if len(cells) else np.zeros(0, np.int64)
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(cells)], strict=False):
+            for first, by, found in zip((0, PAIR_PIECES), (shift, word_shift), own(read_text(langs, texts)), strict=True):
+                if found is None or not len(found[0]):
+                    continue
+                cells, n = found
+                piece = cells >> by
+                edge = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))).tolist()
+                for a, b in zip(edge, [*edge[1:], len(cells)], strict=True):
                     pieces.append(first + int(piece[a]))
-                    bodies.append(packed(cells[a:b] - (piece[a] << shift), np.minimum(n[a:b], 0xFFFFFFFF)))
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array(bodies, pa.binary())], ["piece", "body"])
+                    bodies.append(packed(cells[a:b] - (piece[a] << by), np.minimum(n[a:b], 0xFFFFFFFF)))
+            for a in range(0, len(pieces), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(pieces[a : a + 64], pa.int32()), pa.array(bodies[a : a + 64], pa.binary())], ["piece", "body"])
             give_back()
         forget()
 
@@ -192,7 +228,7 @@ def sketch(docs: DataFrame, least: int) -> Sketch:
                 if k != piece:
                     if piece is not None:
                         yield done()
-                    piece, total = k, np.zeros(1 << (pair_shift if k < PAIR_PIECES else word_shift), np.int64)
+                    piece, total = k, np.zeros(1 << (shift if k < PAIR_PIECES else word_shift), np.int64)
                 cells, n = unpacked(body)
                 total[cells] += n
         if piece is not None:
@@ -200,94 +236,163 @@ def sketch(docs: DataFrame, least: int) -> Sketch:
 
     kind = "piece int, body binary"
     rows = docs.mapInArrow(count, kind).repartition("piece").sortWithinPartitions("piece").mapInArrow(add, kind).collect()
-    pairs, words = np.zeros((PAIR_PIECES, (1 << pair_shift) // 8), np.uint8), np.zeros((WORD_PIECES, 1 << word_shift), np.uint32)
+    found, words = np.zeros((PAIR_PIECES, (1 << shift) // 8), np.uint8), np.zeros((WORD_PIECES, 1 << word_shift), np.uint32)
     for r in rows:
         data = zlib.decompress(r["body"])
         if r["piece"] < PAIR_PIECES:
-            pairs[r["piece"]] = np.frombuffer(data, np.uint8)
+            found[r["piece"]] = np.frombuffer(data, np.uint8)
         else:
             words[r["piece"] - PAIR_PIECES] = np.frombuffer(data, "<u4")
-    return Sketch(words.reshape(-1), pairs.reshape(-1), bits)
+    return found.reshape(-1), words.reshape(-1)
+
+
+def sketch(docs: DataFrame, least: int) -> Sketch:
+    """From all texts, which are read twice: words and pairs, then the triples whose pairs may be frequent.
+
+    The driver receives its fixed number of cells: at most 2^MOST_BITS bits, twice, and 2^WORD_BITS counts.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // PAIR_BYTES).bit_length()))
 
+    def pairs_and_words():
+        def cells(t: Text):
+            same = t.words.piece[1:] == t.words.piece[:-1]
+            order = np.argsort(t.hash)
+            word_cells, at = np.unique((t.hash[order] >> np.uint64(64 - WORD_BITS)).astype(np.int64), return_index=True)
+            words = (word_cells, np.add.reduceat(t.n[order], at) if len(at) else at)
+            return np.unique(pair_cells(t.hash, t.own, bits)[same], return_counts=True) if len(t.own) > 1 else None, words
 
-def fragments_of(t: Text, s: Sketch, longest: int):
+        return cells
+
+    pairs, words = counted(docs, least, bits, pairs_and_words)
+    read = shipped_sketch(docs.sparkSession, Sketch(words, pairs, None, bits))
+
+    def triples_of_pairs():
+        s = read()
+
+        def cells(t: Text):
+            linked = s.linked(t)
+            first = np.flatnonzero(linked[:-1] & linked[1:])
+            return np.unique(triple_cells(t.hash, t.own, first, bits), return_counts=True), None
+
+        return cells
+
+    triples, _ = counted(docs, least, bits, triples_of_pairs)
+    return Sketch(words, pairs, triples, bits)
+
+
+def fragments_of(t: Text, s: Sketch, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the pivot, the first and the last word of every fragment of a run."""
-    none = (np.zeros(0, np.int64),) * 3
-    if len(t.own) < 2:
-        return none
     by_bytes = np.empty(len(t.words.distinct), np.int64)
     by_bytes[pc.array_sort_indices(t.words.distinct).to_numpy()] = np.arange(len(by_bytes))
     rank = np.empty(len(t.hash), np.int64)
     rank[np.lexsort((by_bytes[t.word], -s.count(t.hash).astype(np.int64)))] = np.arange(len(rank))  # rarer is larger
-    linked = (t.words.piece[1:] == t.words.piece[:-1]) & s.often(pair_cells(t.hash, t.own, s.bits))
-    linked = np.concatenate((linked, [False]))  # of a word with the next
+    linked = s.linked(t)
     place = np.flatnonzero(linked | np.concatenate(([False], linked[:-1])))
     if not len(place):
-        return none
-    link, r = linked[place], rank[t.own[place]]
+        return (np.zeros(0, np.int64),) * 3
+    link, triple, r = linked[place], s.tripled(t, linked)[place], rank[t.own[place]]
     left, right = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     near_left, near_right = np.ones(len(place), bool), np.ones(len(place), bool)
     for d in range(1, min(longest, len(place))):
         near_left[:d] = False
-        near_left[d:] &= link[:-d] & (r[:-d] < r[d:])
+        near_left[d:] &= (link if d == 1 else triple)[:-d] & (r[:-d] < r[d:])
         near_right[-d:] = False
-        near_right[:-d] &= link[d - 1 : len(link) - 1] & (r[d:] <= r[:-d])
+        near_right[:-d] &= (link[: len(link) - 1] if d == 1 else triple[d - 2 : len(link) - 2]) & (r[d:] <= r[:-d])
         left += near_left
         right += near_right
-    live = left + right > 0
-    return place[live], (place - left)[live], (place + right)[live]
+    across = np.concatenate(([False], triple[:-1]))
+    apart = (left > 0) & (right > 0) & ~across
+    one, two = np.flatnonzero((left + right > 0) & ~apart), np.flatnonzero(apart)
+    return tuple(np.concatenate(x) for x in ((place[one], place[two], place[two]), ((place - left)[one], (place - left)[two], place[two]), ((place + right)[one], place[two], (place + right)[two])))
+
+
+FRAGMENT, PHRASE = ["lang", "pivot", "splits", "fragment"], ["lang", "phrase", "words"]
+
+
+def summed(rows: list[pa.Table], keys: list[str], value: str) -> pa.Table:
+    """Rows of equal keys as one, with the sum of their value."""
+    out = pa.concat_tables(rows).group_by(keys).aggregate([(value, "sum")])
+    return out.rename_columns([*keys, value] if out.column_names[0] == keys[0] else [value, *keys]).select([*keys, value])
 
 
 def fragments(docs: DataFrame, s: Sketch, least: int, longest: int) -> DataFrame:
-    """lang, pivot, splits, fragment, n: what each run of texts has, summed up; docs: lang, text."""
-    shipped = docs.sparkSession.sparkContext.broadcast((zlib.compress(s.words.tobytes(), 1), zlib.compress(s.pairs.tobytes(), 1), s.bits))
-    known: dict[str, Sketch] = {}
+    """lang, pivot, splits, fragment, n: what each task has, mostly summed up; docs: lang, text."""
+    read = shipped_sketch(docs.sparkSession, s)
+
+    def of_run(t: Text, s: Sketch):
+        w, counts = t.words, s.count(t.hash)
+        names, splits = pa.array(t.langs, pa.string()), 1 + counts.astype(np.int64) // PLACES
+
+        def table(own, bodies, n):
+            own = np.asarray(own)
+            columns = [names.take(pa.array(t.lang[own])), w.distinct.take(pa.array(t.word[own])).cast(pa.string()), pa.array(splits[own], pa.int32()), bodies.cast(pa.string()), pa.array(n, pa.int64())]
+            return pa.table(columns, names=[*FRAGMENT, "n"])
+
+        total = np.bincount(t.lang, t.n, minlength=len(t.langs)).astype(np.int64)
+        blank = pa.array([""] * len(names), pa.string())
+        yield pa.table([names, blank, pa.array([1] * len(names), pa.int32()), blank, pa.array(total)], names=[*FRAGMENT, "n"])
+        alone = np.flatnonzero(counts >= least)
+        yield table(alone, w.distinct.take(pa.array(t.word[alone])), t.n[alone])
+        pivot, first, last = fragments_of(t, s, longest)
+        body, edges = with_blanks(w)
+        for a in range(0, len(pivot), SUMMED):
+            own = t.own[pivot[a : a + SUMMED]]
+            texts = slices(body, edges[first[a : a + SUMMED]], edges[last[a : a + SUMMED] + 1] - 1)
+            same = pa.table({"own": pa.array(own), "body": texts}).group_by(["own", "body"]).aggregate([([], "count_all")])
+            yield table(same.column("own").to_numpy(), same.column("body").combine_chunks(), same.column("count_all").to_numpy())
 
     def rewrite(batches):
-        if "s" not in known:
-            words, pairs, bits = shipped.value
-            known["s"] = Sketch(np.frombuffer(zlib.decompress(words), np.uint32), np.frombuffer(zlib.decompress(pairs), np.uint8), bits)
-        s = known["s"]
+        s = read()
+        held, size = [], 0
+
+        def sent(table):
+            for rb in table.combine_chunks().to_batches():
+                yield from in_slices(rb)
+
         for langs, texts in runs(batches):
-            t = read_text(langs, texts)
-            w, counts = t.words, s.count(t.hash)
-            names, splits = pa.array(t.langs, pa.string()), 1 + counts.astype(np.int64) // PLACES
-
-            def sent(own, bodies, n):
-                own = np.asarray(own)
-                strings = lambda a: a.cast(pa.string())
-                return pa.RecordBatch.from_arrays([names.take(pa.array(t.lang[own])), strings(w.distinct.take(pa.array(t.word[own]))), pa.array(splits[own], pa.int32()), strings(bodies), pa.array(n, pa.int64())], ["lang", "pivot", "splits", "fragment", "n"])
-
-            total = np.bincount(t.lang, t.n, minlength=len(t.langs)).astype(np.int64)
-            blank = pa.array([""] * len(names), pa.string())
-            yield pa.RecordBatch.from_arrays([names, blank, pa.array([1] * len(names), pa.int32()), blank, pa.array(total)], ["lang", "pivot", "splits", "fragment", "n"])
-            alone = np.flatnonzero(counts >= least)
-            for a in range(0, len(alone), WRITTEN):
-                own = alone[a : a + WRITTEN]
-                yield sent(own, w.distinct.take(pa.array(t.word[own])), t.n[own])
-            pivot, first, last = fragments_of(t, s, longest)
-            spaced = np.full(len(w.body) + len(w.edges) - 1, 32, np.uint8)  # every word and a blank
-            edges = w.edges + np.arange(len(w.edges))
-            inside = np.ones(len(spaced), bool)
-            inside[edges[1:] - 1] = False
-            spaced[inside] = w.body
-            for a in range(0, len(pivot), WRITTEN):
-                begin, end = edges[first[a : a + WRITTEN]], edges[last[a : a + WRITTEN] + 1] - 1
-                cuts = np.concatenate(([0], np.cumsum(end - begin)))
-                body = spaced[np.repeat(begin - cuts[:-1], end - begin) + np.arange(cuts[-1])]
-                own = t.own[pivot[a : a + WRITTEN]]
-                same = pa.table({"own": pa.array(own), "body": strings_of(body, cuts)}).group_by(["own", "body"]).aggregate([([], "count_all")])
-                yield sent(same.column("own").to_numpy(), same.column("body").combine_chunks(), same.column("count_all").to_numpy())
+            for part in of_run(read_text(langs, texts), s):
+                held.append(part)
+                size += part.num_rows
+            if size >= SUMMED:
+                held = [summed(held, FRAGMENT, "n")]
+                size = held[0].num_rows
+                if size >= SUMMED // 2:  # little is alike
+                    yield from sent(held[0])
+                    held, size = [], 0
             give_back()
+        if held:
+            yield from sent(summed(held, FRAGMENT, "n"))
         forget()
+        give_back()
 
     return docs.mapInArrow(rewrite, "lang string, pivot string, splits int, fragment string, n long")
 
 
-def mine(rows: pa.Table, longest: int, least: int) -> list[pa.RecordBatch]:
-    """Phrases through the pivots of some fragments; those that cannot get more from elsewhere only if frequent. Rows are sorted by language and pivot."""
+def with_blanks(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words with a blank after each, and where they begin."""
+    edges = w.edges + np.arange(len(w.edges))
+    body, inside = np.full(int(edges[-1]), 32, np.uint8), np.ones(int(edges[-1]), bool)
+    inside[edges[1:] - 1] = False
+    body[inside] = w.body
+    return body, edges
+
+
+def slices(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Copies of stretches of bytes."""
+    cuts = np.concatenate(([0], np.cumsum(end - begin)))
+    out = np.empty(int(cuts[-1]), np.uint8)
+    for a in range(0, len(begin), WRITTEN):
+        b = min(a + WRITTEN, len(begin))
+        out[cuts[a] : cuts[b]] = body[np.repeat(begin[a:b] - cuts[a:b], end[a:b] - begin[a:b]) + np.arange(cuts[a], cuts[b])]
+    return strings_of(out, cuts)
+
+
+def mine(rows: pa.Table, longest: int, least: int) -> pa.Table:
+    """Phrases through the pivots of some fragments: lang, pivot, splits, phrase, words, a. Rows are sorted by language and pivot, and of
+    pivots that lie wholly among them only the frequent phrases are kept."""
     frags = rows.column("fragment").combine_chunks()
-    w = cut_words(frags)
+    w = cut_words(frags)  # they are cut and folded: only blanks part them
     at, n = np.concatenate(([0], np.cumsum(np.bincount(w.doc, minlength=len(frags))))), rows.column("n").to_numpy()
     size = np.diff(at)
     pivots = pc.index_in(rows.column("pivot").combine_chunks().cast(pa.large_binary()), value_set=w.distinct).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -299,12 +404,8 @@ def mine(rows: pa.Table, longest: int, least: int) -> list[pa.RecordBatch]:
     lang = coded.indices.to_numpy().astype(np.int64)
     group = np.concatenate(([0], np.cumsum((lang[1:] != lang[:-1]) | (pivots[1:] != pivots[:-1]))))
     whole = (rows.column("splits").to_numpy() == 1) & (group > 0) & (group < group[-1])
-    wide, out = max(1, len(w.distinct)), []
-    spaced = w.edges + np.arange(len(w.edges))
-    body = np.full(len(w.body) + len(w.edges) - 1, 32, np.uint8)
-    inside = np.ones(len(body), bool)
-    inside[spaced[1:] - 1] = False
-    body[inside] = w.body
+    wide, owners_of, texts, lengths, totals = max(1, len(w.distinct)), [], [], [], []
+    body, edges = with_blanks(w)
     for words in range(1, longest + 1):
         starts, owners = [], []
         for a in range(words):
@@ -326,14 +427,49 @@ def mine(rows: pa.Table, longest: int, least: int) -> list[pa.RecordBatch]:
         total, one = np.add.reduceat(n[owner[order]], edge), order[edge]
         keep = (total >= least) | ~whole[owner[one]]
         total, one = total[keep], one[keep]
-        begin, end = spaced[start[one]], spaced[start[one] + words] - 1
-        cuts = np.concatenate(([0], np.cumsum(end - begin)))
-        text = strings_of(body[np.repeat(begin - cuts[:-1], end - begin) + np.arange(cuts[-1])], cuts).cast(pa.string())
-        out.append(pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(lang[owner[one]])), text, pa.array(np.full(len(one), words), pa.int32()), pa.array(total, pa.int64())], ["lang", "phrase", "words", "a"]))
+        owners_of.append(owner[one])
+        texts.append(slices(body, edges[start[one]], edges[start[one] + words] - 1))
+        lengths.append(np.full(len(one), words))
+        totals.append(total)
     blank = np.flatnonzero(size == 0)
-    if len(blank):
-        out.append(pa.RecordBatch.from_arrays([rows.column("lang").combine_chunks().take(pa.array(blank)), pa.array([""] * len(blank), pa.string()), pa.array(np.zeros(len(blank)), pa.int32()), pa.array(n[blank])], ["lang", "phrase", "words", "a"]))
-    return out
+    at = pa.array(np.concatenate([*owners_of, blank]))
+    text = pa.concat_arrays([*texts, pa.array([b""] * len(blank), pa.large_binary())]).cast(pa.string())
+    columns = [rows.column(c).take(at) for c in FRAGMENT[:3]]
+    return pa.table([*columns, text, pa.array(np.concatenate([*lengths, np.zeros(len(blank))]), pa.int32()), pa.array(np.concatenate([*totals, n[blank]]), pa.int64())], names=[*FRAGMENT[:3], "phrase", "words", "a"])
+
+
+def mined(batches, longest: int, least: int):
+    """Phrases of the fragments of a task, sorted by language and pivot, as batches. Of a pivot that goes on in the next rows the phrases
+    are held, and only the frequent ones are sent when it ends; pivots that are dealt out send all."""
+    keys, held, size, opened = ["lang", "pivot", "splits", "phrase", "words"], [], 0, []
+
+    def settle(last):
+        """What can be sent after the rows held; ``last``: nothing more comes."""
+        table = pa.Table.from_batches(held)
+        now = (table.column("lang")[-1].as_py(), table.column("pivot")[-1].as_py())
+        found = summed([*opened, mine(table, longest, least)], keys, "a")
+        split = pc.greater(found.column("splits"), 1)
+        goes_on = pc.and_(pc.and_(pc.equal(found.column("lang"), now[0]), pc.equal(found.column("pivot"), now[1])), pc.invert(split))
+        goes_on = pc.and_(goes_on, pa.scalar(not last))
+        good = pc.or_(pc.or_(split, pc.greater_equal(found.column("a"), least)), pc.equal(found.column("words"), 0))
+        opened[:] = [found.filter(goes_on)]
+        for rb in found.filter(pc.and_(good, pc.invert(goes_on))).select([*PHRASE, "a"]).combine_chunks().to_batches():
+            yield from in_slices(rb)
+
+    for rb in batches:
+        held.append(rb.select([*FRAGMENT, "n"]))
+        size += rb.num_rows
+        if size >= MINED:
+            yield from settle(False)
+            held, size = [], 0
+            give_back()
+    if held:
+        yield from settle(True)
+    elif opened:
+        table = opened[0]
+        for rb in table.filter(pc.greater_equal(table.column("a"), least)).select([*PHRASE, "a"]).combine_chunks().to_batches():
+            yield from in_slices(rb)
+    give_back()
 
 
 def phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
@@ -343,22 +479,12 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
     rows = fragments(thin, sketch(thin, least), least, longest)
 
     def count(batches):
-        held, size = [], 0
-        for rb in batches:
-            held.append(rb.select(["lang", "pivot", "splits", "fragment", "n"]))
-            size += rb.num_rows
-            if size >= MINED:
-                yield from mine(pa.Table.from_batches(held), longest, least)
-                held, size = [], 0
-                give_back()
-        if size:
-            yield from mine(pa.Table.from_batches(held), longest, least)
-        give_back()
+        yield from mined(batches, longest, least)
 
     salt = F.pmod(F.xxhash64("fragment"), F.col("splits")).alias("salt")
     dealt = rows.select("*", salt).repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot")
-    mined = dealt.mapInArrow(count, "lang string, phrase string, words int, a long")
-    total = mined.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
+    found = dealt.mapInArrow(count, "lang string, phrase string, words int, a long")
+    total = found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     return stage(total.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")
 
 

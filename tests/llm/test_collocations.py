@@ -51,7 +51,7 @@ def texts(seed, n):
     return out
 
 
-CASES = {"plain": {}, "short runs": {"FLUSH": 64, "WRITTEN": 7, "MINED": 9}, "hot pivots": {"PLACES": 5}, "crowded sketch": {"LEAST_BITS": 13, "MOST_BITS": 13}}
+CASES = {"plain": {}, "short runs": {"FLUSH": 64, "WRITTEN": 7, "MINED": 9, "SUMMED": 11}, "hot pivots": {"PLACES": 5}, "long pivots": {"MINED": 3, "SUMMED": 5}, "crowded sketch": {"LEAST_BITS": 13, "MOST_BITS": 13}}
 
 
 @pytest.mark.parametrize("case", list(CASES))
@@ -83,7 +83,8 @@ def test_products_beyond_64_bits(spark, monkeypatch):
 def test_a_phrase_has_one_pivot():
     """Every phrase of linked words lies in exactly one fragment of its rarest word, at its first place."""
     t = collocations.read_text(pa.array(["en", "fr"]), pa.array(["b a b b c a. a a b", "a b a b"]))
-    s = collocations.Sketch(np.full(1 << collocations.WORD_BITS, 5, np.uint32), np.full(1 << 17, 255, np.uint8), 20)
+    every = np.full(1 << 17, 255, np.uint8)
+    s = collocations.Sketch(np.full(1 << collocations.WORD_BITS, 5, np.uint32), every, every, 20)
     pivot, first, last = collocations.fragments_of(t, s, 5)
     words = [t.words.distinct[k].as_py() for k in t.words.index.tolist()]
     seen = Counter()

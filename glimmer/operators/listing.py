@@ -75,16 +75,20 @@ ORDERS = ("created_at", "modified_at", "path", "size")
 def cursor_page(rows: DataFrame, order: str, after: tuple | None = None, descending: bool = True, limit: int = 20, key: str = "id") -> DataFrame:
     """A page in (order, key) after the cursor (value, key), with has_more on every row and next_key / next_value on the last.
 
-    One row more than the page is taken to see whether others follow. Rows without a value come last and have no cursor.
+    One row more than the page is taken to see whether others follow. Rows without a value come last, by key; a cursor whose value
+    is None lies among them.
     """
     if order not in ORDERS:
         raise ValueError(f"no order by {order}")
-    rows = rows.where(F.col(order).isNotNull())
     if after is not None:
-        v, k = F.lit(after[0]), F.lit(after[1])
-        beyond = (F.col(order) < v) | ((F.col(order) == v) & (F.col(key) < k)) if descending else (F.col(order) > v) | ((F.col(order) == v) & (F.col(key) > k))
-        rows = rows.where(beyond)
-    by = [F.col(order).desc(), F.col(key).desc()] if descending else [F.col(order).asc(), F.col(key).asc()]
+        v, k = after
+        past = F.col(key) < F.lit(k) if descending else F.col(key) > F.lit(k)
+        if v is None:
+            rows = rows.where(F.col(order).isNull() & past)
+        else:
+            further = F.col(order) < F.lit(v) if descending else F.col(order) > F.lit(v)
+            rows = rows.where(further | ((F.col(order) == F.lit(v)) & past) | F.col(order).isNull())
+    by = [F.col(order).desc_nulls_last(), F.col(key).desc()] if descending else [F.col(order).asc_nulls_last(), F.col(key).asc()]
     page = rows.orderBy(*by).limit(limit + 1)
     w = Window.partitionBy().orderBy(*by)  # over limit + 1 rows
     page = page.withColumn("rn", F.row_number().over(w)).withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > limit).where(F.col("rn") <= limit)

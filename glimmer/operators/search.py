@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,11 @@ from glimmer.session import scratch
 
 #: Folders that a term's postings may lie in, by its first two letters, so that a prefix of two letters or more has one folder.
 FOLDERS = 64
-_known: dict[tuple[str, str], str] = {}
+#: Blocks of documents to each doubling of the length, and parts in which the postings of a folder and block are written.
+BLOCKS, PARTS = 8, 8
+#: Terms in this many documents or more have the bounds of their blocks written down.
+COMMON = 1000
+_known: dict[tuple, str] = {}
 
 
 def folder(term: Column) -> Column:
@@ -25,20 +31,44 @@ def folder_of(word: str) -> int:
     return zlib.crc32(word[:2].encode()) % FOLDERS
 
 
+def block(length: Column) -> Column:
+    """Documents of like length are a block, since what a term can add to a score depends on its count and the length."""
+    return F.floor(F.log2(length + 1.0) * BLOCKS).cast("int")
+
+
 def write_postings(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Tokenise once: (term, doc_id, tf, dl) in folders by the term's first letters, sorted by term; and the corpus's size.
+    """Tokenise once: (term, doc_id, tf, dl, block) in folders by the term's first letters, sorted by term and block; the corpus's size;
+    and for common terms the greatest count and least length in each block.
 
-    Term counts are summed map-side. Null text is an empty document; it counts in the corpus's size only.
+    Term counts are summed map-side. A folder's blocks are written in parts, so a common term has many writers and files. Null text is
+    an empty document; it counts in the corpus's size only.
     """
+    spark = docs.sparkSession
     words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("words")).select("doc_id", "words", F.size("words").alias("dl"))
-    words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.max("doc_id").alias("id")).write.mode("overwrite").parquet(f"{path}/size")
     posts = words.select("doc_id", "dl", F.explode("words").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    posts.withColumn("folder", folder(F.col("term"))).repartition("folder").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    posts = posts.withColumns({"folder": folder(F.col("term")), "block": block(F.col("dl"))}).repartition("folder", "block", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    posts.sortWithinPartitions("folder", "term", "block").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    written = spark.read.schema(posts.schema).parquet(f"{path}/postings")
+    held = written.agg(F.sum("tf").alias("total"), F.max("doc_id").alias("id"))  # one row
+    size = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(held))
+    size.select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"), "id").write.mode("overwrite").parquet(f"{path}/size")
+    common = written.groupBy("folder", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).drop("n")  # at most a COMMON-th of the postings
+    bounds = written.join(common, ["folder", "term"], "left_semi").groupBy("folder", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    bounds.repartition("folder").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/bounds")
+
+
+def state_of(docs: DataFrame) -> int | None:
+    """A number that changes when the files of a plain read do; None for other frames."""
+    try:
+        files = docs.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    except AnalysisException:
+        return None
+    return files.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0]
 
 
 def postings(spark: SparkSession, key: str, docs: DataFrame) -> str:
-    """The folder of the postings of ``docs``, written at the first call of a session for ``key`` (a path that does not change meanwhile)."""
-    at = (spark.sparkContext.applicationId, key)
+    """The folder of the postings of ``docs``, written at the first call of a session for ``key`` and the state of its files."""
+    at = (spark.sparkContext.applicationId, key, state_of(docs))
     if at not in _known:
         path = scratch(spark, "postings")
         write_postings(docs, path)
@@ -46,6 +76,73 @@ def postings(spark: SparkSession, key: str, docs: DataFrame) -> str:
     return _known[at]
 
 
+def _posts(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    """Postings of terms (``term*``: of all that begin so): their folders and terms only."""
+    term = F.col("term")
+    tests = [term.startswith(w[:-1]) if w.endswith("*") else term == w for w in words]
+    schema = f"doc_id {spark.read.parquet(f'{path}/size').schema['id'].dataType.simpleString()}, dl int, term string, tf long, block int, folder int"
+    places = sorted({folder_of(w.rstrip("*")) for w in words})
+    return spark.read.schema(schema).parquet(f"{path}/postings").where(F.col("folder").isin(places) & reduce(lambda a, b: a | b, tests))
+
+
+def idf_of(documents: int, holding: int) -> float:
+    """How much a term tells, by the number of documents that hold it."""
+    return max(math.log((documents - holding + 0.5) / (holding + 0.5)), 1e-6) if holding < documents + 0.5 else 1e-6
+
+
+def plan_blocks(spark: SparkSession, path: str, words: list[str]) -> tuple[dict[str, float], dict[int, tuple[float, int]], float]:
+    """idf of each term; of each block the most that a document in it can score and how many hold the commonest term; the mean length.
+
+    The driver gets a row for each term and block: of common terms from what was written down, of the others by summing up their few postings.
+    """
+    n, avgdl = spark.read.parquet(f"{path}/size").select("n", "avgdl").first()
+    bounds = spark.read.schema("term string, block int, n long, tf long, dl int, folder int").parquet(f"{path}/bounds")
+    told = bounds.where(F.col("folder").isin([folder_of(w) for w in words]) & F.col("term").isin(words)).drop("folder").collect()
+    rare = sorted(set(words) - {r["term"] for r in told})
+    if rare:
+        told += _posts(spark, path, rare).groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl")).collect()
+    holding = {w: sum(r["n"] for r in told if r["term"] == w) for w in words}
+    idf = {w: idf_of(n, k) for w, k in holding.items()}
+    most: dict[int, tuple[float, int]] = {}
+    for r in told:
+        best = idf[r["term"]] * r["tf"] * (K1 + 1) / (r["tf"] + K1 * (1 - B + B * r["dl"] / avgdl))
+        score, held = most.get(r["block"], (0.0, 0))
+        most[r["block"]] = (score + best, max(held, r["n"]))
+    return idf, most, avgdl
+
+
+def ranked_top(spark: SparkSession, path: str, wanted: list[str], n: int, all_terms: bool = False, digits: int = 6) -> DataFrame:
+    """The ``n`` best of ``ranked`` by their rounded scores (ties: the smaller doc_id), without reading all postings of the terms.
+
+    Blocks that can score most are read first, until they hold a few times n documents. Of the others only those are read that can
+    still beat the n-th score found. Phrases with ``*`` have no bounds written down: with one of them everything is read.
+    """
+    wanted = sorted(set(wanted))
+    if not wanted or any(w.endswith("*") for w in wanted):
+        return top(ranked(spark, path, wanted, all_terms).select("doc_id", F.round("bm25", digits).alias("bm25")), n)
+    idf, most, avgdl = plan_blocks(spark, path, wanted)
+    order = sorted(most, key=lambda k: -most[k][0])
+    first, held = [], 0
+    while order and held < 4 * n:
+        first.append(order.pop(0))
+        held += most[first[-1]][1]
+
+    def page(blocks: list[int]) -> DataFrame:
+        weight = F.create_map(*[x for w in wanted for x in (F.lit(w), F.lit(idf[w]))])[F.col("term")]
+        f = F.col("tf").cast("double")
+        part = weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / avgdl))
+        out = _posts(spark, path, wanted).where(F.col("block").isin(blocks)).groupBy("doc_id").agg((-F.sum(part)).alias("bm25"), F.count(F.lit(1)).alias("met"))
+        good = out.where(F.col("met") == len(wanted)) if all_terms else out
+        return top(good.select("doc_id", F.round("bm25", digits).alias("bm25")), n)
+
+    best = page(first)
+    found = best.collect()  # n rows
+    bar = found[-1]["bm25"] if len(found) == n else math.inf
+    rest = [k for k in order if -most[k][0] <= bar + 10.0**-digits]
+    best = spark.createDataFrame(found, best.schema)
+    return top(best.unionByName(page(rest)), n) if rest else top(best, n)
+
+
 def phrases(words: list[str], prefixes: bool = False) -> list[str]:
     """Each word, and with ``prefixes`` also ``word*`` for those of three letters or more."""
     out = []
@@ -64,8 +161,7 @@ def ranked(spark: SparkSession, path: str, wanted: list[str], all_terms: bool =
         return spark.createDataFrame([], "doc_id long, bm25 double")
     term = F.col("term")
     tests = [term.startswith(w[:-1]) if w.endswith("*") else term == w for w in wanted]
-    places = sorted({folder_of(w.rstrip("*")) for w in wanted})
-    posts = spark.read.schema(f"doc_id {spark.read.parquet(f'{path}/size').schema['id'].dataType.simpleString()}, dl int, term string, tf long, folder int").parquet(f"{path}/postings").where(F.col("folder").isin(places) & reduce(lambda a, b: a | b, tests))
+    posts = _posts(spark, path, wanted)
     hits = posts.select("doc_id", "dl", "tf", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))).alias("phrase"))
     hits = hits.groupBy("doc_id", "dl", "phrase").agg(F.sum("tf").cast("double").alias("f"))
     size = spark.read.parquet(f"{path}/size").drop("id")
@@ -148,16 +244,19 @@ def fragment(path: Column) -> Column:
 
 
 def collapse_videos(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row per base path of the result items (id, name, path, score): the parent in the results, else the catalog's video
-    of that path, else the best-placed segment (smallest id); with a parent, its name tells how many segments match.
+    """One row per base path of the result items (id, name, path, score): the best-placed parent in the results, else the
+    catalog's video of that path, else the best-placed segment; with a parent, its name tells how many segments match. Best-placed is
+    the highest score (none comes last), then the smaller id.
 
     Returns base, id, name, matching_segments, ranges (``start-end`` in id order). Items are a page of results.
     """
     each = items.select("id", "name", "score", fragment(F.col("path")).alias("f"), F.contains("path", F.lit("#t=")).alias("cut")).select("id", "name", "score", "f.*", "cut")
+    placed = F.struct(F.col("score").isNull().alias("unscored"), F.negate("score").alias("s"), "id", "name")
     one = each.groupBy("base").agg(
-        F.min(F.when(~F.col("cut"), F.struct("id", "name"))).alias("parent"), F.min(F.when(F.col("cut"), F.struct("id", "name"))).alias("segment"), F.count_if("cut").alias("n"),
+        F.min(F.when(~F.col("cut"), placed)).alias("parent"), F.min(F.when(F.col("cut"), placed)).alias("segment"), F.count_if("cut").alias("n"),
         F.array_sort(F.collect_list(F.when(F.col("cut"), F.struct("id", "start", "end")))).alias("parts"),
     )
+    one = one.withColumns({c: F.when(F.col(c).isNotNull(), F.struct(f"{c}.id", f"{c}.name")) for c in ("parent", "segment")})
     videos = catalog.where(F.col("type") == "video").groupBy(F.col("path").alias("base")).agg(F.min(F.struct("id", "name")).alias("known"))
     out = one.join(videos, "base", "left").withColumn("head", F.coalesce("parent", "known"))
     shown = F.when(F.col("head").isNull(), F.col("segment.name")).when(F.col("n") > 0, F.concat(F.col("head.name"), F.lit(" ("), F.col("n").cast("string"), F.lit(" segments match)"))).otherwise(F.col("head.name"))

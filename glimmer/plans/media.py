@@ -130,12 +130,24 @@ def skip_completed(spark, sf):
     return media(spark, sf).select("id", listing.skip_done(F.col("status")).alias("skip"))
 
 
-@query("""WITH p AS (SELECT * FROM m WHERE size IS NOT NULL AND (size < 5000 OR (size = 5000 AND id < 100)) ORDER BY size DESC, id DESC LIMIT 21), r AS (SELECT *, row_number() OVER (ORDER BY size DESC, id DESC) AS rn, count(*) OVER () > 20 AS has_more FROM p)
+@query("""WITH p AS (SELECT * FROM m WHERE size IS NULL OR size < 5000 OR (size = 5000 AND id < 100) ORDER BY size DESC NULLS LAST, id DESC LIMIT 21), r AS (SELECT *, row_number() OVER (ORDER BY size DESC NULLS LAST, id DESC) AS rn, count(*) OVER () > 20 AS has_more FROM p)
     SELECT id, size, has_more, CASE WHEN rn = 20 AND has_more THEN id END AS next_key FROM r WHERE rn <= 20""")
 def cursor_page(spark, sf):
     return listing.cursor_page(media(spark, sf), "size", (5000, 100)).select("id", "size", "has_more", "next_key")
 
 
+@query("""WITH q AS (SELECT id, CASE WHEN id % 7 > 0 THEN size END AS size FROM m), p AS (SELECT * FROM q WHERE size IS NULL AND id > 5 ORDER BY id LIMIT 8), r AS (SELECT *, row_number() OVER (ORDER BY id) AS rn, count(*) OVER () > 7 AS has_more FROM p)
+    SELECT id, size, has_more, CASE WHEN rn = 7 AND has_more THEN id END AS next_key FROM r WHERE rn <= 7
+    UNION ALL SELECT * FROM (SELECT id, size, false AS has_more, NULL AS next_key FROM q WHERE size IS NULL OR size >= (SELECT max(size) FROM q) ORDER BY size NULLS LAST, id LIMIT 100000)""")
+def cursor_pages_without_value(spark, sf):
+    """Among the rows that have no value, and the last page, which ends with them."""
+    m = media(spark, sf).withColumn("size", F.when(F.col("id") % 7 > 0, F.col("size")))
+    most = m.agg(F.max("size").alias("s")).first()["s"]
+    among = listing.cursor_page(m, "size", (None, 5), descending=False, limit=7)
+    last = listing.cursor_page(m, "size", (most - 1, 1 << 40), descending=False, limit=100_000)
+    return among.unionByName(last).select("id", "size", "has_more", "next_key")
+
+
 @query("""WITH r AS (SELECT type, id, created_at, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id DESC) AS rn, count(*) OVER (PARTITION BY type) AS total FROM m) SELECT type, id, total, total > 15 AS has_more FROM r WHERE rn > 5 AND rn <= 15""")
 def pages_by_type(spark, sf):
     return listing.pages_by_type(media(spark, sf), "type", [F.desc("created_at"), F.desc("id")], 5, 10).select("type", "id", "total", "has_more")
@@ -294,7 +306,7 @@ def fts_prefix(spark, sf):
 
 @query(bm_sql(["thing"]) + ", h AS (SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY 2, 1 LIMIT 25) SELECT h.doc_id, h.bm25, lang, source, n_chars FROM h JOIN documents USING (doc_id)")
 def fts_with_metadata(spark, sf):
-    page = search.top(search.ranked(spark, held(spark, sf), ["thing"]).select("doc_id", r6("bm25").alias("bm25")), 25)
+    page = search.ranked_top(spark, held(spark, sf), ["thing"], 25)
     return search.with_metadata(page, table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
 
 
@@ -309,7 +321,7 @@ def knn_with_metadata(spark, sf):
 
 @query(bm_sql(["thing"]) + ", h AS (SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY 2, 1 LIMIT 40) SELECT s.id, h.bm25, m.path FROM h JOIN s ON s.id = h.doc_id JOIN m ON m.id = s.video")
 def fts_segments_files(spark, sf):
-    page = search.top(search.ranked(spark, held(spark, sf), ["thing"]).select(F.col("doc_id"), r6("bm25").alias("bm25")), 40).withColumnRenamed("doc_id", "id")
+    page = search.ranked_top(spark, held(spark, sf), ["thing"], 40).withColumnRenamed("doc_id", "id")
     found = search.with_metadata(page, segs(spark, sf).select("id", F.col("video").alias("file")), "id")
     return media(spark, sf).select(F.col("id").alias("file"), "path").join(F.broadcast(found), "file").select("id", "bm25", "path")
 
@@ -357,9 +369,9 @@ def path_fragments(spark, sf):
     return media(spark, sf).select("id", search.fragment(F.col("path")).alias("f")).select("id", "f.*")
 
 
-@query("""WITH i AS (SELECT id, name, split_part(path, '#t=', 1) AS base, contains(path, '#t=') AS cut, CASE WHEN contains(path, '#t=') THEN CAST(floor(CAST(regexp_extract(path, '#t=([^,]+),', 1) AS DOUBLE)) AS BIGINT) END AS a, CASE WHEN contains(path, '#t=') THEN CAST(regexp_extract(path, '#t=[^,]+,([^&]+)', 1) AS BIGINT) END AS b FROM m WHERE type IN ('video', 'video_segment') AND id % 3 > 0),
+@query("""WITH i AS (SELECT id, name, -score AS s, split_part(path, '#t=', 1) AS base, contains(path, '#t=') AS cut, CASE WHEN contains(path, '#t=') THEN CAST(floor(CAST(regexp_extract(path, '#t=([^,]+),', 1) AS DOUBLE)) AS BIGINT) END AS a, CASE WHEN contains(path, '#t=') THEN CAST(regexp_extract(path, '#t=[^,]+,([^&]+)', 1) AS BIGINT) END AS b FROM m WHERE type IN ('video', 'video_segment') AND id % 3 > 0),
     k AS (SELECT path AS base, min(id) AS id, arg_min(name, id) AS name FROM m WHERE type = 'video' GROUP BY 1),
-    g AS (SELECT base, min(id) FILTER (NOT cut) AS pid, arg_min(name, id) FILTER (NOT cut) AS pname, min(id) FILTER (cut) AS sid, arg_min(name, id) FILTER (cut) AS sname, count(*) FILTER (cut) AS n, coalesce(string_agg(a || '-' || b, ', ' ORDER BY id) FILTER (cut), '') AS ranges FROM i GROUP BY base)
+    g AS (SELECT base, arg_min(id, (s IS NULL, coalesce(s, 0), id)) FILTER (NOT cut) AS pid, arg_min(name, (s IS NULL, coalesce(s, 0), id)) FILTER (NOT cut) AS pname, arg_min(id, (s IS NULL, coalesce(s, 0), id)) FILTER (cut) AS sid, arg_min(name, (s IS NULL, coalesce(s, 0), id)) FILTER (cut) AS sname, count(*) FILTER (cut) AS n, coalesce(string_agg(a || '-' || b, ', ' ORDER BY id) FILTER (cut), '') AS ranges FROM i GROUP BY base)
     SELECT g.base, coalesce(pid, k.id, sid) AS id, CASE WHEN coalesce(pid, k.id) IS NULL THEN sname WHEN n > 0 THEN coalesce(pname, k.name) || ' (' || n || ' segments match)' ELSE coalesce(pname, k.name) END AS name, n AS matching_segments, ranges FROM g LEFT JOIN k ON k.base = g.base""")
 def collapsed_videos(spark, sf):
     m = media(spark, sf)
@@ -817,6 +829,21 @@ def single_stores(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query(bm_sql(["thing", "under"]) + """, p AS (SELECT doc_id, bm25 FROM b ORDER BY bm25, doc_id LIMIT 40), x AS (SELECT doc_id AS id, CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1 ELSE 1 - (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END AS score FROM p),
+    k AS (SELECT vec_id AS id, list_distance(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS d FROM embeddings ORDER BY d, vec_id LIMIT 160),
+    u AS (SELECT x.id, x.score, created_at FROM x JOIN m ON m.id = x.id WHERE type LIKE 'image%' UNION ALL (SELECT k.id, exp(-d / 8), created_at FROM k JOIN m ON m.id = k.id WHERE type LIKE 'video%' ORDER BY exp(-d / 8) DESC, k.id LIMIT 40)),
+    o AS (SELECT *, row_number() OVER (ORDER BY score DESC, created_at DESC NULLS LAST, id) AS place FROM u)
+    SELECT id, round(score, 5) AS score, place, (SELECT count(*) FROM u) AS total, 1 AS depth, nid AS next_id, nid IS NOT NULL AS has_more FROM o LEFT JOIN (SELECT id AS nid FROM o WHERE place = 40 AND created_at IS NOT NULL) l ON true WHERE place <= 40""")
+def search_everywhere(spark, sf):
+    from glimmer.operators import vectors
+    from glimmer.plans.registry import first_vector
+
+    m = media(spark, sf).select("id", "type", "created_at")
+    each = [stores.TextStore(spark, held(spark, sf), m, "image"), stores.VectorStore(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), m, lambda _: first_vector(spark, sf), "video", vectors.exponential)]
+    out = stores.search_all(each, "thing under", 40)
+    return out.select("id", F.round("score", 5).alias("score"), "place", "total", "depth", "next_id", "has_more")
+
+
 @query("SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER ({c} = '{s}') AS {n}_{s}" for n, c in (("caption", "caption_status"), ("embedding", "status")) for s in ("completed", "pending", "failed")) + " FROM m")
 def phase_stats(spark, sf):
     return stores.phase_stats(media(spark, sf), F.col("caption_status"), F.col("status"))

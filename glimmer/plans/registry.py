@@ -90,7 +90,7 @@ BM = r"""
 
 def best_texts(spark, sf_dir, n):
     path = search.postings(spark, f"{sf_dir}/documents", table(spark, sf_dir, "documents"))
-    return search.top(search.ranked(spark, path, TERMS).select("doc_id", r6("bm25").alias("bm25")), n)
+    return search.ranked_top(spark, path, TERMS, n)
 
 
 @query(f"WITH {BM} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY 2, 1 LIMIT 20")

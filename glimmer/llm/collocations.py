@@ -2,15 +2,16 @@
 
 Texts are lower-cased (A-Z) and cut at marks and line ends into pieces, pieces at blanks and tabs into words. All counts are
 made within a language. The words of a language have one order, common words first: by a count sketch over all texts, then by
-their bytes. A phrase belongs to its rarest word in that order, its pivot. For every place of a word the text is rewritten
-to the fragment that phrases of this pivot can lie in: up to ``longest`` - 1 words to either side, ending before a rarer word,
-to the left also before the pivot itself (so a phrase is counted at its first pivot alone), and at neighbours that a sketch shows to
-be too rare together. Fragments travel to their pivot with their number; there all phrases through the pivot are
-counted, and nobody else counts them. A pivot with many places is dealt out by its fragments. A word alone is a fragment of
-itself, and the empty phrase, with pivot '', occurs as often as there are words.
+their bytes. A phrase belongs to its rarest word in that order, its pivot. From every place a text is rewritten to the fragments that
+phrases beginning there lie in: one for each pivot that such phrases have, from that place up to the next rarer word, and no longer than
+sketches of neighbours show that a phrase can be frequent. Equal fragments of a task become one with their number, and each
+task sends a pivot one row with all that it has for it. There the phrases through the pivot are counted, the beginnings of its
+fragments that reach it, and nobody else counts them. A pivot with many places is dealt out over several groups. A word alone is a
+fragment of itself, and the empty phrase, with pivot '', occurs as often as there are words.
 
-Sketches only order words and leave out what cannot be frequent, so counts are exact whatever falls together in them. The
-sketch of pairs has a bit for each cell and grows with the texts up to 2^``MOST_BITS`` cells, the one of words has a fixed size.
+Sketches only order words and leave out what cannot be frequent, so counts are exact whatever falls together in them. Those of
+neighbours have a bit for each cell and grow with the texts up to 2^``MOST_BITS`` cells for each number of words, the one of words
+has a fixed size.
 
 Null text is empty, null lang is 'und'. Repeated rows count each. Other columns are ignored. A text is held whole, with its
 words, while it is cut. An empty table, or one without frequent phrases, gives no rows.
@@ -33,9 +34,10 @@ from glimmer.llm.shingles import forget, mix64, slice_hashes
 #: Bytes of text that are cut into words together (a longer text on its own), rows that a task sums up before it sends them, rows
 #: mined together, and rows of a batch that is handed to the JVM.
 FLUSH, SUMMED, MINED, WRITTEN = 1 << 21, 1 << 18, 1 << 16, 1 << 13
-#: Cells of the word sketch, and its pieces; bits of a cell of the pair sketch, which has a cell for every PAIR_BYTES of text.
-WORD_BITS, WORD_PIECES, LEAST_BITS, MOST_BITS, PAIR_BYTES = 20, 16, 20, 30, 16
-PAIR_PIECES = 1024
+#: Bits of a cell's number in the word sketch, and in those of neighbours, which have a cell for every CELL_BYTES of text.
+WORD_BITS, LEAST_BITS, MOST_BITS, CELL_BYTES = 20, 20, 30, 16
+#: Pieces in which a sketch is added up.
+PIECE_BITS = 8
 #: Places of a pivot, by the sketch, that one group holds; more are dealt out.
 PLACES = 1 << 20
 #: Ways in which a language's phrases are dealt out before its best are found.
@@ -122,16 +124,13 @@ def runs(batches):
         yield tuple(pa.concat_arrays([h.column(c) for h in held]) for c in (0, 1))
 
 
-def pair_cells(hashes: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
-    """Cell of each word and the next."""
-    h = hashes[own]
-    return (mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(64 - bits)).astype(np.int64)
+def next_gram(gram: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of phrases that are one word longer."""
+    return mix64(gram[: len(gram) - 1] * np.uint64(0x9E3779B97F4A7C15) + (hashes ^ np.uint64(0xD6E8FEB86659FD93)))
 
 
-def triple_cells(hashes: np.ndarray, own: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
-    """Cells of the words at ``first`` and the two after each."""
-    h = [hashes[own[first + k]] for k in range(3)]
-    return (mix64(h[0] * np.uint64(0x9E3779B97F4A7C15) + mix64(h[1] * np.uint64(0xBF58476D1CE4E5B9) + (h[2] ^ np.uint64(0xD6E8FEB86659FD93)))) >> np.uint64(64 - bits)).astype(np.int64)
+def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def packed(cells: np.ndarray, n: np.ndarray) -> bytes:
@@ -148,28 +147,32 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Sketch:
-    """Counts of words by cell, and a bit for each cell of pairs and of triples that ``least`` or more of fall into."""
+    """Counts of words by cell; for each number of words from two on a bit for each cell that ``least`` or more phrases fall into;
+    and one for each cell of a word that stands in such a pair."""
 
     words: np.ndarray
-    pairs: np.ndarray
-    triples: np.ndarray | None
+    grams: dict[int, np.ndarray]
+    paired: np.ndarray | None
     bits: int
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
-        return self.words[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
-
-    def linked(self, t: Text) -> np.ndarray:
-        """Of each word: whether it and the next may be frequent together."""
-        if len(t.own) < 2:
-            return np.zeros(len(t.own), bool)
-        return np.concatenate(((t.words.piece[1:] == t.words.piece[:-1]) & bit(self.pairs, pair_cells(t.hash, t.own, self.bits)), [False]))
-
-    def tripled(self, t: Text, linked: np.ndarray) -> np.ndarray:
-        """Of each word: whether it and the next two may be."""
-        out = np.zeros(len(t.own), bool)
-        first = np.flatnonzero(linked[:-1] & linked[1:])
-        out[first] = bit(self.triples, triple_cells(t.hash, t.own, first, self.bits))
-        return out
+        return self.words[cell_of(hashes, WORD_BITS)]
+
+    def phrases_at(self, t: Text, longest: int):
+        """For two words, three ...: hashes of the phrases that begin at each word but the last ones, and whether all shorter phrases in
+        them may be frequent; the numbers of words of the sketch narrow that down from one to the next."""
+        h = t.hash[t.own]
+        gram, whole = h, np.ones(len(h), bool)
+        for words in range(2, min(longest, len(h)) + 1):
+            gram = next_gram(gram, h[words - 1 :])
+            whole = whole[:-1] & whole[1:]
+            if words == 2:
+                whole &= t.words.piece[1:] == t.words.piece[:-1]
+            yield words, gram, whole
+            if words in self.grams:
+                at = np.flatnonzero(whole)
+                whole = whole.copy()
+                whole[at] = bit(self.grams[words], cell_of(gram[at], self.bits))
 
 
 def bit(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -178,12 +181,14 @@ def bit(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 def shipped_sketch(spark, s: Sketch):
     """A function that gives the sketch inside a task."""
-    told = spark.sparkContext.broadcast([None if x is None else zlib.compress(x.tobytes(), 1) for x in (s.words, s.pairs, s.triples)])
+    pack = lambda x: zlib.compress(x.tobytes(), 1)
+    told = spark.sparkContext.broadcast((pack(s.words), {k: pack(v) for k, v in s.grams.items()}, None if s.paired is None else pack(s.paired)))
     bits = s.bits
 
     def read() -> Sketch:
-        words, pairs, triples = (None if x is None else zlib.decompress(x) for x in told.value)
-        return Sketch(np.frombuffer(words, np.uint32), np.frombuffer(pairs, np.uint8), None if triples is None else np.frombuffer(triples, np.uint8), bits)
+        words, grams, paired = told.value
+        back = lambda x: np.frombuffer(zlib.decompress(x), np.uint8)
+        return Sketch(back(words).view("<u4"), {k: back(v) for k, v in grams.items()}, None if paired is None else back(paired), bits)
 
     return read
 
@@ -193,23 +198,24 @@ def in_slices(rb: pa.RecordBatch):
         yield rb.slice(a, WRITTEN)
 
 
-def counted(docs: DataFrame, least: int, bits: int, cells_of) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of WORD_BITS cells and bits of ``bits`` cells, added up piece by piece; ``cells_of(text)`` gives (ascending cells, counts) of both, or None."""
-    shift, word_shift = bits - PAIR_PIECES.bit_length() + 1, WORD_BITS - WORD_PIECES.bit_length() + 1
+def added_up(docs: DataFrame, kinds: list[tuple[int, int | None]], cells_of) -> list[np.ndarray]:
+    """Sketches over all texts: ``kinds`` has the bits of a cell's number and the least sum that sets its bit (None: the sums themselves).
+
+    ``cells_of()`` is made once a task; of a run it gives (ascending cells, counts) for each kind. Pieces are added up one after the other.
+    """
 
     def count(batches):
         own = cells_of()
         for langs, texts in runs(batches):
             pieces, bodies = [], []
-            for first, by, found in zip((0, PAIR_PIECES), (shift, word_shift), own(read_text(langs, texts)), strict=True):
-                if found is None or not len(found[0]):
+            for k, ((bits, _), (cells, n)) in enumerate(zip(kinds, own(read_text(langs, texts)), strict=True)):
+                if not len(cells):
                     continue
-                cells, n = found
-                piece = cells >> by
+                piece = cells >> (bits - PIECE_BITS)
                 edge = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))).tolist()
                 for a, b in zip(edge, [*edge[1:], len(cells)], strict=True):
-                    pieces.append(first + int(piece[a]))
-                    bodies.append(packed(cells[a:b] - (piece[a] << by), np.minimum(n[a:b], 0xFFFFFFFF)))
+                    pieces.append((k << PIECE_BITS) + int(piece[a]))
+                    bodies.append(packed(cells[a:b] - (piece[a] << (bits - PIECE_BITS)), np.minimum(n[a:b], 0xFFFFFFFF)))
             for a in range(0, len(pieces), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(pieces[a : a + 64], pa.int32()), pa.array(bodies[a : a + 64], pa.binary())], ["piece", "body"])
             give_back()
@@ -220,7 +226,8 @@ def counted(docs: DataFrame, least: int, bits: int, cells_of) -> tuple[np.ndarra
         piece, total = None, None
 
         def done():
-            body = np.packbits(total >= least) if piece < PAIR_PIECES else np.minimum(total, 0xFFFFFFFF).astype("<u4")
+            least = kinds[piece >> PIECE_BITS][1]
+            body = np.minimum(total, 0xFFFFFFFF).astype("<u4") if least is None else np.packbits(total >= least)
             return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(body.tobytes(), 1)], pa.binary())], ["piece", "body"])
 
         for rb in batches:
@@ -228,7 +235,7 @@ def counted(docs: DataFrame, least: int, bits: int, cells_of) -> tuple[np.ndarra
                 if k != piece:
                     if piece is not None:
                         yield done()
-                    piece, total = k, np.zeros(1 << (shift if k < PAIR_PIECES else word_shift), np.int64)
+                    piece, total = k, np.zeros(1 << (kinds[k >> PIECE_BITS][0] - PIECE_BITS), np.int64)
                 cells, n = unpacked(body)
                 total[cells] += n
         if piece is not None:
@@ -236,78 +243,87 @@ def counted(docs: DataFrame, least: int, bits: int, cells_of) -> tuple[np.ndarra
 
     kind = "piece int, body binary"
     rows = docs.mapInArrow(count, kind).repartition("piece").sortWithinPartitions("piece").mapInArrow(add, kind).collect()
-    found, words = np.zeros((PAIR_PIECES, (1 << shift) // 8), np.uint8), np.zeros((WORD_PIECES, 1 << word_shift), np.uint32)
+    out = [np.zeros(1 << bits, "<u4") if least is None else np.zeros(1 << (bits - 3), np.uint8) for bits, least in kinds]
     for r in rows:
-        data = zlib.decompress(r["body"])
-        if r["piece"] < PAIR_PIECES:
-            found[r["piece"]] = np.frombuffer(data, np.uint8)
-        else:
-            words[r["piece"] - PAIR_PIECES] = np.frombuffer(data, "<u4")
-    return found.reshape(-1), words.reshape(-1)
+        whole = out[r["piece"] >> PIECE_BITS].reshape(1 << PIECE_BITS, -1)
+        whole[r["piece"] & ((1 << PIECE_BITS) - 1)] = np.frombuffer(zlib.decompress(r["body"]), whole.dtype)
+    return out
 
 
-def sketch(docs: DataFrame, least: int) -> Sketch:
-    """From all texts, which are read twice: words and pairs, then the triples whose pairs may be frequent.
+def sketch(docs: DataFrame, least: int, longest: int) -> Sketch:
+    """From all texts, which are read twice: words and pairs, then longer phrases of pairs that may be frequent.
 
-    The driver receives its fixed number of cells: at most 2^MOST_BITS bits, twice, and 2^WORD_BITS counts.
+    The driver receives its fixed number of cells: 2^WORD_BITS counts, and at most 2^MOST_BITS bits for each number of words.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // PAIR_BYTES).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // CELL_BYTES).bit_length()))
+    none = (np.zeros(0, np.int64),) * 2
+
+    def words_and_pairs():
+        nothing = Sketch(np.zeros(0), {}, None, bits)
 
-    def pairs_and_words():
         def cells(t: Text):
-            same = t.words.piece[1:] == t.words.piece[:-1]
             order = np.argsort(t.hash)
-            word_cells, at = np.unique((t.hash[order] >> np.uint64(64 - WORD_BITS)).astype(np.int64), return_index=True)
-            words = (word_cells, np.add.reduceat(t.n[order], at) if len(at) else at)
-            return np.unique(pair_cells(t.hash, t.own, bits)[same], return_counts=True) if len(t.own) > 1 else None, words
+            found, at = np.unique(cell_of(t.hash[order], WORD_BITS), return_index=True)
+            pairs = [np.unique(cell_of(gram[whole], bits), return_counts=True) for _, gram, whole in nothing.phrases_at(t, 2)]
+            return (found, np.add.reduceat(t.n[order], at) if len(at) else at), *(pairs or [none])
 
         return cells
 
-    pairs, words = counted(docs, least, bits, pairs_and_words)
-    read = shipped_sketch(docs.sparkSession, Sketch(words, pairs, None, bits))
+    words, pairs = added_up(docs, [(WORD_BITS, None), (bits, least)], words_and_pairs)
+    read = shipped_sketch(docs.sparkSession, Sketch(words, {2: pairs}, None, bits))
 
-    def triples_of_pairs():
+    def longer_and_paired():
         s = read()
 
         def cells(t: Text):
-            linked = s.linked(t)
-            first = np.flatnonzero(linked[:-1] & linked[1:])
-            return np.unique(triple_cells(t.hash, t.own, first, bits), return_counts=True), None
+            found = {}
+            linked = np.zeros(len(t.own), bool)
+            for k, gram, whole in s.phrases_at(t, longest):
+                if k == 2:
+                    at = np.flatnonzero(whole)
+                    at = at[bit(s.grams[2], cell_of(gram[at], bits))]
+                    linked[at] = linked[at + 1] = True
+                else:
+                    found[k] = np.unique(cell_of(gram[whole], bits), return_counts=True)
+            paired = np.unique(cell_of(t.hash[np.unique(t.own[linked])], bits))
+            return (paired, np.ones(len(paired), np.int64)), *(found.get(k, none) for k in range(3, longest + 1))
 
         return cells
 
-    triples, _ = counted(docs, least, bits, triples_of_pairs)
-    return Sketch(words, pairs, triples, bits)
+    paired, *longer = added_up(docs, [(bits, 1), *[(bits, least)] * max(0, longest - 2)], longer_and_paired)
+    return Sketch(words, {2: pairs} | dict(enumerate(longer, 3)), paired, bits)
 
 
 def fragments_of(t: Text, s: Sketch, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the pivot, the first and the last word of every fragment of a run."""
+    """Places of the pivot, the first and the last word of every fragment of a run.
+
+    A fragment stands for the phrases that begin with its first word and end between its pivot and its last word.
+    """
     by_bytes = np.empty(len(t.words.distinct), np.int64)
     by_bytes[pc.array_sort_indices(t.words.distinct).to_numpy()] = np.arange(len(by_bytes))
     rank = np.empty(len(t.hash), np.int64)
     rank[np.lexsort((by_bytes[t.word], -s.count(t.hash).astype(np.int64)))] = np.arange(len(rank))  # rarer is larger
-    linked = s.linked(t)
-    place = np.flatnonzero(linked | np.concatenate(([False], linked[:-1])))
-    if not len(place):
-        return (np.zeros(0, np.int64),) * 3
-    link, triple, r = linked[place], s.tripled(t, linked)[place], rank[t.own[place]]
-    left, right = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    near_left, near_right = np.ones(len(place), bool), np.ones(len(place), bool)
-    for d in range(1, min(longest, len(place))):
-        near_left[:d] = False
-        near_left[d:] &= (link if d == 1 else triple)[:-d] & (r[:-d] < r[d:])
-        near_right[-d:] = False
-        near_right[:-d] &= (link[: len(link) - 1] if d == 1 else triple[d - 2 : len(link) - 2]) & (r[d:] <= r[:-d])
-        left += near_left
-        right += near_right
-    across = np.concatenate(([False], triple[:-1]))
-    apart = (left > 0) & (right > 0) & ~across
-    one, two = np.flatnonzero((left + right > 0) & ~apart), np.flatnonzero(apart)
-    return tuple(np.concatenate(x) for x in ((place[one], place[two], place[two]), ((place - left)[one], (place - left)[two], place[two]), ((place + right)[one], place[two], (place + right)[two])))
+    size = np.ones(len(t.own), np.int64)  # words of the longest phrase from each place that may be frequent
+    for words, gram, whole in s.phrases_at(t, longest):
+        at = np.flatnonzero(whole)
+        at = at[bit(s.grams[words], cell_of(gram[at], s.bits))]
+        size[at[size[at] == words - 1]] = words
+    start = np.flatnonzero(size > 1)
+    r, size = rank[t.own], size[start]
+    pivot, out = start.copy(), []
+    for k in range(1, longest):
+        rarer = np.flatnonzero(size > k)
+        rarer = rarer[r[start[rarer] + k] > r[pivot[rarer]]]
+        if k > 1:
+            out.append((pivot[rarer], start[rarer], start[rarer] + k - 1))
+        pivot[rarer] = start[rarer] + k
+    out.append((pivot, start, start + size - 1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 FRAGMENT, PHRASE = ["lang", "pivot", "splits", "fragment"], ["lang", "phrase", "words"]
+MESSAGE = ["lang", "pivot", "splits", "salt", "fragments", "n"]
 
 
 def summed(rows: list[pa.Table], keys: list[str], value: str) -> pa.Table:
@@ -317,7 +333,7 @@ def summed(rows: list[pa.Table], keys: list[str], value: str) -> pa.Table:
 
 
 def fragments(docs: DataFrame, s: Sketch, least: int, longest: int) -> DataFrame:
-    """lang, pivot, splits, fragment, n: what each task has, mostly summed up; docs: lang, text."""
+    """lang, pivot, splits, salt, fragments, n: for each pivot of a task its distinct fragments and their numbers; docs: lang, text."""
     read = shipped_sketch(docs.sparkSession, s)
 
     def of_run(t: Text, s: Sketch):
@@ -332,7 +348,7 @@ def fragments(docs: DataFrame, s: Sketch, least: int, longest: int) -> DataFrame
         total = np.bincount(t.lang, t.n, minlength=len(t.langs)).astype(np.int64)
         blank = pa.array([""] * len(names), pa.string())
         yield pa.table([names, blank, pa.array([1] * len(names), pa.int32()), blank, pa.array(total)], names=[*FRAGMENT, "n"])
-        alone = np.flatnonzero(counts >= least)
+        alone = np.flatnonzero((counts >= least) & bit(s.paired, cell_of(t.hash, s.bits)))
         yield table(alone, w.distinct.take(pa.array(t.word[alone])), t.n[alone])
         pivot, first, last = fragments_of(t, s, longest)
         body, edges = with_blanks(w)
@@ -347,8 +363,19 @@ def fragments(docs: DataFrame, s: Sketch, least: int, longest: int) -> DataFrame
         held, size = [], 0
 
         def sent(table):
-            for rb in table.combine_chunks().to_batches():
-                yield from in_slices(rb)
+            """One row for each pivot, or for each of the groups that it is dealt out to."""
+            table = table.sort_by([("lang", "ascending"), ("pivot", "ascending"), ("fragment", "ascending")]).combine_chunks()
+            lang, pivot = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "pivot"))
+            splits = table.column("splits").to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], (lang[1:] != lang[:-1]) | (pivot[1:] != pivot[:-1]))))
+            salt = (np.arange(len(lang)) - np.repeat(first, np.diff(np.append(first, len(lang))))) % splits
+            order = np.lexsort((salt, pivot, lang)) if (splits > 1).any() else np.arange(len(lang))
+            lang, pivot, salt = lang[order], pivot[order], salt[order]
+            first = np.flatnonzero(np.concatenate(([True], (lang[1:] != lang[:-1]) | (pivot[1:] != pivot[:-1]) | (salt[1:] != salt[:-1]))))
+            edges, at = pa.array(np.append(first, len(lang)), pa.int32()), pa.array(order[first])
+            inner = [table.column(c).combine_chunks().take(pa.array(order)) for c in ("fragment", "n")]
+            heads = [table.column(c).combine_chunks().take(at) for c in FRAGMENT[:3]]
+            yield from in_slices(pa.RecordBatch.from_arrays([*heads, pa.array(salt[first], pa.int32()), *(pa.ListArray.from_arrays(edges, x) for x in inner)], MESSAGE))
 
         for langs, texts in runs(batches):
             for part in of_run(read_text(langs, texts), s):
@@ -366,7 +393,7 @@ def fragments(docs: DataFrame, s: Sketch, least: int, longest: int) -> DataFrame
         forget()
         give_back()
 
-    return docs.mapInArrow(rewrite, "lang string, pivot string, splits int, fragment string, n long")
+    return docs.mapInArrow(rewrite, "lang string, pivot string, splits int, salt int, fragments array<string>, n array<long>")
 
 
 def with_blanks(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -399,7 +426,7 @@ def mine(rows: pa.Table, longest: int, least: int) -> pa.Table:
     found = np.flatnonzero(w.index == pivots[w.doc])
     of, first = np.unique(w.doc[found], return_index=True)
     before = np.zeros(len(frags), np.int64)
-    before[of] = found[first] - at[of]  # words before the first pivot
+    before[of] = found[first] - at[of]  # words before the pivot
     coded = rows.column("lang").combine_chunks().dictionary_encode()
     lang = coded.indices.to_numpy().astype(np.int64)
     group = np.concatenate(([0], np.cumsum((lang[1:] != lang[:-1]) | (pivots[1:] != pivots[:-1]))))
@@ -407,12 +434,8 @@ def mine(rows: pa.Table, longest: int, least: int) -> pa.Table:
     wide, owners_of, texts, lengths, totals = max(1, len(w.distinct)), [], [], [], []
     body, edges = with_blanks(w)
     for words in range(1, longest + 1):
-        starts, owners = [], []
-        for a in range(words):
-            has = np.flatnonzero((before >= a) & (size - before >= words - a) & ((size == 1) if words == 1 else (size > 1)))
-            starts.append(at[has] + before[has] - a)
-            owners.append(has)
-        start, owner = np.concatenate(starts), np.concatenate(owners)
+        owner = np.flatnonzero((before < words) & (size >= words) & ((size == 1) if words == 1 else (size > 1)))
+        start = at[owner]
         if not len(start):
             continue
         key, most = lang[owner], len(coded.dictionary)
@@ -457,8 +480,9 @@ def mined(batches, longest: int, least: int):
             yield from in_slices(rb)
 
     for rb in batches:
-        held.append(rb.select([*FRAGMENT, "n"]))
-        size += rb.num_rows
+        of = pc.list_parent_indices(rb.column("fragments"))
+        held.append(pa.RecordBatch.from_arrays([*(rb.column(c).take(of) for c in FRAGMENT[:3]), rb.column("fragments").flatten(), rb.column("n").flatten()], [*FRAGMENT, "n"]))
+        size += held[-1].num_rows
         if size >= MINED:
             yield from settle(False)
             held, size = [], 0
@@ -476,13 +500,12 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
     """lang, phrase, words, a: every phrase of up to ``longest`` words that occurs ``least`` times or more, and the empty one; staged."""
     prepare(docs.sparkSession)
     thin = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
-    rows = fragments(thin, sketch(thin, least), least, longest)
+    rows = fragments(thin, sketch(thin, least, longest), least, longest)
 
     def count(batches):
         yield from mined(batches, longest, least)
 
-    salt = F.pmod(F.xxhash64("fragment"), F.col("splits")).alias("salt")
-    dealt = rows.select("*", salt).repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot")
+    dealt = rows.repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot")
     found = dealt.mapInArrow(count, "lang string, phrase string, words int, a long")
     total = found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     return stage(total.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")

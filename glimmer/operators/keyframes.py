@@ -118,19 +118,34 @@ def weighted_scores(scores: DataFrame, key: str, weights: dict[str, float]) -> D
 
 def top_share(candidates: DataFrame, key: str, duration: str, priority: str) -> DataFrame:
     """The best quarter of a segment's candidates, or two fifths, or one per three seconds, or all: the first that is enough; at most what the priority allows."""
-    w = Window.partitionBy(key)
-    least = F.greatest(F.lit(1), F.ceil(F.col(duration) / 3))
-    ranked = candidates.withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "sample"))).withColumn("n", F.count(F.lit(1)).over(w))
-    quarter, more = F.greatest(F.lit(1), F.ceil(F.col("n") * 0.25)), F.greatest(F.lit(1), F.ceil(F.col("n") * 0.4))
-    take = F.when(quarter >= least, quarter).when(more >= least, more).when(F.col("n") >= least, least).otherwise(F.col("n"))
-    return ranked.where(F.col("rn") <= F.least(take, F.lit(MOST.get(priority, 5)))).drop("n")
+    sizes = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    rows = candidates.withColumn("_down", F.negate("score"))
+    rows = scans.in_parts(rows, key, ["_down", "sample"], "top-share")
+    rows = scans.with_before(rows, key, ["_down", "sample"], F.lit(1), "_before").withColumn("rn", F.coalesce("_before", F.lit(0)) + 1)
+    n, least = F.col("_n"), F.greatest(F.lit(1), F.ceil(F.col(duration) / 3))
+    quarter, more = F.greatest(F.lit(1), F.ceil(n * 0.25)), F.greatest(F.lit(1), F.ceil(n * 0.4))
+    take = F.when(quarter >= least, quarter).when(more >= least, more).when(n >= least, least).otherwise(n)
+    return scans.per_key(rows, key, sizes).where(F.col("rn") <= F.least(take, F.lit(MOST.get(priority, 5)))).select(*candidates.columns, "rn")
 
 
 def cut_offs(rows: DataFrame, key: str, score: str) -> DataFrame:
     """Per group the scores at 20 and 30 per cent from the top."""
-    n = F.size("s")
-    at = lambda share: F.element_at("s", F.least(n, F.floor(n * share).cast("int") + 1))
-    return rows.where(F.col(score).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(score), asc=False).alias("s")).select(key, at(0.2).alias("p80"), at(0.3).alias("p70"))
+    return ranked_values(rows, key, score, {"p80": 0.2, "p70": 0.3})
+
+
+def ranked_values(rows: DataFrame, key: str, score: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the value at each share from the top (of n values the one at place floor(n * share) + 1, the last at most).
+
+    Equal values are counted before anything is put in order, and places are sums carried over ranges of the values, so no
+    task holds a group.
+    """
+    counts = rows.where(F.col(score).isNotNull()).groupBy(key, F.negate(score).alias("_down")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counts.groupBy(key).agg(F.sum("_c").alias("_n"))
+    placed = scans.with_before(scans.in_parts(counts, key, ["_down"], "values"), key, ["_down"], F.col("_c"), "_before")
+    placed = scans.per_key(placed.withColumn("_before", F.coalesce("_before", F.lit(0))), key, sizes)
+    at = lambda share: F.least(F.col("_n"), F.floor(F.col("_n") * share) + 1)
+    here = lambda share: (F.col("_before") < at(share)) & (at(share) <= F.col("_before") + F.col("_c"))
+    return placed.groupBy(key).agg(*[F.max(F.when(here(share), F.negate("_down"))).alias(name) for name, share in shares.items()])
 
 
 def bits_hex(bits: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,3 +118,22 @@ def smart_terms(query: Column, stop_words: list[str]) -> Column:
     words = F.filter(F.split(F.lower(query), r"[\s,;.!?]+"), lambda w: w != "")
     kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(stop_words))
     return F.when(F.size(kept) > 0, kept).otherwise(words)
+
+
+def stem_dictionary(words: DataFrame) -> DataFrame:
+    """(word, stem) of the distinct words of a column ``word``: each is stemmed once, however often it occurs."""
+    return words.where(F.col("word").isNotNull()).select("word").distinct().select("word", stem_words(F.array("word"))[0].alias("stem"))
+
+
+def stems_of(queries: DataFrame, key: str, words: Column, stems: DataFrame) -> DataFrame:
+    """(key, stems): the words of each row by their stems, in order; words that the dictionary lacks stay. Keys name one row each."""
+    each = queries.select(key, F.posexplode_outer(words).alias("_at", "word")).join(stems, "word", "left")
+    out = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("stem", "word").alias("w"))))).alias("_w"))
+    return out.select(key, F.transform("_w", lambda x: x["w"]).alias("stems"))
+
+
+def prepared_terms(query: str, stop_words: list[str] = STOP_WORDS, stemmed: bool = True, least: int = 2) -> list[str]:
+    """What a raw query looks for: its lower-case words without stop words and short ones, by their stems; all its words if none is left."""
+    words = [w for w in re.split(r"[\s,;.!?]+", query.lower()) if w]
+    kept = [w for w in words if w not in set(stop_words) and len(w) >= least]
+    return ([porter_stem(w) for w in kept] if stemmed else kept) or words

@@ -6,14 +6,17 @@ The test tables are given the shapes of a media catalog by plain SELECTs that bo
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.operators import backfill as B
-from glimmer.operators import intervals, jobs, listing, search, stores, understanding
+from glimmer.operators import intervals, jobs, listing, search, stores, substrings, understanding
 from glimmer.operators import keyframes as K
 from glimmer.plans.registry import ORACLES, QUERIES, r6
 from glimmer.session import scratch
+from glimmer.sources import folders, upserts
 from glimmer.sources.catalog import table
 from glimmer.streaming import events as streams
 
@@ -89,6 +92,39 @@ def counted_search(spark, sf):
     return listing.counted_search(media(spark, sf), "/M/1", ["path"], [F.desc("created_at"), F.col("id")], 10).select("id", "total")
 
 
+def trigrams(spark, rows, key, columns):
+    path = scratch(spark, "trigrams")
+    substrings.write_trigrams(rows, path, key, columns)
+    return path
+
+
+@query("SELECT id, count(*) OVER () AS total FROM m WHERE contains(lower(path), '/m/12') OR contains(lower(caption), '/m/12') ORDER BY created_at DESC, id LIMIT 10")
+def indexed_counted_search(spark, sf):
+    m, columns = media(spark, sf), ["name", "path", "caption"]
+    found = substrings.holding(m, trigrams(spark, m, "id", columns), "/M/12", "id", columns, ["path", "caption"])
+    return listing.counted_search(found, "/M/12", ["path", "caption"], [F.desc("created_at"), F.col("id")], 10).select("id", "total")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the') UNION ALL SELECT doc_id FROM documents WHERE contains(lower(text), 'zz')")
+def indexed_text_search(spark, sf):
+    """A needle of several trigrams, and one that is too short to have any."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    path = trigrams(spark, d, "doc_id", ["text"])
+    return reduce(DataFrame.unionByName, [substrings.holding(d, path, w, "doc_id", ["text"]).select("doc_id") for w in ("TION the", "zz")])
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 7 <> 1 UNION ALL SELECT -CAST(o_orderkey AS BIGINT), 'added' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey > 0")
+def upserted_table(spark, sf):
+    """Orders written, a third replaced, some added that a repeated run leaves alone, a seventh deleted."""
+    o, path = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("status")), scratch(spark, "upserts")
+    upserts.write_changes(o, path, "id", buckets=16)
+    upserts.write_changes(o.where("id % 3 = 0").withColumn("status", F.lit("new")), path, "id", buckets=16)
+    for status in ("added", "ignored"):
+        upserts.write_changes(o.where("id % 5 = 0").select((-F.col("id")).alias("id"), F.lit(status).alias("status")), path, "id", keep_old=True, buckets=16)
+    upserts.write_changes(o.where("false"), path, "id", gone=o.where("id % 7 = 1"), buckets=16)
+    return upserts.read_table(spark, path)
+
+
 @query("SELECT id FROM m WHERE contains(lower(name), '1') OR contains(lower(path), '1') OR contains(lower(caption), '1')")
 def name_path_caption_search(spark, sf):
     return media(spark, sf).where(listing.holds("1", F.col("name"), F.col("path"), F.col("caption"))).select("id")
@@ -328,10 +364,25 @@ def fts_segments_files(spark, sf):
 
 @query(bm_sql(["mountain", "mountain*", "thing", "thing*"]) + " SELECT doc_id, lang, 0.5::DOUBLE AS score FROM b JOIN documents USING (doc_id) ORDER BY doc_id LIMIT 20")
 def fast_text_search(spark, sf):
-    found = search.ranked(spark, held(spark, sf), search.phrases(["mountain", "thing"], True)).select("doc_id")
+    found = search.ranked(spark, held(spark, sf), search.prepared("The mountains, and things!")).select("doc_id")
     return search.with_metadata(found.orderBy("doc_id").limit(20), table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").withColumn("score", F.lit(0.5))
 
 
+@query(bm_sql(["er", "tion", "tion*", "thing", "thing*"]) + ", r AS (SELECT id, type, path, row_number() OVER (PARTITION BY type ORDER BY id) AS place FROM m WHERE type IN ('image', 'video') AND id IN (SELECT doc_id FROM b)) SELECT id, type, path, place, 0.5::DOUBLE AS score FROM r WHERE place <= 15")
+def fast_text_pages(spark, sf):
+    m = media(spark, sf).select("id", "type", "path")
+    return search.fast_search(spark, held(spark, sf), m, "Er... and the TION of things?", ["image", "video"], 15)
+
+
+@query("SELECT DISTINCT lang, 'other' AS type FROM documents")
+def folder_scan(spark, sf):
+    """Documents written to a folder for each language, found by listing the tree in tasks."""
+    path = scratch(spark, "tree")
+    table(spark, sf, "documents").write.partitionBy("lang").parquet(path)
+    found = folders.read_folder(spark, path, extensions="parquet").where("length > 0")
+    return found.select(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), "type").distinct()
+
+
 @query("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, CASE doc_id % 3 WHEN 0 THEN 'spatial' WHEN 1 THEN 'audio' ELSE 'action' END AS kind, CASE doc_id % 4 WHEN 0 THEN '["thing","car"]' WHEN 1 THEN '[]' WHEN 2 THEN 'no json' END AS el FROM documents),
     b AS (SELECT doc_id, kind, (contains(t, 'thing')::INT + contains(t, 'under')::INT) * 0.1e0 AS n, contains(t, 'walking')::INT * 0.1e0 AS w, CASE WHEN el LIKE '[%' AND el <> '[]' THEN 0.05e0 ELSE 0 END AS e, length(t) AS len, el FROM d)
     SELECT doc_id, round(least(0.3e0, n * CASE WHEN kind = 'spatial' THEN 1.5e0 ELSE 1 END), 6) AS spatial, round(least(0.3e0, w * CASE WHEN kind = 'action' THEN 1.5e0 ELSE 1 END), 6) AS temporal, round(least(0.3e0, n * CASE WHEN kind = 'audio' THEN 1.5e0 ELSE 1 END), 6) AS audio,

@@ -92,3 +92,11 @@ def collapse_fragments(rows: DataFrame, url: str, score: str, key: str) -> DataF
     """One row per base address: best score and its key, number of matches, matching keys in order."""
     base = F.substring_index(F.col(url), "#", 1)
     return rows.withColumn("base", base).groupBy("base").agg(F.max(F.struct(score, F.negate(key).alias("k"))).alias("m"), F.count(F.lit(1)).alias("matches"), F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("members")).select("base", F.negate("m.k").alias("best"), F.col(f"m.{score}").alias("score"), "matches", "members")
+
+
+def grouped_by_source(results: DataFrame, sources: DataFrame) -> DataFrame:
+    """A page of results (id, source_id, place) by source: source_id, its name ('Unknown Source' where ``sources``, (id, name), has none),
+    its number of results and their ids in order."""
+    own = results.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
+    named = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+    return own.join(named, "source_id", "left").select("source_id", F.coalesce("source", F.lit("Unknown Source")).alias("source"), "n", "first", "ids")

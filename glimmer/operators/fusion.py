@@ -29,10 +29,25 @@ def reciprocal_rank(lists: DataFrame, k: int = 60) -> DataFrame:
 
 
 def two_depth(first: DataFrame, second: DataFrame, weight_first: float = 0.7, weight_second: float = 0.3, min_results: int = 5) -> DataFrame:
-    """Union of (id, score); ids in both add up their weighted scores. The second list counts only if the first has fewer than ``min_results`` rows."""
+    """(id, score, depth) of two pages. If the first has ``min_results`` rows or more it is the result as it is, at depth 1; else ids in
+    both add up their weighted scores, at depth 2. A lazily given second page is not computed for nothing: its rows meet a false filter."""
     n = first.agg(F.count(F.lit(1)).alias("n"))  # one row
-    extra = second.crossJoin(F.broadcast(n)).where(F.col("n") < min_results).select("id", (F.col("score") * weight_second).alias("score"))
-    return first.select("id", (F.col("score") * weight_first).alias("score")).unionByName(extra).groupBy("id").agg(F.sum("score").alias("score"))
+    enough = F.col("n") >= min_results
+    own = first.crossJoin(F.broadcast(n)).select("id", (F.col("score") * F.when(enough, 1.0).otherwise(weight_first)).alias("score"), F.when(enough, 1).otherwise(2).alias("depth"))
+    extra = second.crossJoin(F.broadcast(n)).where(~enough).select("id", (F.col("score") * weight_second).alias("score"), F.lit(2).alias("depth"))
+    return own.unionByName(extra).groupBy("id").agg(F.sum("score").alias("score"), F.max("depth").alias("depth"))
+
+
+def text_and_vector(text: DataFrame, vector: DataFrame, limit: int, offset: int = 0, k: int = 60) -> DataFrame:
+    """(id, score, kind, place) from pages (id, score): the best of the text page where the vector page is empty, else both by reciprocal
+    ranks, ``offset`` to ``offset + limit``."""
+    lists = text.select(F.lit("text").alias("list_name"), "id", "score").unionByName(vector.select(F.lit("vector").alias("list_name"), "id", "score"))
+    fused = reciprocal_rank(lists, k).select("id", "score", F.lit("hybrid").alias("kind"))
+    any_vector = vector.agg((F.count(F.lit(1)) > 0).alias("any"))  # one row
+    both = fused.crossJoin(F.broadcast(any_vector)).where("any").drop("any").unionByName(text.crossJoin(F.broadcast(any_vector)).where(~F.col("any")).select("id", "score", F.lit("text").alias("kind")))
+    ranked = both.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # pages are of bounded size
+    skip = F.when(F.col("kind") == "hybrid", offset).otherwise(0)
+    return ranked.where((F.col("place") > skip) & (F.col("place") <= skip + limit))
 
 
 def merge_by_score(*stores: DataFrame) -> DataFrame:

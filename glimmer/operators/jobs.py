@@ -121,3 +121,14 @@ def phase_metrics(jobs: DataFrame, video: str | None = None, number: int | None
     if number is not None:
         jobs = jobs.where(F.col("pass") == number)
     return jobs.orderBy(F.desc("created_at"), "id")
+
+
+def listed(jobs: DataFrame, statuses: list[str], limit: int) -> DataFrame:
+    """The oldest jobs in any of the statuses (ties by id)."""
+    return jobs.where(F.col("status").isin(statuses)).orderBy("created_at", "id").limit(limit)
+
+
+def status_of_paths(jobs: DataFrame) -> DataFrame:
+    """Per path its newest job (ties: the larger id) with its status, how many jobs it has had, and whether one is active."""
+    out = jobs.groupBy("path").agg(F.max_by(F.struct("id", "status"), F.struct("created_at", "id")).alias("j"), F.count(F.lit(1)).alias("n"), F.max(F.col("status").isin(ACTIVE)).alias("active"))
+    return out.select("path", "j.id", "j.status", "n", F.coalesce("active", F.lit(False)).alias("active"))

@@ -104,3 +104,10 @@ def min_max_page(df: DataFrame, score: str = "bm25", out: str = "norm") -> DataF
     w = Window.partitionBy()
     lo, hi = F.min(score).over(w), F.max(score).over(w)
     return df.withColumn(out, 1 - (F.col(score) - lo) / F.when(hi - lo == 0, 1.0).otherwise(hi - lo))
+
+
+def cosine_page(rows: DataFrame, query: list[float], limit: int, offset: int = 0, embedding: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(key, score): the nearest by cosine from ``offset`` on, of rows that have a vector (ties: the smaller key)."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    best = rows.where(F.col(embedding).isNotNull()).select(key, cosine_similarity(F.col(embedding), q).alias("score"))
+    return best.orderBy(F.desc("score"), key).offset(offset).limit(limit)

@@ -787,6 +787,16 @@ def transcript_rows(spark, sf):
     return out.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("start")) - 1).cast("long").alias("n"), "start", "transcription")
 
 
+@query("SELECT path, arg_max(id, (created_at, id)) AS id, arg_max(status, (created_at, id)) AS status, count(*) AS n, bool_or(status IN ('pending', 'running')) AS active FROM j GROUP BY path")
+def status_of_paths(spark, sf):
+    return jobs.status_of_paths(frame(spark, sf, JOBS))
+
+
+@query("SELECT id, path FROM j WHERE status IN ('pending', 'scheduled') ORDER BY created_at, id LIMIT 30")
+def listed_jobs(spark, sf):
+    return jobs.listed(frame(spark, sf, JOBS), ["pending", "scheduled"], 30).select("id", "path")
+
+
 # ---- streams
 
 

@@ -165,6 +165,40 @@ def depth_search(spark, sf_dir):
     return fusion.two_depth(first, f.select("id", F.col("fs").alias("score"))).select("id", F.round("score", 5).alias("score"))
 
 
+@query(f"WITH {HY}, a AS (SELECT id, vs AS s FROM v ORDER BY vs DESC, id LIMIT 6) SELECT id, round(s, 5) AS score, 1 AS depth FROM a")
+def depth_one_suffices(spark, sf_dir):
+    v, f = both_lists(spark, sf_dir)
+    first = v.orderBy(F.desc("vs"), "id").limit(6).select("id", F.col("vs").alias("score"))
+    return fusion.two_depth(first, f.select("id", F.col("fs").alias("score"))).select("id", F.round("score", 5).alias("score"), "depth")
+
+
+@query(f"""WITH {HY}, r AS (SELECT id, row_number() OVER (ORDER BY round(fs, 6) DESC, id) AS rn FROM f UNION ALL SELECT id, row_number() OVER (ORDER BY round(vs, 6) DESC, id) FROM v),
+    h AS (SELECT id, sum(1.0::DOUBLE / (60 + rn)) AS s FROM r GROUP BY id), o AS (SELECT id, round(s, 5) AS score, 'hybrid' AS kind, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS place FROM h)
+    SELECT * FROM o WHERE place > 5 AND place <= 25 UNION ALL SELECT id, round(round(fs, 6), 5), 'text', row_number() OVER (ORDER BY round(fs, 6) DESC, id) FROM f QUALIFY row_number() OVER (ORDER BY round(fs, 6) DESC, id) <= 20""")
+def text_and_vector(spark, sf_dir):
+    """Both lists, and the text alone where no vector was given."""
+    v, f = both_lists(spark, sf_dir)
+    v, f = v.select("id", r6("vs").alias("score")), f.select("id", r6("fs").alias("score"))
+    both = [fusion.text_and_vector(f, x, 20, 5) for x in (v, v.where("false"))]
+    return both[0].unionByName(both[1]).withColumn("score", F.round("score", 5))
+
+
+@query("SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS s FROM embeddings WHERE embedding IS NOT NULL) ORDER BY s DESC, vec_id LIMIT 15 OFFSET 5")
+def cosine_page(spark, sf_dir):
+    return vectors.cosine_page(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 15, 5).select("vec_id", r6("score").alias("score"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, c_nationkey AS source_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer QUALIFY place <= 60)
+    SELECT source_id, coalesce(n_name, 'Unknown Source') AS source, count(*) AS n, min(place) AS first, string_agg(id, ',' ORDER BY place) AS ids FROM p LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 > 0) x ON n_nationkey = source_id GROUP BY 1, 2""")
+def results_by_source(spark, sf_dir):
+    from pyspark.sql import Window
+
+    page = table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(60)
+    page = page.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("source_id"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
+    sources = table(spark, sf_dir, "nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return C.grouped_by_source(page, sources).withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
+
+
 @query("SELECT doc_id, CASE WHEN i > 0 THEN substr(text, greatest(i - 50, 1), i + 5 + 50 - greatest(i - 50, 1)) ELSE substr(text, 1, 100) END AS snippet FROM (SELECT doc_id, text, instr(lower(text), 'thing') AS i FROM documents)")
 def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), ["thing"]).alias("snippet"))

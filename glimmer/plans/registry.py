@@ -173,14 +173,14 @@ def depth_one_suffices(spark, sf_dir):
 
 
 @query(f"""WITH {HY}, r AS (SELECT id, row_number() OVER (ORDER BY round(fs, 6) DESC, id) AS rn FROM f UNION ALL SELECT id, row_number() OVER (ORDER BY round(vs, 6) DESC, id) FROM v),
-    h AS (SELECT id, sum(1.0::DOUBLE / (60 + rn)) AS s FROM r GROUP BY id), o AS (SELECT id, round(s, 5) AS score, 'hybrid' AS kind, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS place FROM h)
-    SELECT * FROM o WHERE place > 5 AND place <= 25 UNION ALL SELECT id, round(round(fs, 6), 5), 'text', row_number() OVER (ORDER BY round(fs, 6) DESC, id) FROM f QUALIFY row_number() OVER (ORDER BY round(fs, 6) DESC, id) <= 20""")
+    h AS (SELECT id, sum(1.0::DOUBLE / (60 + rn)) AS s FROM r GROUP BY id), o AS (SELECT id, round(s, 6) AS score, 'hybrid' AS kind, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS place FROM h)
+    SELECT * FROM o WHERE place > 5 AND place <= 25 UNION ALL SELECT id, round(fs, 6), 'text', row_number() OVER (ORDER BY round(fs, 6) DESC, id) FROM f QUALIFY row_number() OVER (ORDER BY round(fs, 6) DESC, id) <= 20""")
 def text_and_vector(spark, sf_dir):
     """Both lists, and the text alone where no vector was given."""
     v, f = both_lists(spark, sf_dir)
     v, f = v.select("id", r6("vs").alias("score")), f.select("id", r6("fs").alias("score"))
     both = [fusion.text_and_vector(f, x, 20, 5) for x in (v, v.where("false"))]
-    return both[0].unionByName(both[1]).withColumn("score", F.round("score", 5))
+    return both[0].unionByName(both[1]).withColumn("score", r6("score"))
 
 
 @query("SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS s FROM embeddings WHERE embedding IS NOT NULL) ORDER BY s DESC, vec_id LIMIT 15 OFFSET 5")

@@ -4,9 +4,10 @@ Texts are lower-cased (A-Z) and cut at marks and line ends into pieces, pieces a
 made within a language. The words of a language have one order, common words first: by a count sketch over all texts, then by
 their bytes. A phrase belongs to its rarest word in that order, its pivot. From every place a text is rewritten to the fragments that
 phrases beginning there lie in: one for each pivot that such phrases have, from that place up to the next rarer word, and no longer than
-sketches of neighbours show that a phrase can be frequent. Equal fragments of a task become one with their number, and each
-task sends a pivot one row with all that it has for it. There the phrases through the pivot are counted, the beginnings of its
-fragments that reach it, and nobody else counts them. A pivot with many places is dealt out over several groups. A word alone is a
+sketches of neighbours show that a phrase can be frequent. Equal fragments of a task become one with their number. Pivots fall
+into ``GROUPS`` groups of a language, and each task sends a group one row with all that it has for its pivots. There the phrases
+through these are counted, the beginnings of the fragments that reach their pivot, and nobody else counts them. A pivot with many
+places is dealt out over several rows. A word alone is a
 fragment of itself, and the empty phrase, with pivot '', occurs as often as there are words.
 
 Sketches only order words and leave out what cannot be frequent, so counts are exact whatever falls together in them. Those of
@@ -38,8 +39,8 @@ FLUSH, SUMMED, MINED, WRITTEN = 1 << 21, 1 << 18, 1 << 16, 1 << 13
 WORD_BITS, LEAST_BITS, MOST_BITS, CELL_BYTES = 20, 20, 30, 16
 #: Pieces in which a sketch is added up.
 PIECE_BITS = 8
-#: Places of a pivot, by the sketch, that one group holds; more are dealt out.
-PLACES = 1 << 20
+#: Groups of a language's pivots; places of a pivot, by the sketch, that stay together (more are dealt out).
+GROUPS, PLACES = 1024, 1 << 20
 #: Ways in which a language's phrases are dealt out before its best are found.
 SPREAD = 64
 #: Byte classes: A-Z to lower case, blank and tab to 32, marks and line ends to 10.
@@ -323,7 +324,8 @@ def fragments_of(t: Text, s: Sketch, longest: int) -> tuple[np.ndarray, np.ndarr
 
 
 FRAGMENT, PHRASE = ["lang", "pivot", "splits", "fragment"], ["lang", "phrase", "words"]
-MESSAGE = ["lang", "pivot", "splits", "salt", "fragments", "n"]
+#: A row for a group of pivots: of each fragment its pivot, over how many rows that is dealt, and its number.
+MESSAGE = ["lang", "group", "salt", "pivots", "splits", "fragments", "n"]
 
 
 def summed(rows: list[pa.Table], keys: list[str], value: str) -> pa.Table:
@@ -333,7 +335,7 @@ def summed(rows: list[pa.Table], keys: list[str], value: str) -> pa.Table:
 
 
 def fragments(docs: DataFrame, s: Sketch, least: int, longest: int) -> DataFrame:
-    """lang, pivot, splits, salt, fragments, n: for each pivot of a task its distinct fragments and their numbers; docs: lang, text."""
+    """MESSAGE: for each group of pivots what a task has of fragments; docs: lang, text."""
     read = shipped_sketch(docs.sparkSession, s)
 
     def of_run(t: Text, s: Sketch):
@@ -363,19 +365,18 @@ def fragments(docs: DataFrame, s: Sketch, least: int, longest: int) -> DataFrame
         held, size = [], 0
 
         def sent(table):
-            """One row for each pivot, or for each of the groups that it is dealt out to."""
+            """A row for each group of pivots, and more for pivots that are dealt out."""
             table = table.sort_by([("lang", "ascending"), ("pivot", "ascending"), ("fragment", "ascending")]).combine_chunks()
-            lang, pivot = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "pivot"))
-            splits = table.column("splits").to_numpy()
-            first = np.flatnonzero(np.concatenate(([True], (lang[1:] != lang[:-1]) | (pivot[1:] != pivot[:-1]))))
-            salt = (np.arange(len(lang)) - np.repeat(first, np.diff(np.append(first, len(lang))))) % splits
-            order = np.lexsort((salt, pivot, lang)) if (splits > 1).any() else np.arange(len(lang))
-            lang, pivot, salt = lang[order], pivot[order], salt[order]
-            first = np.flatnonzero(np.concatenate(([True], (lang[1:] != lang[:-1]) | (pivot[1:] != pivot[:-1]) | (salt[1:] != salt[:-1]))))
-            edges, at = pa.array(np.append(first, len(lang)), pa.int32()), pa.array(order[first])
-            inner = [table.column(c).combine_chunks().take(pa.array(order)) for c in ("fragment", "n")]
-            heads = [table.column(c).combine_chunks().take(at) for c in FRAGMENT[:3]]
-            yield from in_slices(pa.RecordBatch.from_arrays([*heads, pa.array(salt[first], pa.int32()), *(pa.ListArray.from_arrays(edges, x) for x in inner)], MESSAGE))
+            columns = {c: table.column(c).combine_chunks() for c in table.column_names}
+            lang, pivot = (columns[c].dictionary_encode() for c in ("lang", "pivot"))
+            group = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % GROUPS for x in pivot.dictionary.to_pylist()], np.int64)[pivot.indices.to_numpy()]
+            keys = np.stack((lang.indices.to_numpy().astype(np.int64), group, np.arange(len(group)) % columns["splits"].to_numpy()))
+            order = np.lexsort(keys[::-1])
+            keys = keys[:, order]
+            first = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+            edges = pa.array(np.append(first, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, columns[c].take(pa.array(order))) for c in ("pivot", "splits", "fragment", "n")]
+            yield from in_slices(pa.RecordBatch.from_arrays([columns["lang"].take(pa.array(order[first])), pa.array(keys[1, first], pa.int32()), pa.array(keys[2, first], pa.int32()), *lists], MESSAGE))
 
         for langs, texts in runs(batches):
             for part in of_run(read_text(langs, texts), s):
@@ -393,7 +394,7 @@ def fragments(docs: DataFrame, s: Sketch, least: int, longest: int) -> DataFrame
         forget()
         give_back()
 
-    return docs.mapInArrow(rewrite, "lang string, pivot string, splits int, salt int, fragments array<string>, n array<long>")
+    return docs.mapInArrow(rewrite, "lang string, group int, salt int, pivots array<string>, splits array<int>, fragments array<string>, n array<long>")
 
 
 def with_blanks(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -416,8 +417,8 @@ def slices(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def mine(rows: pa.Table, longest: int, least: int) -> pa.Table:
-    """Phrases through the pivots of some fragments: lang, pivot, splits, phrase, words, a. Rows are sorted by language and pivot, and of
-    pivots that lie wholly among them only the frequent phrases are kept."""
+    """Phrases through the pivots of some fragments: lang, group, splits, phrase, words, a. Rows are sorted by language and group, and of
+    groups that lie wholly among them only the frequent phrases are kept."""
     frags = rows.column("fragment").combine_chunks()
     w = cut_words(frags)  # they are cut and folded: only blanks part them
     at, n = np.concatenate(([0], np.cumsum(np.bincount(w.doc, minlength=len(frags))))), rows.column("n").to_numpy()
@@ -429,7 +430,8 @@ def mine(rows: pa.Table, longest: int, least: int) -> pa.Table:
     before[of] = found[first] - at[of]  # words before the pivot
     coded = rows.column("lang").combine_chunks().dictionary_encode()
     lang = coded.indices.to_numpy().astype(np.int64)
-    group = np.concatenate(([0], np.cumsum((lang[1:] != lang[:-1]) | (pivots[1:] != pivots[:-1]))))
+    own = rows.column("group").to_numpy()
+    group = np.concatenate(([0], np.cumsum((lang[1:] != lang[:-1]) | (own[1:] != own[:-1]))))
     whole = (rows.column("splits").to_numpy() == 1) & (group > 0) & (group < group[-1])
     wide, owners_of, texts, lengths, totals = max(1, len(w.distinct)), [], [], [], []
     body, edges = with_blanks(w)
@@ -457,22 +459,22 @@ def mine(rows: pa.Table, longest: int, least: int) -> pa.Table:
     blank = np.flatnonzero(size == 0)
     at = pa.array(np.concatenate([*owners_of, blank]))
     text = pa.concat_arrays([*texts, pa.array([b""] * len(blank), pa.large_binary())]).cast(pa.string())
-    columns = [rows.column(c).take(at) for c in FRAGMENT[:3]]
-    return pa.table([*columns, text, pa.array(np.concatenate([*lengths, np.zeros(len(blank))]), pa.int32()), pa.array(np.concatenate([*totals, n[blank]]), pa.int64())], names=[*FRAGMENT[:3], "phrase", "words", "a"])
+    columns = [rows.column(c).take(at) for c in ("lang", "group", "splits")]
+    return pa.table([*columns, text, pa.array(np.concatenate([*lengths, np.zeros(len(blank))]), pa.int32()), pa.array(np.concatenate([*totals, n[blank]]), pa.int64())], names=["lang", "group", "splits", "phrase", "words", "a"])
 
 
 def mined(batches, longest: int, least: int):
-    """Phrases of the fragments of a task, sorted by language and pivot, as batches. Of a pivot that goes on in the next rows the phrases
+    """Phrases of the fragments of a task, sorted by language and group, as batches. Of a group that goes on in the next rows the phrases
     are held, and only the frequent ones are sent when it ends; pivots that are dealt out send all."""
-    keys, held, size, opened = ["lang", "pivot", "splits", "phrase", "words"], [], 0, []
+    keys, held, size, opened = ["lang", "group", "splits", "phrase", "words"], [], 0, []
 
     def settle(last):
         """What can be sent after the rows held; ``last``: nothing more comes."""
         table = pa.Table.from_batches(held)
-        now = (table.column("lang")[-1].as_py(), table.column("pivot")[-1].as_py())
+        now = (table.column("lang")[-1].as_py(), table.column("group")[-1].as_py())
         found = summed([*opened, mine(table, longest, least)], keys, "a")
         split = pc.greater(found.column("splits"), 1)
-        goes_on = pc.and_(pc.and_(pc.equal(found.column("lang"), now[0]), pc.equal(found.column("pivot"), now[1])), pc.invert(split))
+        goes_on = pc.and_(pc.and_(pc.equal(found.column("lang"), now[0]), pc.equal(found.column("group"), now[1])), pc.invert(split))
         goes_on = pc.and_(goes_on, pa.scalar(not last))
         good = pc.or_(pc.or_(split, pc.greater_equal(found.column("a"), least)), pc.equal(found.column("words"), 0))
         opened[:] = [found.filter(goes_on)]
@@ -481,7 +483,8 @@ def mined(batches, longest: int, least: int):
 
     for rb in batches:
         of = pc.list_parent_indices(rb.column("fragments"))
-        held.append(pa.RecordBatch.from_arrays([*(rb.column(c).take(of) for c in FRAGMENT[:3]), rb.column("fragments").flatten(), rb.column("n").flatten()], [*FRAGMENT, "n"]))
+        columns = {"lang": rb.column("lang").take(of), "group": rb.column("group").take(of)} | {name: rb.column(c).flatten() for name, c in (("pivot", "pivots"), ("splits", "splits"), ("fragment", "fragments"), ("n", "n"))}
+        held.append(pa.RecordBatch.from_arrays(list(columns.values()), list(columns)))
         size += held[-1].num_rows
         if size >= MINED:
             yield from settle(False)
@@ -505,7 +508,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
     def count(batches):
         yield from mined(batches, longest, least)
 
-    dealt = rows.repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot")
+    dealt = rows.repartition("lang", "group", "salt").sortWithinPartitions("lang", "group")
     found = dealt.mapInArrow(count, "lang string, phrase string, words int, a long")
     total = found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     return stage(total.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")

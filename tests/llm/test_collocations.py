@@ -51,7 +51,7 @@ def texts(seed, n):
     return out
 
 
-CASES = {"plain": {}, "short runs": {"FLUSH": 64, "WRITTEN": 7, "MINED": 9, "SUMMED": 11}, "hot pivots": {"PLACES": 5}, "long pivots": {"MINED": 3, "SUMMED": 5}, "crowded sketch": {"LEAST_BITS": 13, "MOST_BITS": 13}}
+CASES = {"plain": {}, "short runs": {"FLUSH": 64, "WRITTEN": 7, "MINED": 9, "SUMMED": 11}, "hot pivots": {"PLACES": 5}, "long groups": {"MINED": 3, "SUMMED": 5, "GROUPS": 2}, "crowded sketch": {"LEAST_BITS": 13, "MOST_BITS": 13}}
 
 
 @pytest.mark.parametrize("case", list(CASES))

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.operators.listing import holds
-from glimmer.operators.text import char_ngrams
 
 GRAM = 3
 #: Folders that a trigram's postings may lie in, and parts in which a folder is written.
@@ -33,7 +32,8 @@ def write_trigrams(rows: DataFrame, path: str, key: str, columns: list[str]) ->
     """
     fields = [rows.select(F.col(key).alias("key"), F.lit(i).alias("field"), F.lower(F.col(c)).alias("text")) for i, c in enumerate(columns)]
     every = reduce(DataFrame.unionByName, fields).where(F.length("text") >= GRAM)
-    posts = every.select("key", "field", F.explode(F.array_distinct(char_ngrams(F.col("text"), GRAM))).alias("gram")).withColumn("folder", _folder(F.col("gram")))
+    each = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))  # in one pass over the text, however long it is
+    posts = every.select("key", "field", F.explode(F.array_distinct(each)).alias("gram")).withColumn("folder", _folder(F.col("gram")))
     posts.repartition("folder", F.pmod(F.xxhash64("key"), F.lit(PARTS))).sortWithinPartitions("folder", "gram", "field").write.mode("overwrite").partitionBy("folder").parquet(path)
 
 

@@ -86,6 +86,13 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
     assert {r["key"] for r in substrings.candidates(spark, path, "aba", ["name", "path"], ["path"]).collect()} == {i for i, _, p in data if "aba" in p.lower()}
 
 
+def test_trigrams_of_long_texts_and_wide_characters(spark, tmp_path):
+    df, path = spark.createDataFrame([(1, "x" * 200_000 + "needle"), (2, "a\U0001f600b\nc\U0001f601"), (3, "ab"), (4, None)], "id long, name string"), str(tmp_path / "grams")
+    substrings.write_trigrams(df, path, "id", ["name"])
+    for needle, want in (("xneed", {1}), ("a\U0001f600b", {2}), ("\nc\U0001f601", {2}), ("\U0001f600b\n", {2}), ("ab", {3}), ("abc", set())):
+        assert {r["id"] for r in substrings.holding(df, path, needle, "id", ["name"]).collect()} == want
+
+
 def test_queries_are_prepared_from_raw_text(spark):
     assert search.prepared("The  Running dogs, a X!") == ["run", "run*", "dog", "dog*"]
     assert search.prepared("the, and") == ["the", "the*", "and", "and*"] and search.prepared(" ") == []

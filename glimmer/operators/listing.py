@@ -73,13 +73,18 @@ ORDERS = ("created_at", "modified_at", "path", "size")
 
 
 def cursor_page(rows: DataFrame, order: str, after: tuple | None = None, descending: bool = True, limit: int = 20, key: str = "id") -> DataFrame:
+    """``page_after`` in one of the orders that a listing offers."""
+    if order not in ORDERS:
+        raise ValueError(f"no order by {order}")
+    return page_after(rows, order, after, descending, limit, key)
+
+
+def page_after(rows: DataFrame, order: str, after: tuple | None, descending: bool, limit: int, key: str) -> DataFrame:
     """A page in (order, key) after the cursor (value, key), with has_more on every row and next_key / next_value on the last.
 
     One row more than the page is taken to see whether others follow. Rows without a value come last, by key; a cursor whose value
     is None lies among them.
     """
-    if order not in ORDERS:
-        raise ValueError(f"no order by {order}")
     if after is not None:
         v, k = after
         past = F.col(key) < F.lit(k) if descending else F.col(key) > F.lit(k)

@@ -5,6 +5,7 @@ The test tables are given the shapes of a media catalog by plain SELECTs that bo
 
 from __future__ import annotations
 
+import datetime
 import re
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.operators import backfill as B
-from glimmer.operators import intervals, jobs, listing, search, stores, substrings, understanding
+from glimmer.operators import intervals, jobs, listing, pages, search, stores, substrings, understanding
 from glimmer.operators import keyframes as K
 from glimmer.plans.registry import ORACLES, QUERIES, r6
 from glimmer.session import scratch
@@ -184,11 +185,69 @@ def cursor_pages_without_value(spark, sf):
     return among.unionByName(last).select("id", "size", "has_more", "next_key")
 
 
+#: Pages of one clustered copy: name, cursor, whether descending, rows.
+CLUSTERED = [("first", None, True, 20), ("middle", (450, 60), True, 20), ("ascending", (450, 60), False, 20), ("into_none", (10, 1 << 40), True, 200), ("among_none", (None, 77), True, 9), ("end", (None, 1 << 40), False, 5)]
+
+
+def clustered_sql(name: str, after: tuple | None, descending: bool, limit: int) -> str:
+    way, sign = ("DESC", "<") if descending else ("ASC", ">")
+    past = "true" if after is None else f"modified_at IS NULL AND id {sign} {after[1]}" if after[0] is None else f"(modified_at {sign} {after[0]} OR (modified_at = {after[0]} AND id {sign} {after[1]}) OR modified_at IS NULL)"
+    rank = f"row_number() OVER (ORDER BY modified_at {way} NULLS LAST, id {way})"
+    return f"SELECT '{name}' AS page, id, modified_at, n > {limit} AS has_more, CASE WHEN rn = {limit} AND n > {limit} THEN id END AS next_key FROM (SELECT id, modified_at, {rank} AS rn, count(*) OVER () AS n FROM m WHERE {past}) WHERE rn <= {limit}"
+
+
+@query(" UNION ALL ".join(clustered_sql(*c) for c in CLUSTERED))
+def clustered_pages(spark, sf):
+    """Pages from the files they lie in, both ways, into the rows without a value, among them, and after the last."""
+    path = scratch(spark, "pages")
+    pages.write_clustered(media(spark, sf).select("id", "modified_at"), path, "modified_at", "id", file_rows=500)
+    found = [pages.clustered_page(spark, path, "modified_at", "id", after, down, limit).select(F.lit(name).alias("page"), "id", "modified_at", "has_more", "next_key") for name, after, down, limit in CLUSTERED]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE (date_trunc('second', o_orderdate), o_orderkey) < (TIMESTAMP '1997-01-01 00:00:00', 500) ORDER BY date_trunc('second', o_orderdate) DESC, o_orderkey DESC LIMIT 21")
+def clustered_seconds(spark, sf):
+    """The keyset page of orders, compared to the second, from a copy that is clustered by the second."""
+    path = scratch(spark, "pages")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.date_trunc("second", "o_orderdate").cast("timestamp_ntz").alias("second"))
+    pages.write_clustered(o, path, "second", "o_orderkey", file_rows=2000)
+    return pages.clustered_page(spark, path, "second", "o_orderkey", (datetime.datetime(1997, 1, 1), 500), limit=21).select("o_orderkey", "o_orderdate")
+
+
 @query("""WITH r AS (SELECT type, id, created_at, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id DESC) AS rn, count(*) OVER (PARTITION BY type) AS total FROM m) SELECT type, id, total, total > 15 AS has_more FROM r WHERE rn > 5 AND rn <= 15""")
 def pages_by_type(spark, sf):
     return listing.pages_by_type(media(spark, sf), "type", [F.desc("created_at"), F.desc("id")], 5, 10).select("type", "id", "total", "has_more")
 
 
+#: Pages of one clustered copy: name, cursor, whether descending, rows.
+CLUSTERED = [("first", None, True, 20), ("middle", (450, 60), True, 20), ("ascending", (450, 60), False, 20), ("into_none", (10, 1 << 40), True, 200), ("among_none", (None, 77), True, 9), ("end", (None, 1 << 40), False, 5)]
+
+
+def clustered_sql(name: str, after: tuple | None, descending: bool, limit: int) -> str:
+    way, sign = ("DESC", "<") if descending else ("ASC", ">")
+    past = "true" if after is None else f"modified_at IS NULL AND id {sign} {after[1]}" if after[0] is None else f"(modified_at {sign} {after[0]} OR (modified_at = {after[0]} AND id {sign} {after[1]}) OR modified_at IS NULL)"
+    rank = f"row_number() OVER (ORDER BY modified_at {way} NULLS LAST, id {way})"
+    return f"SELECT '{name}' AS page, id, modified_at, n > {limit} AS has_more, CASE WHEN rn = {limit} AND n > {limit} THEN id END AS next_key FROM (SELECT id, modified_at, {rank} AS rn, count(*) OVER () AS n FROM m WHERE {past}) WHERE rn <= {limit}"
+
+
+@query(" UNION ALL ".join(clustered_sql(*c) for c in CLUSTERED))
+def clustered_pages(spark, sf):
+    """Pages from the files they lie in, both ways, into the rows without a value, among them, and after the last."""
+    path = scratch(spark, "pages")
+    pages.write_clustered(media(spark, sf).select("id", "modified_at"), path, "modified_at", "id", file_rows=500)
+    found = [pages.clustered_page(spark, path, "modified_at", "id", after, down, limit).select(F.lit(name).alias("page"), "id", "modified_at", "has_more", "next_key") for name, after, down, limit in CLUSTERED]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE (date_trunc('second', o_orderdate), o_orderkey) < (TIMESTAMP '1997-01-01 00:00:00', 500) ORDER BY date_trunc('second', o_orderdate) DESC, o_orderkey DESC LIMIT 21")
+def clustered_seconds(spark, sf):
+    """The keyset page of orders, compared to the second, from a copy that is clustered by the second."""
+    path = scratch(spark, "pages")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.date_trunc("second", "o_orderdate").cast("timestamp_ntz").alias("second"))
+    pages.write_clustered(o, path, "second", "o_orderkey", file_rows=2000)
+    return pages.clustered_page(spark, path, "second", "o_orderkey", (datetime.datetime(1997, 1, 1), 500), limit=21).select("o_orderkey", "o_orderdate")
+
+
 @query("""WITH r AS (SELECT type, id, created_at, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id DESC) AS rn FROM m) SELECT type, arg_max(created_at, rn) AS cursor_value, arg_max(id, rn) AS cursor_key, max(rn) >= 7 AS has_more FROM r WHERE rn <= 7 GROUP BY type""")
 def grouped_cursors(spark, sf):
     from glimmer.operators import catalog_ops as C

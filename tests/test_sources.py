@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from glimmer.operators import keyframes, listing, search, substrings, text
+from glimmer.operators import keyframes, listing, pages, search, substrings, text
 from glimmer.sources import folders, upserts
 
 
@@ -119,3 +119,42 @@ def test_values_by_place(spark):
         n = len(own)
         take = next((x for x in (max(1, -(-n // 4)), max(1, -(-2 * n // 5))) if x >= 3), 3 if n >= 3 else n)
         assert sorted((r["rn"], r["sample"]) for r in got if r["k"] == k) == [(j, i) for j, (_, i) in enumerate(own[: min(take, 20)], 1)]
+
+
+def walk(spark, path, descending, limit):
+    after, got, most = None, [], 0
+    while True:
+        most = max(most, len(pages.files_of_page(spark, path, after, descending, limit)))
+        page = pages.clustered_page(spark, path, "v", "id", after, descending, limit).orderBy("rn").collect()
+        got += [(r["v"], r["id"]) for r in page]
+        if not page or not page[-1]["has_more"]:
+            return got, most
+        after = (page[-1]["next_value"], page[-1]["next_key"])
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_clustered_pages_are_those_of_all_rows(spark, tmp_path, descending):
+    """Ties that fill several files, a third without a value; a page opens few of the files."""
+    rng = random.Random(5)
+    values = [None if i % 3 == 0 else 7 if i % 3 == 1 else rng.randrange(20) for i in range(900)]
+    path = str(tmp_path / "pages")
+    pages.write_clustered(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v int"), path, "v", "id", file_rows=50)
+    sign = -1 if descending else 1
+    wanted = sorted(((v, i) for i, v in enumerate(values)), key=lambda x: (x[0] is None, sign * (x[0] or 0), sign * x[1]))
+    got, most = walk(spark, path, descending, 120)
+    assert got == wanted
+    files = len(list(Path(path, "rows").glob("*.parquet")))
+    assert files >= 15 and most <= 6
+    page = pages.clustered_page(spark, path, "v", "id", (7, 400), descending, 3)
+    assert len(page.inputFiles()) <= 2
+
+
+def test_clustered_pages_of_nothing_and_of_text(spark, tmp_path):
+    path = str(tmp_path / "none")
+    rows = spark.createDataFrame([], "id long, v string")
+    pages.write_clustered(rows, path, "v", "id")
+    assert pages.clustered_page(spark, path, "v", "id").count() == 0
+    path = str(tmp_path / "text")
+    pages.write_clustered(spark.createDataFrame([(1, "b"), (2, ""), (3, None), (4, "a")], rows.schema), path, "v", "id", file_rows=1)
+    assert walk(spark, path, False, 1)[0] == [("", 2), ("a", 4), ("b", 1), (None, 3)]
+    assert pages.clustered_page(spark, path, "v", "id", (None, 3), False).count() == 0

@@ -9,9 +9,11 @@ table in the shared folder, whose ``data`` holds the block in this binary layout
     ids (n_ids x width)
 
 Elias-Fano keeps the low bits of each value packed and the high bits as a unary bit vector; every 64th one
-has its position sampled, so ``select`` finds any boundary without a table of 64-bit offsets.
+has its position sampled, so ``select`` finds any boundary without a table of 64-bit offsets. ``read_documents``
+reads single documents so: the blocks that hold them, and two boundaries of each.
 
-Null doc_ids come first (in text order of their blocks); repeated doc_ids stay, next to each other; a null
+Null doc_ids come first; repeated doc_ids stay, next to each other, by the first 64 characters of their texts and
+then as they stand in the files, so that one id (or null) with any share of all rows is split over range partitions. A null
 text is an empty document (the end id alone); an empty table writes no block and reads back as no rows.
 Other columns are ignored, whatever their names.
 """
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import new_path, prepare, text_or_empty
+from glimmer.llm.common import new_path, numbered, prepare, text_or_empty
 from glimmer.llm.word_ids import batches, encoder
 
 MAGIC = b"GTK1"
@@ -109,29 +111,42 @@ def encode_block(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray)
     return head + EliasFano.build(spread).to_bytes() + EliasFano.build(np.cumsum(counts)).to_bytes() + ids.astype(f"<u{width}").tobytes()
 
 
-def decode_block(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """Document ids, document ends and ids of a block."""
-    view = memoryview(data)
-    if bytes(view[:4]) != MAGIC:
-        raise ValueError("not a token block")
-    width, n_docs, n_null, n_ids, first = struct.unpack_from("<BIIQq", view, 4)
-    at = 4 + struct.calcsize("<BIIQq")
-    known, used = EliasFano.from_bytes(view[at:])
-    at += used
-    ends, used = EliasFano.from_bytes(view[at:])
-    at += used
-    ids = np.frombuffer(view, f"<u{width}", n_ids, at)
-    return [None] * n_null + (known.select(np.arange(known.n)) + first).tolist(), ends, ids
+class Block:
+    """A block as it lies in ``data``: nothing is decoded until it is asked for."""
+
+    def __init__(self, data: bytes | pa.Buffer):
+        view = memoryview(data)
+        if bytes(view[:4]) != MAGIC:
+            raise ValueError("not a token block")
+        width, self.n_docs, self.n_null, n_ids, self.first = struct.unpack_from("<BIIQq", view, 4)
+        at = 4 + struct.calcsize("<BIIQq")
+        self.known, used = EliasFano.from_bytes(view[at:])
+        at += used
+        self.ends, used = EliasFano.from_bytes(view[at:])
+        self.ids = np.frombuffer(view, f"<u{width}", n_ids, at + used)
+
+    def doc_ids(self, places: np.ndarray) -> list[int | None]:
+        named = places[places >= self.n_null] - self.n_null
+        values = iter((self.known.select(named) + self.first).tolist())
+        return [None if p < self.n_null else next(values) for p in places.tolist()]
+
+    def bounds(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents at ``places`` begin and end."""
+        begins = np.zeros(len(places), np.int64)
+        begins[places > 0] = self.ends.select(places[places > 0] - 1)
+        return begins, self.ends.select(places)
 
 
 BLOCKS = "part int, block int, local_start long, n_docs int, n_ids long, data binary"
+READ_SCHEMA = "number long, doc_id long, start long, n_tokens long, ids array<long>"
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
     """Encode ``docs`` (doc_id, text) and write the block table to ``path`` in ascending doc_id order."""
     prepare(docs.sparkSession)
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = thin.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    thin = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), "token-input", "place")
+    by = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.col("place")]
+    ordered = thin.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def write(rows):
         enc, part, block, start = encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0, 0
@@ -176,8 +191,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     def read(rows):
         for rb in rows:
             for first, data in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
-                doc_ids, ends, ids = decode_block(data.as_buffer())
-                ends = ends.select(np.arange(ends.n))
+                held = Block(data.as_buffer())
+                every, ids = np.arange(held.n_docs), held.ids
+                doc_ids, ends = held.doc_ids(every), held.ends.select(every)
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -191,6 +207,38 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     return placed.mapInArrow(read, schema)
 
 
+def read_documents(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    """The documents at these places in the order of the files (from 0): number, doc_id, start, n_tokens, ids.
+
+    Places that no document has give no row; a repeated one gives one. Only blocks that hold one of them are opened.
+    """
+    prepare(spark)
+    if not numbers:
+        return spark.createDataFrame([], READ_SCHEMA)
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    before = Window.orderBy("part")  # one row per part
+    parts = blocks.groupBy("part").agg(F.sum("n_docs").alias("docs"), F.sum("n_ids").alias("ids"))
+    base = parts.select("part", (F.sum("docs").over(before) - F.col("docs")).alias("docs"), (F.sum("ids").over(before) - F.col("ids")).alias("ids"))
+    inside = F.sum("n_docs").over(Window.partitionBy("part").orderBy("block")) - F.col("n_docs")
+    spans = blocks.select("part", "block", "local_start", "n_docs", inside.alias("inside")).join(F.broadcast(base), "part")
+    spans = spans.select("part", "block", (F.col("docs") + F.col("inside")).alias("low"), "n_docs", (F.col("ids") + F.col("local_start")).alias("first"))
+    asked = spark.createDataFrame(pa.table({"number": pa.array(sorted(set(numbers)), pa.int64())}))
+    met = spans.join(F.broadcast(asked), (F.col("number") >= F.col("low")) & (F.col("number") < F.col("low") + F.col("n_docs")))
+    wanted = met.groupBy("part", "block").agg(F.min("low").alias("low"), F.min("first").alias("first"), F.array_sort(F.collect_list("number")).alias("numbers"))  # of the caller's list
+    found = blocks.select("part", "block", "data").join(F.broadcast(wanted), ["part", "block"]).select("low", "first", "numbers", "data")
+
+    def read(rows):
+        for rb in rows:
+            for low, first, asked, data in zip(*(rb.column(k).to_pylist() for k in range(3)), rb.column(3), strict=True):
+                held, places = Block(data.as_buffer()), np.array(asked, np.int64) - low
+                begins, ends = held.bounds(places)
+                texts = [held.ids[a:b].astype(np.int64) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                cols = [pa.array(asked, pa.int64()), pa.array(held.doc_ids(places), pa.int64()), pa.array(first + begins), pa.array(ends - begins), pa.array(texts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["number", "doc_id", "start", "n_tokens", "ids"])
+
+    return found.mapInArrow(read, READ_SCHEMA)
+
+
 def token_file_index(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write the files into the shared folder and return what they hold, per document."""
     spark = docs.sparkSession

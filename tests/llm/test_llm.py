@@ -80,6 +80,36 @@ def test_token_files(docs, odd, empty):
     assert token_files.token_file_index(empty, WORD).count() == 0
 
 
+def test_single_documents_by_select(spark, docs, odd, tmp_path, monkeypatch):
+    """Over several blocks and parts, with null ids; places that no document has give no row."""
+    monkeypatch.setattr(token_files, "BLOCK_DOCS", 50)
+    for name, df in (("docs", docs), ("odd", odd)):
+        path = str(tmp_path / name)
+        token_files.write_token_files(df, WORD, 1, path)
+        every = sorted(map(tuple, token_files.read_token_files(spark, path, with_ids=True).select("doc_id", "start", "n_tokens", "ids").collect()), key=lambda r: r[1])
+        asked = sorted({0, 1, 6, len(every) // 2, len(every) - 1})
+        got = {r[0]: tuple(r[1:]) for r in token_files.read_documents(spark, path, [*asked, 0, -1, len(every)]).collect()}
+        assert got == {k: every[k] for k in asked}
+    assert token_files.read_documents(spark, path, []).count() == 0
+
+
+def test_one_id_is_split_over_parts(spark, tmp_path):
+    """A null id with most of the rows, and rows that repeat: several parts, rows in order, nothing lost."""
+    rows = [(None, f"text {i % 40}") for i in range(2000)] + [(9, "same")] * 2000 + [(10, "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path, small = str(tmp_path / "hot"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")  # parts of this size would be put together again
+    try:
+        token_files.write_token_files(df, WORD, 1, path)
+    finally:
+        spark.conf.set(small, "true")
+    parts = spark.read.schema(token_files.BLOCKS).parquet(path).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(parts) >= 3 and max(r["n"] for r in parts) < 2000
+    got = sorted(map(tuple, token_files.read_token_files(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 2000 + [9] * 2000 + [10]
+    assert Counter(r[2:] for r in got) == Counter((len(ids), zlib.crc32(ids)) for ids in (word_ids(t, 1) for _, t in rows))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for v in ([], [0], [5, 5, 5], np.sort(rng.integers(0, 10**9, 1000)), np.arange(300)):

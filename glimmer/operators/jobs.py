@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.operators.keyframes import unit_hash
+
 ACTIVE = ["pending", "running"]
 
 
@@ -65,7 +67,7 @@ def schedule_passes(jobs: DataFrame, passes: list[tuple[int, float, int]], now:
     up to ``jitter`` either way, by a hash of path and pass, so that a rerun plans the same times."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("pass"), F.lit(t).alias("threshold"), F.lit(d).alias("delay")) for n, t, d in passes if n > 1]))
     out = jobs.where((F.col("status") == "completed") & (F.col("pass") == 1)).select("path", each.alias("p")).select("path", "p.*")
-    share = F.pmod(F.crc32(F.concat_ws("|", "path", "pass").cast("binary")), F.lit(1000)) / 999.0
+    share = unit_hash(F.col("path"), F.col("pass").cast("string"))
     return out.select("path", "pass", "threshold", (now + F.col("delay") * (1 - jitter + 2 * jitter * share)).alias("scheduled_at"))
 
 
@@ -97,7 +99,7 @@ def first_of(key: str, *lists: DataFrame) -> DataFrame:
 
 
 def job_title(status: Column, progress: Column, message: Column, path: Column, phase: Column) -> Column:
-    """struct(title, operation, description) of a video job; the stored message before the progress cuts at 30 and 70."""
+    """struct(title, operation, description) of a video job; the stored message before the progress cuts at 30 and 70 (the texts are fixed values)."""
     name = F.coalesce(F.nullif(F.substring_index(path, "/", -1), F.lit("")), F.lit("video"))
     waits, runs, said = status.isin("scheduled", "pending"), status.isin("running", "processing"), F.coalesce(message, F.lit("")) != ""
     steps = lambda a, b, c: F.when(progress < 30, a).when(progress < 70, b).otherwise(c)

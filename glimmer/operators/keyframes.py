@@ -31,8 +31,8 @@ def scene_cuts(samples: DataFrame, key: str, threshold: float, techniques: list[
 
 
 def unit_hash(*parts: Column) -> Column:
-    """0 .. 1 by a hash of the parts."""
-    return F.pmod(F.crc32(F.concat_ws("|", *parts).cast("binary")), F.lit(1000)) / 999.0
+    """0 .. 1 by a hash of the parts, one that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") % 1000 / 999.0
 
 
 def fallback_cuts(videos: DataFrame, key: str, duration: str, every: float = 15.0, jitter: float = 0.1) -> DataFrame:

@@ -9,12 +9,13 @@ import datetime
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.operators import backfill as B
 from glimmer.operators import intervals, jobs, listing, pages, search, stores, substrings, understanding
 from glimmer.operators import keyframes as K
+from glimmer.operators import text as text_ops
 from glimmer.plans.registry import ORACLES, QUERIES, r6
 from glimmer.session import scratch
 from glimmer.sources import folders, upserts
@@ -59,6 +60,11 @@ M, J, S, V = (plain(x) for x in (MEDIA, JOBS, SEGS, FRAMES))
 NOW = 9000
 
 
+def unit_sql(text: str) -> str:
+    """keyframes.unit_hash in SQL."""
+    return f"((('0x' || substr(md5({text}), 1, 8))::BIGINT % 1000) / 999e0)"
+
+
 def query(sql: str | None = None):
     """Register a function of (spark, sf_dir); m, j, s, v stand for the four shapes in its SQL."""
 
@@ -325,9 +331,9 @@ def create_jobs(spark, sf):
     return jobs.create_jobs(media(spark, sf), job(spark, sf))
 
 
-@query(f"""SELECT path, p.pass, p.threshold, {NOW} + delay AS scheduled_at FROM j, (VALUES (2, 0.6e0, 300), (3, 0.4e0, 1800)) p(pass, threshold, delay) WHERE status = 'completed' AND j.pass = 1""")
+@query(f"""SELECT path, p.pass, p.threshold, round({NOW} + delay * (1 - 0.2e0 + 2 * 0.2e0 * {unit_sql("path || '|' || p.pass")}), 6) AS scheduled_at FROM j, (VALUES (2, 0.6e0, 300), (3, 0.4e0, 1800)) p(pass, threshold, delay) WHERE status = 'completed' AND j.pass = 1""")
 def schedule_passes(spark, sf):
-    return jobs.schedule_passes(job(spark, sf), [(1, 0.8, 0), (2, 0.6, 300), (3, 0.4, 1800)], F.lit(NOW), 0.0).select("path", "pass", "threshold", F.col("scheduled_at").cast("long").alias("scheduled_at"))
+    return jobs.schedule_passes(job(spark, sf), [(1, 0.8, 0), (2, 0.6, 300), (3, 0.4, 1800)], F.lit(NOW)).select("path", "pass", "threshold", r6("scheduled_at").alias("scheduled_at"))
 
 
 @query("SELECT id, coalesce(status = 'completed' AND progress >= 60 AND retries <= 2 * 10, false) AS runs FROM j")
@@ -543,10 +549,30 @@ def keyword_fallbacks(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(understanding.keywords(t), " ").alias("keywords"), F.array_join(understanding.entities(t), " ").alias("entities"), F.array_join(understanding.fallback_query(t)["keywords"], " ").alias("fallback"), fall["cleaned"].alias("cleaned"))
 
 
-@query("SELECT item_id, 'c1|s1|c2|' || lower(substr(text, 1, 1)) AS query, 'c1' AS cleaned, 's1' AS step_back, 'c2' AS fts FROM benchmark")
+@query(f"""WITH a AS ({ASKS}), w AS (SELECT *, list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '') AS w FROM a)
+    SELECT item_id, array_to_string(list_filter(w, lambda x: x NOT IN ({", ".join(repr(x) for x in understanding.TIME_WORDS)})), ' ') AS audio, CASE WHEN {any_sql([*understanding.TIME_WORDS, "minute", "second"])} AND NOT {any_sql(understanding.AUDIO_WORDS)} AND item_id % 2 = 0 THEN 'temporal' ELSE 'mixed' END AS promoted,
+    array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[^0-9A-Za-z_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''), ' ') AS cleaned FROM w""")
+def cleaned_queries(spark, sf):
+    """Elements of sound without words of time, mixed queries with and without spatial elements, words without signs."""
+    q = F.col("q")
+    words = F.filter(F.split(q, r"\s+"), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    spatial = F.when(F.col("item_id") % 2 == 1, F.slice(words, 1, 1)).otherwise(none)
+    kind = understanding.promoted(q, F.lit("mixed"), spatial, none)
+    return asks(spark, sf).select("item_id", F.array_join(understanding.audio_elements(words), " ").alias("audio"), kind.alias("promoted"), F.array_join(text_ops.clean_query(F.col("text")), " ").alias("cleaned"))
+
+
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+    k AS (SELECT item_id, w, list_transform(list_concat(list_slice(w, 3, 6), list_transform(list_slice(w, 5, 9), lambda x: upper(x))), lambda x: lower(trim(x))) AS k FROM w),
+    q AS (SELECT item_id, array_to_string(list_filter([w[1], CASE WHEN item_id % 3 > 0 THEN w[3] END, w[2], CASE WHEN item_id % 3 < 2 AND len(k) > 0 THEN array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), ' ') END], lambda x: x IS NOT NULL), '|') AS query FROM k),
+    p AS (SELECT *, string_split(query, '|') AS p FROM q)
+    SELECT item_id, query, coalesce(nullif(trim(p[1]), ''), trim(query)) AS cleaned, coalesce(nullif(trim(p[2]), ''), trim(query)) AS step_back, coalesce(nullif(trim(p[3]), ''), trim(query)) AS fts FROM p""")
 def query_strings(spark, sf):
-    words = understanding.keyword_union(F.array(F.substring("text", 1, 1)), F.array(F.lower(F.substring("text", 1, 1))))
-    q = understanding.query_string(F.array(F.lit("c1"), F.lit("c2")), F.array(F.lit("s1")), words)
+    """Lists of the items' own words: one or two parts, with and without a step back and keywords."""
+    w, none = F.split("text", " "), F.array().cast("array<string>")
+    words = understanding.keyword_union(F.slice(w, 3, 4), F.transform(F.slice(w, 5, 5), F.upper))
+    back = F.when(F.col("item_id") % 3 > 0, F.slice(w, 3, 1)).otherwise(none)
+    q = understanding.query_string(F.slice(w, 1, 2), back, F.when(F.col("item_id") % 3 < 2, words).otherwise(none))
     return table(spark, sf, "benchmark").where("text IS NOT NULL").select("item_id", q.alias("query"), understanding.parse_query(q).alias("p")).select("item_id", "query", "p.*")
 
 
@@ -595,10 +621,10 @@ def scene_cuts(spark, sf):
     return K.scene_cuts(frames(spark, sf), "video", 0.6, ["basic_scene", "motion_analysis", "edge_detection"])
 
 
-@query("SELECT id, k * 15e0 AS t FROM m, range(1, 100) r(k) WHERE k * 15 < size % 200")
+@query(f"""SELECT id, round(greatest(0, least(size % 200, k * 15e0 + ({unit_sql("id || '|' || k")} * 2 - 1) * 15 * 0.1e0)), 6) AS t FROM m, range(1, 100) r(k) WHERE k * 15 < size % 200""")
 def fallback_cuts(spark, sf):
     v = media(spark, sf).select("id", (F.col("size") % 200).cast("double").alias("duration"))
-    return K.fallback_cuts(v, "id", "duration", jitter=0.0).select("id", "t")
+    return K.fallback_cuts(v, "id", "duration").select("id", r6("t").alias("t"))
 
 
 @query("""WITH RECURSIVE x AS (SELECT video, t, motion * 0.3e0 + histogram * 0.4e0 + complexity * 0.3e0 AS sc, complexity FROM v), y AS (SELECT *, CASE WHEN complexity > 0.7 THEN sc * 1.5e0 ELSE sc END AS b FROM x),
@@ -621,11 +647,14 @@ def segment_plans(spark, sf):
     return frames(spark, sf).select("id", K.adaptive_threshold(m).alias("cut"), K.needs_fallback(m, F.col("id") % 3).alias("fallback"), r6(th["scene"]).alias("scene"), kind.alias("kind"), K.target_count(kind, t, th["most"]).alias("target"))
 
 
-@query("""WITH p AS (SELECT video, list(t ORDER BY t) FILTER (motion > 0.9) AS peaks FROM v GROUP BY video) SELECT video, coalesce(array_to_string(list_slice(list_filter(peaks, lambda x: x >= 10 AND x <= 90), 1, 4), ','), '') AS peaks FROM p WHERE len(list_filter(peaks, lambda x: x >= 10 AND x <= 90)) > 0""")
+@query(f"""WITH p AS (SELECT video, list_filter(list(t ORDER BY t) FILTER (motion > 0.9), lambda x: x >= 10 AND x <= 90) AS peaks FROM v GROUP BY video),
+    e AS (SELECT video, CASE WHEN len(peaks) > 0 THEN list_slice(peaks, 1, 4) ELSE list_transform([1, 2, 3, 4], lambda i: greatest(10, least(90, 10 + 16e0 * i + ({unit_sql("video || '|' || i")} - 0.5e0) * 1))) END AS times FROM p)
+    SELECT video, n - 1 AS n, round(times[n], 6) AS t FROM e, range(1, 5) r(n) WHERE n <= len(times)""")
 def weighted_times(spark, sf):
+    """The peaks of a video, or even places where it has none."""
     g = frames(spark, sf).groupBy("video").agg(F.array_sort(F.collect_list(F.when(F.col("motion") > 0.9, F.col("t")))).alias("peaks"))
     t = K.weighted_times(F.col("peaks"), F.lit(10.0), F.lit(90.0), 4, F.col("video"))
-    return g.where(F.exists("peaks", lambda x: (x >= 10) & (x <= 90))).select("video", F.array_join(F.transform(t, lambda x: x.cast("string")), ",").alias("peaks"))
+    return g.select("video", F.posexplode(t).alias("n", "t")).select("video", F.col("n").cast("long").alias("n"), r6("t").alias("t"))
 
 
 @query("""SELECT video, round(coalesce(avg(motion) FILTER (type = 'I'), 0), 6) AS motion, round(coalesce(avg(motion) FILTER (type = 'P'), 0), 6) AS complexity, round(count(*) / 2e0, 6) AS cuts_per_minute FROM v GROUP BY video""")
@@ -684,20 +713,22 @@ def final_frames(spark, sf):
     return K.final_frames(h, "video", 20).select("video", "id")
 
 
-@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start, id) = 1 OR row_number() OVER (PARTITION BY video ORDER BY start DESC, id DESC) = 1 AS edge FROM s) SELECT id FROM e WHERE "end" - start >= 8 OR edge""")
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start, id) = 1 OR row_number() OVER (PARTITION BY video ORDER BY start DESC, id DESC) = 1 AS edge FROM s)
+    SELECT id FROM e WHERE "end" - start >= 8 OR edge OR {unit_sql("id::VARCHAR")} < 1 - 0.7e0""")
 def scene_reduction(spark, sf):
-    return K.scene_reduction(segs(spark, sf), "video", 8.0, 1.0).select("id")
+    return K.scene_reduction(segs(spark, sf), "video", 8.0, 0.7).select("id")
 
 
-@query("SELECT id FROM s WHERE coalesce(text, '') <> '' OR \"end\" - start < 3")
+@query(f"""SELECT id FROM s WHERE coalesce(text, '') <> '' OR "end" - start < 3 OR {unit_sql("id::VARCHAR")} > 0.4e0""")
 def motion_reduction(spark, sf):
     s = segs(spark, sf).withColumns({"transcription": F.col("text"), "caption": F.lit(None).cast("string"), "ocr_text": F.lit("")})
-    return K.motion_reduction(s, 1.0).select("id")
+    return K.motion_reduction(s, 0.4).select("id")
 
 
-@query("SELECT id, start % 30 < 1 OR start % 7 < 1 AS runs, round((100 - (10 + 20)) / 100e0 * 100, 6) AS saved FROM s")
+@query("""SELECT id, start % 30 < 1 OR start % 7 < 1 AS runs, round(CASE WHEN id % 50 > 0 THEN (id % 50 - (id % 7 + id % 5)) / (id % 50)::DOUBLE * 100 ELSE 0 END, 6) AS saved FROM s""")
 def sampling_gate(spark, sf):
-    return segs(spark, sf).select("id", K.two_pass_gate(F.col("start"), 30.0, 7.0).alias("runs"), r6(K.reduction(F.lit(100), F.lit(10), F.lit(20))).alias("saved"))
+    i = F.col("id")
+    return segs(spark, sf).select("id", K.two_pass_gate(F.col("start"), 30.0, 7.0).alias("runs"), r6(K.reduction(i % 50, i % 7, i % 5)).alias("saved"))
 
 
 @query("""WITH f AS (SELECT video, arg_min(id, (start, id)) AS fid, arg_min(coalesce(text, ''), (start, id)) AS ft FROM s GROUP BY video)
@@ -706,16 +737,18 @@ def skip_similar(spark, sf):
     return K.skip_similar(segs(spark, sf), "video", "text").select("id")
 
 
-@query("SELECT id, start + k / 2e0 AS t FROM s, range(0, 200) r(k) WHERE k / 2e0 < \"end\" - start")
+@query("""WITH d AS (SELECT id, start, "end" - start AS d FROM s) SELECT 'fps' AS kind, id, round(start + k / 2e0, 6) AS t FROM d, range(0, 200) r(k) WHERE k / 2e0 < d
+    UNION ALL SELECT 'target', id, round(start + k * (d / 4), 6) FROM d, range(0, 4) r(k) UNION ALL SELECT 'every', id, round(start + k * 2.5e0, 6) FROM d, range(0, 200) r(k) WHERE k * 2.5e0 < d""")
 def rate_times(spark, sf):
-    return K.rate_times(segs(spark, sf), fps=2.0).select("id", "t")
+    """By frames per second, by a number of times, by distance."""
+    each = {"fps": K.rate_times(segs(spark, sf), fps=2.0), "target": K.rate_times(segs(spark, sf), target=4), "every": K.rate_times(segs(spark, sf), every=2.5)}
+    return reduce(DataFrame.unionByName, [d.select(F.lit(kind).alias("kind"), "id", r6("t").alias("t")) for kind, d in each.items()])
 
 
-@query("""WITH d AS (SELECT id, "end" - start AS d FROM s) SELECT id, CASE WHEN d < 5 THEN 1 WHEN d < 15 THEN least(2, CAST(ceil(d / 8) AS INT)) ELSE least(4, CAST(ceil(d / 6) AS INT)) END AS n FROM d""")
+@query(f"""WITH d AS (SELECT id, start, "end" - start AS d FROM s), c AS (SELECT *, CASE WHEN d < 5 THEN 1 WHEN d < 15 THEN least(2, CAST(ceil(d / 8) AS INT)) ELSE least(4, CAST(ceil(d / 6) AS INT)) END AS c FROM d)
+    SELECT id, n, round(start + d / (c + 1) * n + ({unit_sql("id || '|' || n")} - 0.5e0) * CASE WHEN c = 1 THEN least(1, d * 0.1e0) ELSE least(0.5e0, d / (c + 1) * 0.1e0) END, 6) AS t FROM c, range(1, 5) r(n) WHERE n <= c""")
 def keyframes_by_duration(spark, sf):
-    k = K.keyframes_by_duration(segs(spark, sf))
-    inside = (F.col("t") > F.col("start")) & (F.col("t") < F.col("end"))
-    return k.where(inside).groupBy("id").agg(F.max("n").alias("n"))
+    return K.keyframes_by_duration(segs(spark, sf)).select("id", F.col("n").cast("long").alias("n"), r6("t").alias("t"))
 
 
 @query("SELECT id, b, \"start\" + x * (\"end\" - \"start\") AS t FROM (SELECT id, 0 AS b, start, \"end\" FROM s) q, (VALUES (0.2e0), (0.4e0), (0.6e0), (0.8e0)) y(x)")
@@ -766,18 +799,24 @@ def cascade_delete(spark, sf):
     return left["items"].select(F.lit("items").alias("tab"), "id").unionByName(left["segments"].select(F.lit("segments").alias("tab"), "id"))
 
 
-@query("SELECT vec_id, 'pending' AS status, embedding IS NOT NULL AND len(embedding) = 32 AS kept, len(embedding) = 64 AS back FROM embeddings")
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'completed' ELSE 'pending' END AS status, vec_id % 3 = 0 AS kept, len(embedding) = 64 AS back FROM embeddings""")
 def dimension_change(spark, sf):
+    """A third of the vectors has the new dimension already."""
     e = table(spark, sf, "embeddings")
-    now = B.of_dimension(e.withColumn("status", F.lit("completed")), "embedding", 32)
+    mixed = e.withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    now = B.of_dimension(mixed.withColumn("status", F.lit("completed")), "embedding", 32)
     text = F.to_json(F.map_from_entries(F.transform("embedding", lambda x, i: F.struct(i.cast("string").alias("k"), x.alias("v")))))
     back = e.select("vec_id", (B.vector_of_json(text) == F.col("embedding")).alias("back"))
     return now.select("vec_id", "status", F.col("embedding").isNotNull().alias("kept")).join(back, "vec_id")
 
 
-@query("SELECT vec_id, true AS finite, false AS usual_dimension FROM embeddings")
+@query("""WITH x AS (SELECT vec_id, CASE vec_id % 4 WHEN 1 THEN list_concat(embedding, ['nan'::FLOAT]) WHEN 2 THEN list_concat(embedding, embedding, embedding, embedding, embedding, embedding) WHEN 0 THEN embedding END AS e FROM embeddings)
+    SELECT vec_id, coalesce(len(list_filter(e, lambda x: isnan(x) OR isinf(x))) = 0, false) AS finite, coalesce(len(e) IN (384, 768, 1024, 1536, 3072), false) AS usual_dimension FROM x""")
 def vector_checks(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", B.valid_vector(F.col("embedding")).alias("v")).select("vec_id", "v.*")
+    """As they are, with an entry that is no number, of a usual length, and none."""
+    e, k = F.col("embedding"), F.col("vec_id") % 4
+    v = F.when(k == 0, e).when(k == 1, F.concat(e, F.array(F.lit(float("nan")).cast("float")))).when(k == 2, F.concat(*[e] * 6))
+    return table(spark, sf, "embeddings").select("vec_id", B.valid_vector(v).alias("v")).select("vec_id", "v.*")
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start, id) AS rn FROM s), d AS (SELECT video, rn, text, row_number() OVER (PARTITION BY video ORDER BY rn) AS k FROM c WHERE status = 'completed' AND text IS NOT NULL)
@@ -823,27 +862,36 @@ def store_totals(spark, sf):
     return B.store_totals(media(spark, sf).groupBy("pass").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("pass", "depth"))
 
 
-@query("SELECT page_id, regexp_replace(split_part('/v/' || page_id || '.x.mp4', '/', -1), '\\.[^.]*$', '') || '_' || substr(regexp_replace(to_base64(encode('/v/' || page_id || '.x.mp4')), '[/+=]', '', 'g'), 1, 8) AS cache_name, CAST((97 * 961 + 98 * 31 + 99) AS BIGINT) AS hash FROM pages")
+@query("""WITH c AS (SELECT page_id, '/v/' || page_id || '.x.mp4' AS p FROM pages),
+    h AS (SELECT *, list_reduce(list_transform(string_split(substr(p || html, 1, 100), ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM (SELECT c.*, html FROM c JOIN pages USING (page_id)))
+    SELECT page_id, regexp_replace(split_part(p, '/', -1), '\\.[^.]*$', '') || '_' || substr(regexp_replace(to_base64(encode(p)), '[/+=]', '', 'g'), 1, 8) AS cache_name, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM h""")
 def cache_names(spark, sf):
     p = F.concat(F.lit("/v/"), F.col("page_id").cast("string"), F.lit(".x.mp4"))
-    return B.snake_columns(table(spark, sf, "pages").select("page_id", B.cache_name(p).alias("cacheName"), B.text_hash(F.lit("abc")).alias("hash")))
+    return B.snake_columns(table(spark, sf, "pages").select("page_id", B.cache_name(p).alias("cacheName"), B.text_hash(F.concat(p, "html")).alias("hash")))
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'car,tree' WHEN 1 THEN 'dog' ELSE 'unknown' END AS objects, CASE page_id % 3 WHEN 1 THEN 'Ann' ELSE '' END AS people, CASE page_id % 3 WHEN 1 THEN 'dim' ELSE 'unknown' END AS lighting, CASE page_id % 3 WHEN 0 THEN 'calm' END AS mood FROM pages""")
+@query("""WITH w AS (SELECT page_id, page_id % 3 AS k, 'o' || (page_id % 41) AS a, 'p' || (page_id % 37) AS b, 'm' || (page_id % 7) AS c FROM pages)
+    SELECT page_id, CASE k WHEN 0 THEN a || ',' || b WHEN 1 THEN b ELSE 'unknown' END AS objects, CASE k WHEN 1 THEN a ELSE '' END AS people, CASE k WHEN 1 THEN c ELSE 'unknown' END AS lighting, CASE k WHEN 0 THEN c END AS mood FROM w""")
 def extracted_elements(spark, sf):
-    text = F.when(F.col("page_id") % 3 == 0, '{"objects":["car","tree"],"mood":"calm"}').when(F.col("page_id") % 3 == 1, "OBJECTS: [dog]\nPEOPLE: Ann, none\nLIGHTING: dim").otherwise("nothing")
+    """Texts of the pages' own words: objects, labelled lines, neither."""
+    k, a, b, c = F.col("page_id") % 3, *[F.concat(F.lit(x), (F.col("page_id") % n).cast("string")) for x, n in (("o", 41), ("p", 37), ("m", 7))]
+    text = F.when(k == 0, F.format_string('{"objects":["%s","%s"],"mood":"%s"}', a, b, c)).when(k == 1, F.format_string("OBJECTS: [%s]\nPEOPLE: %s, none\nLIGHTING: %s", b, a, c)).otherwise(F.concat(a, b))
     e = table(spark, sf, "pages").select("page_id", B.extracted_elements(text).alias("e"))
     return e.select("page_id", F.array_join("e.objects", ",").alias("objects"), F.array_join("e.people", ",").alias("people"), "e.lighting", "e.mood")
 
 
-@query("""WITH l AS (SELECT item_id, text AS t FROM benchmark) SELECT item_id AS id, k AS n, CASE WHEN item_id % 2 = 0 THEN k * 60 + 1.5e0 ELSE 7e0 END AS start, CASE WHEN item_id % 2 = 0 THEN CASE k WHEN 0 THEN 'one' || chr(10) || 'more' ELSE 'two' END ELSE 'plain' END AS transcription FROM l, range(0, 2) r(k) WHERE item_id % 2 = 0 OR k = 0""")
+@query("""WITH l AS (SELECT item_id AS id, item_id % 50 * 60 + item_id * 7 % 60 AS a, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 9) AS w FROM benchmark)
+    SELECT id, k AS n, CASE WHEN id % 2 = 0 THEN a + k * 3600 + 0.5e0 ELSE a + 0e0 END AS start, CASE WHEN id % 2 = 0 THEN CASE k WHEN 0 THEN w || chr(10) || 'more' ELSE 'x' || w END ELSE w END AS transcription FROM l, range(0, 2) r(k) WHERE id % 2 = 0 OR k = 0""")
 def transcript_rows(spark, sf):
-    raw = "[00:00:01.500 --> 00:00:02.000] one\nmore\n[00:00:03.000 --> 00:00:04.000]  \n[00:01:01.500 --> 00:01:02.000] two"
-    s = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit(7.0).alias("start"), F.lit(9.0).alias("end"), F.when(F.col("item_id") % 2 == 0, raw).otherwise("plain").alias("transcription"))
-    out = intervals.transcript_rows(s)
-    from pyspark.sql import Window
-
-    return out.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("start")) - 1).cast("long").alias("n"), "start", "transcription")
+    """Two lines, of them one over two rows and one an hour later, a line without words between them; or a text without lines."""
+    i, w = F.col("item_id"), F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 9)
+    at = F.format_string("%02d:%02d.", (i % 50).cast("int"), (i * 7 % 60).cast("int"))
+    line = lambda hour, text: F.concat(F.lit(f"[{hour}:"), at, F.lit("500 --> "), F.lit(f"{hour}:"), at, F.lit("900] "), text)
+    raw = F.concat(line("00", w), F.lit("\nmore\n"), line("00", F.lit(" ")), F.lit("\n"), line("01", F.concat(F.lit("x"), w)))
+    a = (i % 50 * 60 + i * 7 % 60).cast("double")
+    s = table(spark, sf, "benchmark").select(i.alias("id"), a.alias("start"), (a + 9).alias("end"), F.when(i % 2 == 0, raw).otherwise(w).alias("transcription"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("start")) - 1
+    return intervals.transcript_rows(s).select("id", place.cast("long").alias("n"), "start", "transcription")
 
 
 @query("SELECT path, arg_max(id, (created_at, id)) AS id, arg_max(status, (created_at, id)) AS status, count(*) AS n, bool_or(status IN ('pending', 'running')) AS active FROM j GROUP BY path")

@@ -16,18 +16,23 @@ from __future__ import annotations
 
 import gzip
 import io
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import prepare, range_staged
+from glimmer.llm.common import prepare, range_staged, stage
+from glimmer.sources.folders import opened
 
 #: Headers that a 304 response never updates (fixed values).
 NOT_UPDATED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade"]
 
 
-READ_BYTES = 16 << 20
+#: Bytes of a batch of records, and of a part of a file that is not compressed.
+READ_BYTES, PART_BYTES = 16 << 20, 128 << 20
 READ_COLUMNS = ["file", "position", "url", "ts", "is_revisit", "status", "etag", "last_modified", "headers", "body"]
 
 
@@ -83,49 +88,111 @@ def header_text(headers: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n")
 
 
-def parse_warc(data: bytes):
-    """(warc headers, content block) of each record of a WARC file; gzip members are read as they come."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        head = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
+def head_of(stream: BinaryIO) -> dict[str, str] | None:
+    """The fields of the next record, with the stream at its content; None at the end."""
+    while (line := stream.readline()) and not line.strip():
+        pass
+    if not line:
+        return None
+    if not line.startswith(b"WARC/"):
+        raise ValueError("not a WARC record")
+    head = {}
+    while (line := stream.readline()).strip():
+        name, _, value = line.decode("utf-8", "replace").partition(":")
+        head[name.strip().lower()] = value.strip()
+    return head
+
+
+def records(stream: BinaryIO, end: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, content) of each record that begins before ``end``, one held at a time."""
+    while (end is None or stream.tell() < end) and (head := head_of(stream)) is not None:
         yield head, stream.read(int(head.get("content-length", 0)))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def opened_stream(file: str) -> tuple[BinaryIO, bool]:
+    """The bytes of a file as they come, and whether it is gzip (whose members are read one after another)."""
+    store, path = opened(file)
+    raw = io.BufferedReader(store.open_input_file(path), 1 << 20)
+    zipped = raw.peek(2)[:2] == b"\x1f\x8b"
+    return (io.BufferedReader(gzip.GzipFile(fileobj=raw)) if zipped else raw), zipped
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, content) of each record of a WARC file at hand; gzip members are read as they come."""
+    return records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+
+
+def spans_of(file: str, part_bytes: int) -> Iterator[tuple[str, int, int | None, int]]:
+    """(file, begin, end, number of the first record) of parts of about ``part_bytes`` that begin at records.
+
+    Contents are jumped over, so a part never begins at bytes that only look like a record. A gzip file is one part.
+    """
+    stream, zipped = opened_stream(file)
+    with stream:
+        if zipped:
+            yield file, 0, None, 0
+            return
+        begin, first, number = 0, 0, 0
+        while (head := head_of(stream)) is not None:
+            at = stream.seek(int(head.get("content-length", 0)), io.SEEK_CUR)
+            number += 1
+            if at - begin >= part_bytes:
+                yield file, begin, at, first
+                begin, first = at, number
+        if number > first:
+            yield file, begin, None, first
+
+
+def capture(head: dict[str, str], block: bytes) -> tuple | None:
+    """A record as a capture (READ_COLUMNS from the third on); None for what is none."""
+    kind = head.get("warc-type")
+    if kind not in ("response", "revisit") or (kind == "revisit" and "not-modified" not in head.get("warc-profile", "not-modified")):
+        return None
+    top, _, body = block.partition(b"\r\n\r\n")
+    lines = top.decode("utf-8", "replace").split("\r\n")
+    http = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
+    code = lines[0].split(" ")[1] if lines[0].count(" ") else ""
+    if kind == "response" and not code.startswith("2"):
+        return None
+    again = kind == "revisit"
+    return head.get("warc-target-uri"), head.get("warc-date"), again, int(code) if code.isdigit() else None, http.get("etag"), http.get("last-modified"), http, None if again else body
+
+
+def read_warc(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """Captures of WARC files: file, position, url, ts, is_revisit, status, etag, last_modified, headers, body.
 
-    A file is one task; its records go on in batches of about ``READ_BYTES``. Full responses are those of status 2xx; of
-    revisits only those that say "not modified". Other records are left out.
+    Files are streamed, so their size has no limit; a record is held whole. One task for each file jumps from record to record
+    and cuts it into parts, which are then read by a task each; a gzip file stays in one, member after member. Records go on in
+    batches of about ``READ_BYTES``. Full responses are those of status 2xx; of revisits only those that say "not modified".
+    Other records are left out. Empty files give no rows; what is no WARC record is an error. Paths as in ``sources.folders``.
     """
     prepare(spark)
 
+    def cut(batches):
+        for rb in batches:
+            found = [span for file in rb.column(0).to_pylist() for span in spans_of(file, part_bytes)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "begin", "end", "first"])
+
     def parse(frames):
         for pdf in frames:
-            for file, data in zip(pdf["path"], pdf["content"], strict=True):
+            for span in pdf.itertuples():
                 out, held = [], 0
-                for k, (head, block) in enumerate(parse_warc(data)):
-                    kind = head.get("warc-type")
-                    if kind not in ("response", "revisit") or (kind == "revisit" and "not-modified" not in head.get("warc-profile", "not-modified")):
-                        continue
-                    top, _, body = block.partition(b"\r\n\r\n")
-                    lines = top.decode("utf-8", "replace").split("\r\n")
-                    http = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
-                    code = lines[0].split(" ")[1] if lines[0].count(" ") else ""
-                    if kind == "response" and not code.startswith("2"):
-                        continue
-                    out.append((file, k, head.get("warc-target-uri"), head.get("warc-date"), head["warc-type"] == "revisit", int(code) if code.isdigit() else None, http.get("etag"), http.get("last-modified"), http, None if head["warc-type"] == "revisit" else body))
-                    held += len(block)
-                    if held >= READ_BYTES:
-                        yield pd.DataFrame(out, columns=READ_COLUMNS)
-                        out, held = [], 0
-                yield pd.DataFrame(out, columns=READ_COLUMNS)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "file string, position long, url string, ts string, is_revisit boolean, status int, etag string, last_modified string, headers map<string,string>, body binary")
+                stream, _ = opened_stream(span.file)
+                with stream:
+                    if span.begin:
+                        stream.seek(span.begin)
+                    for k, (head, block) in enumerate(records(stream, None if pd.isna(span.end) else int(span.end)), span.first):
+                        if (row := capture(head, block)) is not None:
+                            out.append((span.file, k, *row))
+                            held += len(block)
+                        if held >= READ_BYTES:
+                            yield pd.DataFrame(out, columns=READ_COLUMNS)
+                            out, held = [], 0
+                if out:
+                    yield pd.DataFrame(out, columns=READ_COLUMNS)
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # contents are not read here
+    spans = stage(files.mapInArrow(cut, "file string, begin long, end long, first long"), "warc-parts")
+    each = spans.repartitionByRange(max(1, spans.count()), "file", "begin")
+    return each.mapInPandas(parse, "file string, position long, url string, ts string, is_revisit boolean, status int, etag string, last_modified string, headers map<string,string>, body binary")

@@ -620,6 +620,26 @@ for name in ("op3_nearest", "op8_packing"):
     assert "op8_packing" in done.stdout, done.stderr[-2000:]
 
 
+def test_warc_files_in_parts(spark, tmp_path):
+    """Parts begin at records only, also where a body looks like one; gzip members, an empty file, records without a body."""
+    import gzip
+
+    def record(n, body):
+        block = b"HTTP/1.1 200 OK\r\nETag: e%d\r\n\r\n" % n + body
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/%d\r\nWARC-Date: 2020\r\nContent-Length: %d\r\n\r\n" % (n, len(block)) + block + b"\r\n\r\n"
+
+    bodies = [b"" if n % 5 == 0 else b"x" * (n * 7) if n % 2 else b"\r\n\r\n" + record(n, b"inner") * 3 for n in range(60)]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "a b.warc").write_bytes(info + b"".join(record(n, b) for n, b in enumerate(bodies)))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in [info, *(record(n, b) for n, b in enumerate(bodies))]))
+    (tmp_path / "d.warc").write_bytes(b"")
+    spans = list(revisits.spans_of(str(tmp_path / "a b.warc"), 1500))
+    assert len(spans) > 5 and [a[2] for a in spans[:-1]] == [b[1] for b in spans[1:]] and len(list(revisits.spans_of(str(tmp_path / "c.warc.gz"), 1500))) == 1
+    for size in (1, 1500, 1 << 30):
+        got = sorted((r["file"].rsplit("/", 1)[-1], r["position"], r["url"], r["etag"], bytes(r["body"])) for r in revisits.read_warc(spark, str(tmp_path), size).collect())
+        assert got == sorted((f, n + 1, f"http://a/{n}", f"e{n}", b) for f in ("a b.warc", "c.warc.gz") for n, b in enumerate(bodies))
+
+
 def test_warc_files_are_read_in_spark(spark, tmp_path):
     def record(kind, uri, block, extra=""):
         return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2020-01-01\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"

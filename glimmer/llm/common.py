@@ -110,8 +110,8 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def join_spread(many: DataFrame, one: DataFrame, on: list[str], hot: int | None = None) -> DataFrame:
-    """``many`` joined with ``one`` (a row for each key): keys that more than ``hot`` rows of ``many`` hold are dealt out.
+def join_spread(many: DataFrame, one: DataFrame, on: list[str], hot: int | None = None, how: str = "inner") -> DataFrame:
+    """``many`` joined (inner or left) with ``one`` (a row for each key): keys that more than ``hot`` rows of ``many`` hold are dealt out.
 
     ``many``: staged, it is read twice. Such keys are at most a ``hot``-th of its rows; ``one`` repeats only theirs.
     """
@@ -120,10 +120,10 @@ def join_spread(many: DataFrame, one: DataFrame, on: list[str], hot: int | None
     keys = many.groupBy(*on).agg(F.count(F.lit(1)).alias(parts)).where(F.col(parts) > hot).select(*on, F.ceil(F.col(parts) / hot).cast("int").alias(parts))
     keys = stage(keys, "hot-keys")
     if keys.isEmpty():
-        return many.join(one, on)
+        return many.join(one, on, how)
     dealt = many.join(small(keys), on, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
     each = one.join(small(keys), on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts) - 1, F.lit(0))))).drop(parts)
-    return dealt.join(each, [*on, salt]).drop(salt)
+    return dealt.join(each, [*on, salt], how).drop(salt)
 
 
 def file_names(docs: DataFrame) -> list[str]:

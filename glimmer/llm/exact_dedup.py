@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import fresh, give_back, new_path, numbered, pick_rows, prepare, shuffle_partitions, small, stage, text_or_empty
+from glimmer.llm.common import BROADCAST_ROWS, fresh, give_back, join_spread, new_path, numbered, pick_rows, prepare, shuffle_partitions, small, stage, text_or_empty
 
 #: Bits of a fingerprint; two different texts that share one are told apart by their bytes.
 BITS = 48
@@ -141,13 +141,21 @@ def keepers(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return stage(first.groupBy("text_sha256").agg(F.min("row").alias("stays")), "keepers")
 
 
+def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with what ``groups`` say of their text, or nulls; beyond a broadcast a text of many rows is dealt out."""
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), "text_sha256", "left")
+    return join_spread(rows, groups, ["text_sha256"], how="left")
+
+
 def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = numbered(docs.select("doc_id", text), "dedup-input", "_row")
     rows, suspects = exchange(docs, text, "_row")
     groups = duplicate_groups(docs, rows, suspects, text, "_row")
     nameless = keepers(rows, groups.where(F.col("keep_id").isNull()))
-    out = rows.join(small(groups), "text_sha256", "left").join(small(nameless), "text_sha256", "left")
+    told = groups.join(small(nameless), "text_sha256", "left")  # one row for each text on both sides
+    out = with_groups(rows, stage(told, "told-groups"))
     return out.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -620,6 +620,20 @@ for name in ("op3_nearest", "op8_packing"):
     assert "op8_packing" in done.stdout, done.stderr[-2000:]
 
 
+def test_dedup_of_many_groups_and_hot_texts(spark, monkeypatch):
+    """Beyond a broadcast of groups, with texts that many rows hold (one of them without any id), the rows are the same."""
+    rows = [(i, "hot  text") for i in range(300)] + [(None, "no id")] * 150 + [(1000 + i, f"t{i % 40}") for i in range(100)] + [(5000 + i, f"own {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    want = sorted(map(tuple, exact_dedup.exact_dedup(df).collect()), key=key)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr("glimmer.llm.common.HOT_ROWS", 20)
+    got = sorted(map(tuple, exact_dedup.exact_dedup(df).collect()), key=key)
+    assert got == want and len(got) == 600
+    sizes = Counter((r[2], r[3]) for r in got)
+    assert sizes[300, True] == 1 and sizes[300, False] == 299 and sizes[150, True] == 1 and sizes[150, False] == 149 and sizes[1, True] == 50
+
+
 def test_warc_files_in_parts(spark, tmp_path):
     """Parts begin at records only, also where a body looks like one; gzip members, an empty file, records without a body."""
     import gzip

@@ -58,7 +58,7 @@ def test_states_are_appended_as_they_change(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for rows in ([("a", 0, "x"), ("b", 0, "x"), ("a", 1, "y")], [("a", 2, "z")]):
         schema = arrive(spark, src, rows)
-        S.job_states(S.event_stream(spark, src, schema, 1), out, "job", "ts", "event", delay="1 hour")
+        S.job_states(S.event_stream(spark, src, schema, 1), out, "job", "ts", "event")
     assert {(r["job"], r["state"], r["n"]) for r in S.read_states(spark, out, "job").collect()} == {("a", "z", 3), ("b", "x", 1)}
     assert spark.read.parquet(f"{out}/batch=1").count() == 1  # b did not change
 

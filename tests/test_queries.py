@@ -23,3 +23,11 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 10
+
+
+def test_query_strings_of_letters_without_a_capital(spark, tmp_path):
+    """A sharp s, a ligature, wide letters, empty words and blanks only: as in SQL."""
+    texts = ["a b erersspf erersßpf erersßpf x", "a b c d straße STRASSE ﬁsch Ökö 😀ß", "ß", "", "  ", "a  b  ß  SS", None]
+    spark.createDataFrame(list(enumerate(texts * 3)), "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    said, good = compare.check(spark, compare.duck(str(tmp_path)), "query_strings", QUERIES["query_strings"], ORACLES["query_strings"], str(tmp_path))
+    assert good, said

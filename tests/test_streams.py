@@ -54,6 +54,15 @@ def test_jobs_run_retry_fail_and_stall(spark, tmp_path, runs):
     assert {r["job"]: r["status"] for r in S.last_transitions(rows).collect()} == {"a": "stalled", "b": "completed", "d": "stalled", "e": "pending"}
 
 
+def test_jobs_are_handled_row_by_row(spark, tmp_path, monkeypatch):
+    """A job costs no table of its own: rows go in and out as they are."""
+    monkeypatch.setattr("pyspark.sql.GroupedData.transformWithStateInPandas", None)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = arrive(spark, src, BATCHES[0])
+    S.job_transitions(S.event_stream(spark, src, schema), out, "job", "ts", "event")
+    assert told(spark, out) == [("a", 0, "pending", 0), ("a", 1, "running", 0), ("b", 0, "pending", 0), ("d", 2, "pending", 0)]
+
+
 def test_states_are_appended_as_they_change(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for rows in ([("a", 0, "x"), ("b", 0, "x"), ("a", 1, "y")], [("a", 2, "z")]):

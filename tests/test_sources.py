@@ -86,6 +86,14 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
     assert {r["key"] for r in substrings.candidates(spark, path, "aba", ["name", "path"], ["path"]).collect()} == {i for i, _, p in data if "aba" in p.lower()}
 
 
+def test_trigrams_of_many_rows_are_put_together(spark, tmp_path):
+    """A common trigram has a row for each batch, not for each text, and keys of any kind."""
+    df, path = spark.createDataFrame([(f"k{i}", "Same text" if i % 3 else None, f"n{i % 7}") for i in range(3000)], "id string, name string, path string").coalesce(2), str(tmp_path / "grams")
+    substrings.write_trigrams(df, path, "id", ["name", "path"])
+    assert spark.read.parquet(path).where("gram = 'sam'").count() <= 6
+    assert {r["key"] for r in substrings.candidates(spark, path, "SAME", ["name", "path"], ["name"]).collect()} == {f"k{i}" for i in range(3000) if i % 3}
+
+
 def test_trigrams_of_long_texts_and_wide_characters(spark, tmp_path):
     df, path = spark.createDataFrame([(1, "x" * 200_000 + "needle"), (2, "a\U0001f600b\nc\U0001f601"), (3, "ab"), (4, None)], "id long, name string"), str(tmp_path / "grams")
     substrings.write_trigrams(df, path, "id", ["name"])
